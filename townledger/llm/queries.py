@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townledger.llm import chat, langid, packing, sharding, tokenfiles
+from townledger.llm import chat, decontam, langid, ngram_join, packing, sharding, tokenfiles
 from townledger.llm.common import shared_dir, table
 
 
@@ -17,10 +17,20 @@ def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "perspective", F.col("part").cast("long").alias("part"), F.col("n_turns").cast("long").alias("n_turns"), "text", spans.alias("loss_spans"), F.col("char_start").cast("long").alias("char_start"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.join_ngrams(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.find_matches(spark, docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.identify(spark, docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -37,7 +47,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_perspective_rotation, op3_mixture_packing, op5_language_id, op7_rendezvous_sharding, op9_token_files)
+    f.__name__: f for f in (op1_perspective_rotation, op2_ngram_jaccard_join, op3_mixture_packing, op4_suffix_array_decontamination, op5_language_id, op7_rendezvous_sharding, op9_token_files)
 }
 
 ORACLES: dict[str, str] = {}
