@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townledger.llm import chat, decontam, langid, ngram_join, packing, sharding, tokenfiles
+from townledger.llm import chat, decontam, langid, ngram_join, packing, sharding, tokenfiles, toxicity
 from townledger.llm.common import shared_dir, table
 
 
@@ -40,6 +40,11 @@ def op7_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(spark, docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_dir(spark)
     tokenfiles.write_token_files(table(spark, sf_dir, "documents"), out, end=2, meta=("lang", "source"))
@@ -47,7 +52,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_perspective_rotation, op2_ngram_jaccard_join, op3_mixture_packing, op4_suffix_array_decontamination, op5_language_id, op7_rendezvous_sharding, op9_token_files)
+    f.__name__: f for f in (op1_perspective_rotation, op2_ngram_jaccard_join, op3_mixture_packing, op4_suffix_array_decontamination, op5_language_id, op7_rendezvous_sharding, op8_toxicity, op9_token_files)
 }
 
 ORACLES: dict[str, str] = {}
