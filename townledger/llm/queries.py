@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townledger.llm import chat, decontam, langid, ngram_join, packing, sharding, tokenfiles, toxicity
+from townledger.llm import chat, decontam, htmltext, langid, media, ngram_join, packing, sharding, tokenfiles, toxicity
 from townledger.llm.common import shared_dir, table
 
 
@@ -36,6 +36,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_html_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(spark, table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
@@ -51,8 +55,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_digest(spark, out)
 
 
+def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = media.media_of_embeddings(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return media.find_copies(spark, images)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_perspective_rotation, op2_ngram_jaccard_join, op3_mixture_packing, op4_suffix_array_decontamination, op5_language_id, op7_rendezvous_sharding, op8_toxicity, op9_token_files)
+    f.__name__: f for f in (op1_perspective_rotation, op2_ngram_jaccard_join, op3_mixture_packing, op4_suffix_array_decontamination, op5_language_id, op6_html_tree_model, op7_rendezvous_sharding, op8_toxicity, op9_token_files, op10_media_copies)
 }
 
 ORACLES: dict[str, str] = {}

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 import sys
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
-#: Pieces (twice: the newest and the ones before) and words kept for each worker.
-PIECES, WORDS = 250_000, 400_000
+#: Pieces kept for each worker, twice: the newest and the ones before them.
+PIECES = 300_000
 
 #: A space begins a new pre-token of a GPT-2 style byte-level BPE unless white space stands on both of its sides.
 _UNSAFE = re.compile(r"\s (?:\s|$)")
@@ -17,6 +18,28 @@ _ENDS, _LITTLE = frozenset(".,;:!?"), sys.byteorder == "little" and array("I").i
 _PLAIN = re.compile(r"[\n -~¡-ɏ]*\Z")
 
 
+class _Pieces(dict):
+    """Ids by piece: a new piece is taken from the ones before or made."""
+
+    def __init__(self, make: Callable[[str], bytes], old: dict[str, bytes] | None = None) -> None:
+        super().__init__()
+        self._make, self._old = make, old or {}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self._old.get(piece)
+        if got is None:
+            got = self._make(piece)
+        self[piece] = got
+        return got
+
+    def kept(self) -> _Pieces:
+        """This, or once it is full a new one with this behind it."""
+        if len(self) < PIECES:
+            return self
+        self._old = {}
+        return _Pieces(self._make, self)
+
+
 class Encoder:
     """ids(text) as little-endian unsigned 32-bit bytes, equal to encode(text, add_special_tokens=False)."""
 
@@ -36,9 +59,7 @@ class Encoder:
         self._apart = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
         self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self._model = self._tok.model
-        self._now: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
+        self._led, self._bare = _Pieces(self._after_blank), _Pieces(self._word)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self._shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -47,45 +68,42 @@ class Encoder:
         return array("I", ids).tobytes() if _LITTLE else self._np_array(ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        got = self._words.get(word)
-        if got is None:
-            if len(self._words) >= WORDS:
-                self._words.clear()
-            if word.isascii() and word.isprintable():
-                shown = word.replace(" ", self._shown[32])
-            else:
-                shown = "".join([self._shown[b] for b in word.encode()])
-            got = self._words[word] = self._bytes([t.id for t in self._model.tokenize(shown)])
-        return got
-
-    def _piece(self, piece: str) -> bytes:
-        """The ids of a blank and a piece, or of a piece at the start of a text."""
-        bare = piece[1:] if piece[:1] == " " else piece
-        if bare.isascii() or _PLAIN.match(bare):
-            if bare.isalpha():
-                return self._word(piece)
-            if bare[-1:] in _ENDS and bare[:-1].isalpha():
-                return self._word(piece[:-1]) + self._word(piece[-1])
-            return b"".join([self._word(w) for w in self._split(piece)])
+        """A pre-token."""
+        if word.isascii() and word.isprintable():
+            shown = word.replace(" ", self._shown[32])
+        else:
+            shown = "".join([self._shown[b] for b in word.encode()])
+        return self._bytes([t.id for t in self._model.tokenize(shown)])
+
+    def _after_blank(self, piece: str) -> bytes:
+        """A blank and a piece without blanks."""
+        if piece.isascii() or _PLAIN.match(piece):
+            if piece.isalpha():
+                return self._word(" " + piece)
+            if piece[-1:] in _ENDS and piece[:-1].isalpha():
+                return self._led[piece[:-1]] + self._bare[piece[-1]]
+            first, *rest = self._split(" " + piece)
+            return (self._led[first[1:]] if first[1:].isalpha() else self._bare[first]) + b"".join(map(self._bare.__getitem__, rest))
+        return self._bytes(self._tok.encode(" " + piece, add_special_tokens=False).ids)
+
+    def _alone(self, piece: str) -> bytes:
+        """A piece at the start of a text, or any run between safe cuts."""
+        if piece.isascii() or _PLAIN.match(piece):
+            return b"".join(map(self._bare.__getitem__, self._split(piece)))
         return self._bytes(self._tok.encode(piece, add_special_tokens=False).ids)
 
     def ids(self, text: str) -> bytes:
         if not self._apart:
             return self._bytes(self._tok.encode(text, add_special_tokens=False).ids)
         if " " not in text:
-            return self._piece(text)
+            return self._alone(text)
         if _UNSAFE.search(text):
-            return b"".join([self._piece(p) for p in _SAFE_CUT.split(text)])
+            return b"".join([self._alone(p) for p in _SAFE_CUT.split(text)])
+        self._led = self._led.kept()
+        self._bare = self._bare.kept()
         head, *rest = text.split(" ")
-        now, old = self._now, self._old
-        if new := set(rest).difference(now):
-            if len(now) + len(new) > PIECES:
-                self._old, self._now = old, now = now, {}
-                new = set(rest)
-            for p in new:
-                now[p] = old.get(p) or self._piece(" " + p)
-        body = b"".join(map(now.__getitem__, rest))
-        return (self._piece(head) if head else b"") + body
+        body = b"".join(map(self._led.__getitem__, rest))
+        return (self._alone(head) if head else b"") + body
 
 
 @lru_cache(2)
