@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from townledger.plans import dataflow, evaluation, relational, retrieval, structural, textual
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _m in (retrieval, relational, evaluation, textual, structural, dataflow):
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
