@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; bounds a task's memory, not a document.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=U64)

@@ -24,8 +24,8 @@ from townledger.llm.components import components
 _MULT = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 #: Bits of a shingle that its frequency is counted by, of which RANGE_BITS deal counting out.
 COUNT_BITS, RANGE_BITS = 32, 12
-#: The filter of shingles that occur twice has 2**FILTER_BITS bits (32 MB) at any size of the corpus.
-FILTER_BITS = 28
+#: The filter of shingles that occur twice has 2**FILTER_BITS bits (16 MB) at any size of the corpus.
+FILTER_BITS = 27
 #: At most so many frequent shingles are known by frequency; the least frequent beyond that keep hash order.
 MAX_FREQUENT = 1_000_000
 #: Bytes of document ids that a broadcast may hold; beyond, candidates' texts are found by a shuffled join.
@@ -116,7 +116,7 @@ def _describe(docs: DataFrame, s: Settings) -> DataFrame:
                 held += sum(map(len, sets))
                 none = pa.nulls(hi - lo, pa.int32())
                 yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(lo, hi - lo), "cls": pa.array([class_key(a) for a in sets], pa.int64()), "n": pa.array([len(a) for a in sets], pa.int64()), "range": none, "wide": pa.nulls(hi - lo, pa.bool_()), "blob": pa.nulls(hi - lo, pa.binary())})
-                if held > 8_000_000:
+                if held > 4_000_000:
                     yield _count_rows(tops)
                     tops, held = [], 0
         if tops:
