@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from townledger.llm.common import shared_dir
+from townledger.llm.common import shared_dir, stored
 from townledger.llm.tokenfiles import encoded
 from townledger.llm.tokens import default_path
 
@@ -134,6 +134,7 @@ def pack(
     path, folder = path or default_path(), shared_dir(spark)
     name = F.coalesce(F.col(source).cast("string"), F.lit("\x00null"))
     by_source = docs.select(name.alias("q"), F.octet_length(text).alias("b")).groupBy("q").agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
+    by_source = stored(by_source, f"{folder}/sources")
     whole = by_source.agg(F.sum("b")).first()[0] or 0
     own = frozenset(r["q"] for r in by_source.filter(F.col("b") * F.lit(MAX_QUEUES) >= F.lit(whole)).orderBy(F.desc("b"), "q").limit(MAX_QUEUES).collect())
     kind = docs.schema[key].dataType.simpleString()
@@ -153,8 +154,7 @@ def pack(
                 )
 
     tokens = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), name.alias("q")).mapInArrow(encode_part, f"k {kind}, part int, queue string, before long, n long, ids array<int>")
-    tokens.write.option("compression", "zstd").parquet(folder)
-    tokens = spark.read.schema(tokens.schema).parquet(folder)
+    tokens = stored(tokens, f"{folder}/tokens")
 
     part_totals = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
