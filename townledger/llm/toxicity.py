@@ -26,8 +26,8 @@ class Settings:
     buckets: int = 1 << 17
     dim: int = 4
     window: int = 3
-    max_rows: int = 2000
-    max_bytes: int = 50_000
+    max_rows: int = 1500
+    max_bytes: int = 20_000
     #: Subwords of fewer documents teach nothing, lest single texts be learned by heart.
     min_docs: int = 8
     steps: int = 40
@@ -150,11 +150,11 @@ def train(labels: np.ndarray, docs: list[list[str]], s: Settings) -> np.ndarray:
     ids, sizes, owner = np.array(ids), np.array(sizes), np.array(owner)
     lens = np.array([len(g) for g in grams])
     flat = np.concatenate(grams)
-    of_word = np.repeat(np.arange(len(grams)), lens)
+    of_word = np.repeat(np.arange(len(grams), dtype=np.int32), lens)
     spread = np.bincount(np.unique(np.repeat(owner, sizes) * np.int64(len(grams)) + ids) % len(grams), minlength=len(grams))
     common = np.bincount(flat, spread[of_word], s.buckets)[flat] >= s.min_docs
     used, flat = np.unique(flat[common], return_inverse=True)
-    of_word = of_word[common]
+    flat, of_word = flat.astype(np.int32), of_word[common]
     some = sizes > 0
     of_window = np.repeat(np.arange(len(sizes)), sizes)
     share_w, share_g = 1.0 / s.window, 1.0 / lens
@@ -165,10 +165,11 @@ def train(labels: np.ndarray, docs: list[list[str]], s: Settings) -> np.ndarray:
     E, W = rng.normal(0, 0.05, (len(used), s.dim)), rng.normal(0, 0.5, s.dim)
     b = -4.0
     state = [np.zeros_like(E), np.zeros_like(E), np.zeros_like(W), np.zeros_like(W), 0.0, 0.0]
-    add = lambda index, values, n: np.stack([np.bincount(index, values[:, k], n) for k in range(values.shape[1])], 1)
+    # One dimension at a time, so that no array has more than one number for each subword of a word.
+    each = lambda f: np.stack([f(k) for k in range(s.dim)], 1)
     for step in range(1, s.steps + 1):
-        V = add(of_word, E[flat], len(grams)) * share_g[:, None]
-        X = add(of_window, V[ids], len(sizes)) * share_w
+        V = each(lambda k: np.bincount(of_word, E[flat, k], len(grams))) * share_g[:, None]
+        X = each(lambda k: np.bincount(of_window, V[ids, k], len(sizes))) * share_w
         z = X @ W + b
         p = 1 / (1 + np.exp(-z))
         total = np.bincount(owner, np.logaddexp(0, z), len(docs))
@@ -176,8 +177,8 @@ def train(labels: np.ndarray, docs: list[list[str]], s: Settings) -> np.ndarray:
         slope = np.where(y > 0, -positive, 1.0) * weight
         g = slope[owner] * p * some
         gW = X.T @ g
-        gV = add(ids, (g * share_w)[of_window][:, None] * W, len(grams))
-        gE = add(flat, (gV * share_g[:, None])[of_word], len(used))
+        of_v = np.bincount(ids, (g * share_w)[of_window], len(grams)) * share_g
+        gE = np.bincount(flat, of_v[of_word], len(used))[:, None] * W
         gb = g.sum()
         rate = s.rate * (1 - step / (s.steps + 1))
         for i, (param, grad) in enumerate(((E, gE), (W, gW))):
