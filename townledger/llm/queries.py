@@ -64,4 +64,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_perspective_rotation, op2_ngram_jaccard_join, op3_mixture_packing, op4_suffix_array_decontamination, op5_language_id, op6_html_tree_model, op7_rendezvous_sharding, op8_toxicity, op9_token_files, op10_media_copies)
 }
 
-ORACLES: dict[str, str] = {}
+#: Only what SQL can express; the rest is tested against brute force, round trips and held-out accuracy.
+ORACLES: dict[str, str] = {
+    "op1_perspective_rotation": """
+        WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body, turn // 64 AS run FROM conversations),
+        c AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker != 'system'),
+        l AS (SELECT t.*, perspective, CASE WHEN speaker = 'system' THEN '<|system|>' || chr(10) WHEN speaker = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user:' || speaker || '|>' || chr(10) END AS head FROM t JOIN c USING (conv_id)),
+        p AS (SELECT *, head || body || '<|end|>' || chr(10) AS line, sum(length(head) + length(body) + 8) OVER (PARTITION BY conv_id, perspective, run ORDER BY turn, speaker, body ROWS UNBOUNDED PRECEDING) - length(head) - length(body) - 8 AS pos FROM l),
+        g AS (SELECT conv_id, perspective, run, count(*) AS n_turns, string_agg(line, '' ORDER BY turn, speaker, body) AS text,
+            coalesce(string_agg((pos + length(head)) || '-' || (pos + length(head) + length(body) + 7), ',' ORDER BY turn, speaker, body) FILTER (speaker = perspective), '') AS loss_spans FROM p GROUP BY ALL)
+        SELECT conv_id, perspective, row_number() OVER w - 1 AS part, n_turns, text, loss_spans, coalesce(sum(length(text)) OVER (PARTITION BY conv_id, perspective ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start
+        FROM g WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY run)""",
+}
