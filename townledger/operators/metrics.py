@@ -35,9 +35,9 @@ def covered_length(pairs: DataFrame, passage: list[str], start: str, end: str, l
 
     pairs has a row for each interval that meets its passage. A running maximum of the ends is the sweep's cursor.
     """
-    cut = pairs.select(*passage, F.greatest(start, left).alias("l"), F.least(end, right).alias("r"), F.col(start).alias("s"))
-    before = Window.partitionBy(*passage).orderBy("l", "r").rowsBetween(Window.unboundedPreceding, -1)
-    new = F.greatest(F.lit(0), F.col("r") - F.greatest("l", F.coalesce(F.max("r").over(before), F.col("s"))))
+    cut = pairs.select(*passage, F.greatest(start, left).alias("_cut"), F.col(start).alias("_from"), F.least(end, right).alias("_to"))
+    before = Window.partitionBy(*passage).orderBy("_cut", "_to").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.greatest(F.lit(0), F.col("_to") - F.greatest("_cut", F.coalesce(F.max("_to").over(before), F.col("_from"))))
     return cut.withColumn("new", new).groupBy(*passage).agg(F.sum("new").alias("covered"))
 
 
