@@ -240,4 +240,5 @@ def find_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, win
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without any window of the benchmark, with the columns of docs."""
-    return find_matches(spark, docs, benchmark, window).filter(~F.col("contaminated")).select(*docs.columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("_doc"))
+    return find_matches(spark, rows, benchmark, window).filter(~F.col("contaminated")).select("_doc.*")
