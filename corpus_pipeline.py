@@ -22,7 +22,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: texts without a letter and those that no language is likelier than all others for go."""
-    made = langid.identify(spark, docs.select(*docs.columns, F.struct(*docs.columns).alias("_row")))
+    made = langid.identify(spark, docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("_row")))
     return made.filter((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select("_row.*")
 
 
