@@ -23,13 +23,15 @@ from townledger.llm.components import components
 
 _MULT = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 #: Bits of a shingle that its frequency is counted by, of which RANGE_BITS deal counting out.
-COUNT_BITS, RANGE_BITS = 32, 12
+COUNT_BITS, RANGE_BITS = 33, 13
 #: The filter of shingles that occur twice has 2**FILTER_BITS bits (16 MB) at any size of the corpus.
 FILTER_BITS = 27
 #: At most so many frequent shingles are known by frequency; the least frequent beyond that keep hash order.
 MAX_FREQUENT = 1_000_000
 #: Bytes of document ids that a broadcast may hold; beyond, candidates' texts are found by a shuffled join.
 MAX_BROADCAST_IDS = 1_000_000
+#: Rounds that compare each component with one other; what is left after them is compared whole.
+MERGE_ROUNDS = 3
 #: Members that one task compares with a copy of a hub.
 HUB_MEMBERS = 2000
 
@@ -90,8 +92,8 @@ def class_key(a: np.ndarray) -> int:
 def _count_rows(tops: list[np.ndarray]) -> pa.RecordBatch:
     """Sorted counts of a task's shingles, a row for each range: gaps as 16 bits, or numbers as 32 where they are sparse."""
     v = np.sort(np.concatenate(tops))
-    low = v & np.uint32((1 << (COUNT_BITS - RANGE_BITS)) - 1)
-    ranges = v >> np.uint32(COUNT_BITS - RANGE_BITS)
+    low = v & U64((1 << (COUNT_BITS - RANGE_BITS)) - 1)
+    ranges = v >> U64(COUNT_BITS - RANGE_BITS)
     cut = np.concatenate([[0], np.flatnonzero(np.diff(ranges)) + 1, [len(v)]])
     gap = np.diff(low.astype(np.int64), prepend=0)
     gap[cut[:-1]] = low[cut[:-1]]
@@ -112,7 +114,7 @@ def _describe(docs: DataFrame, s: Settings) -> DataFrame:
             ids = batch.column(0)
             for lo, hi, data, offs in text_chunks(batch, "text"):
                 sets = shingle_sets(data, offs, s.words)
-                tops += [(a >> U64(64 - COUNT_BITS)).astype(np.uint32) for a in sets if len(a)]
+                tops += [(a >> U64(64 - COUNT_BITS)) for a in sets if len(a)]
                 held += sum(map(len, sets))
                 none = pa.nulls(hi - lo, pa.int32())
                 yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(lo, hi - lo), "cls": pa.array([class_key(a) for a in sets], pa.int64()), "n": pa.array([len(a) for a in sets], pa.int64()), "range": none, "wide": pa.nulls(hi - lo, pa.bool_()), "blob": pa.nulls(hi - lo, pa.binary())})
@@ -125,15 +127,24 @@ def _describe(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(per_task, "doc_id long, cls long, n long, range int, wide boolean, blob binary")
 
 
+def _filter_bits(low: np.ndarray) -> Iterator[np.ndarray]:
+    """The two places, in its range's part of the filter, of a shingle's counted bits below the range."""
+    mask = U64((1 << (COUNT_BITS - RANGE_BITS)) - 1)
+    for factor in (0x9E3779B1, 0x85EBCA77):
+        yield ((low * U64(factor)) & mask) >> U64(COUNT_BITS - FILTER_BITS)
+
+
 def _frequencies(blobs: DataFrame) -> DataFrame:
     """From the counts of all tasks: rows (top, n) of shingles in at least 8 documents, and for each range a row (range, bits, ones, squares).
 
     A range's counts are an array of fixed size that blobs are added to one after the other.
     """
-    width, fold = 1 << (COUNT_BITS - RANGE_BITS), 1 << (COUNT_BITS - FILTER_BITS)
+    width = 1 << (COUNT_BITS - RANGE_BITS)
 
     def done(r: int, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        twice = (n > 1).reshape(-1, fold).any(1)
+        twice = np.zeros(1 << (FILTER_BITS - RANGE_BITS), bool)
+        for bit in _filter_bits(np.flatnonzero(n > 1).astype(U64)):
+            twice[bit] = True
         some = np.flatnonzero(n > 7)
         tops = ((r << (COUNT_BITS - RANGE_BITS)) + some).astype(np.int64)
         k = len(some)
@@ -151,8 +162,7 @@ def _frequencies(blobs: DataFrame) -> DataFrame:
                         yield from done(now, n)
                     now, n = r, np.zeros(width, np.int64)
                 low = np.frombuffer(blob, "<u4") if wide else np.cumsum(np.frombuffer(blob, "<u2"), dtype=np.int64)
-                at, k = np.unique(low, return_counts=True)
-                n[at] += k
+                np.add.at(n, low, 1)
         if now is not None:
             yield from done(now, n)
 
@@ -170,9 +180,12 @@ class Order:
 
     def keys(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """a from rare to frequent, and which of it may occur in another document."""
-        top = (a >> U64(64 - COUNT_BITS)).astype(np.uint32)
-        bit = top >> np.uint32(COUNT_BITS - FILTER_BITS)
-        shared = (self.twice[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+        top = a >> U64(64 - COUNT_BITS)
+        base = top >> U64(COUNT_BITS - RANGE_BITS) << U64(FILTER_BITS - RANGE_BITS)
+        shared = np.ones(len(a), bool)
+        for bit in _filter_bits(top & U64((1 << (COUNT_BITS - RANGE_BITS)) - 1)):
+            bit += base
+            shared &= (self.twice[bit >> U64(3)] >> (U64(7) - (bit & U64(7))).astype(np.uint8)) & 1 == 1
         if not len(self.tops) or not shared.any():
             return a, shared
         level = np.zeros(len(a), np.uint8)
@@ -193,7 +206,7 @@ def _order(found: DataFrame) -> tuple[Order, float]:
         known -= levels.get(least, 0)
         least += 1
     rows = found.filter(F.col("top").isNotNull() & (F.col("n") >= F.lit(1 << least))).select("top", F.floor(F.log2("n")).cast("int").alias("level")).toArrow()
-    top, level = rows["top"].to_numpy().astype(np.uint32), rows["level"].to_numpy().astype(np.uint8)
+    top, level = rows["top"].to_numpy().astype(U64), rows["level"].to_numpy().astype(np.uint8)
     by = np.argsort(top)
     twice = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     size = 1 << (FILTER_BITS - RANGE_BITS - 3)
@@ -266,7 +279,7 @@ def _sets(docs: DataFrame, s: Settings) -> DataFrame:
         for batch in batches:
             for _, _, data, offs in text_chunks(batch, "text"):
                 sets = shingle_sets(data, offs, s.words)
-                yield pa.RecordBatch.from_pydict({"cls": pa.array([class_key(a) for a in sets], pa.int64()), "body": pa.array([a.tobytes() for a in sets], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"cls": pa.array([class_key(a) for a in sets], pa.int64()), "body": pa.array([_packed(a) for a in sets], pa.binary())})
 
     return docs.select("text").mapInArrow(per_task, "cls long, body binary")
 
@@ -274,26 +287,24 @@ def _sets(docs: DataFrame, s: Settings) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, first_ids: DataFrame, s: Settings, folder: str) -> DataFrame:
     """Pairs (a, b) of classes with linked: whether their sets, made anew from one text of each class, overlap enough.
 
-    Only texts of classes in a pair move. A class that is in many pairs as a is copied for runs of HUB_MEMBERS of them.
+    Only sets of classes in a pair move, once for each pair. A class that is in many pairs as a is copied for runs of HUB_MEMBERS of them.
     """
     pairs = stored(pairs, f"{folder}/pairs")
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    ids = stored(wanted.join(first_ids, "cls").select("first_id").distinct(), f"{folder}/ids")
-    few = ids.count() <= MAX_BROADCAST_IDS
-    keyed = docs.select(_id().alias("first_id"), "text")
-    sets = stored(_sets(keyed.join(F.broadcast(ids) if few else ids, "first_id", "left_semi"), s), f"{folder}/sets")
-
+    few = pairs.count() <= MAX_BROADCAST_IDS
+    known = F.broadcast if few else (lambda df: df)
     sized = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).select("a", F.ceil(F.col("k") / F.lit(HUB_MEMBERS)).cast("int").alias("parts"))
-    heads = sized.join(sets, sized["a"] == sets["cls"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "cls", "body")
-    dealt = pairs.join(sized, "a").select("a", "b", F.pmod(F.hash("b"), F.col("parts")).alias("part"))
-    members = dealt.join(sets, dealt["b"] == sets["cls"]).select("a", "part", F.lit(1).alias("role"), "cls", "body")
+    heads = sized.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
+    members = pairs.join(sized, "a").select(F.col("b").alias("cls"), "a", F.pmod(F.hash("b"), F.col("parts")).alias("part"), F.lit(1).alias("role"))
+    parts = stored(heads.unionByName(members), f"{folder}/parts")
+    ids = stored(parts.select("cls").distinct().join(first_ids, "cls").select("first_id").distinct(), f"{folder}/ids")
+    sets = _sets(docs.select(_id().alias("first_id"), "text").join(known(ids), "first_id", "left_semi"), s)
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, body = None, None
         for batch in batches:
             out: list[tuple[int, int, bool]] = []
             for a, role, cls, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                own = np.frombuffer(raw, U64)
+                own = _unpacked(raw)
                 if role == 0:
                     head, body = a, own
                 elif head == a:
@@ -305,10 +316,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, first_ids: DataFrame, s: Settin
                     out.append((a, cls, 100 * common >= s.percent * (len(own) + len(body) - common)))
             yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "linked": pa.array([x[2] for x in out], pa.bool_())})
 
-    rows = heads.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", "role").select("a", "role", "cls", "body")
+    rows = sets.join(known(parts), "cls").repartition("a", "part").sortWithinPartitions("a", "part", "role").select("a", "role", "cls", "body")
     return stored(rows.mapInArrow(per_task, "a long, b long, linked boolean").distinct(), f"{folder}/verified")
 
 
+def _packed(a: np.ndarray) -> bytes:
+    """The upper 48 bits of each shingle: two of a pair of sets of thousands agree by chance once in 10^8 pairs."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _id():
     """The document id as a key: a null id is the least number."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
@@ -320,6 +342,45 @@ def _may_reach(a: str, b: str, s: Settings):
     return left * F.lit(100 + s.percent) >= F.lit(s.percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
+def _mixed(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows (key, cls, n, at, deg, root) of the keys whose classes lie in several components."""
+    placed = shared.join(parts, shared["cls"] == parts["node"], "left").select("key", "cls", "n", "at", "deg", F.coalesce("root", "cls").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
+    return placed.join(mixed, "key")
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    done = tried.select(F.least("a", "b").alias("_lo"), F.greatest("a", "b").alias("_hi"))
+    return pairs.join(done, (F.least("a", "b") == F.col("_lo")) & (F.greatest("a", "b") == F.col("_hi")), "left_anti")
+
+
+def _possible(x: str, y: str, s: Settings):
+    return (F.least(f"{x}.n", f"{y}.n") * 100 >= F.greatest(f"{x}.n", f"{y}.n") * s.percent) & (F.col(f"{x}.root") != F.col(f"{y}.root")) & _may_reach(x, y, s)
+
+
+def _nearest(shared: DataFrame, parts: DataFrame, tried: DataFrame, s: Settings, turn: int) -> DataFrame:
+    """For each component at most one pair (a, b) with another, the one with most keys: each key matches its members with one of them.
+
+    In the first two turns that is the class that shares most keys, later a class of some other component each turn.
+    """
+    left = _mixed(shared, parts)
+    by = F.struct("deg", F.xxhash64("cls", F.lit(turn))) if turn < 2 else F.struct(F.xxhash64("root", F.lit(turn)), F.col("deg"))
+    pick = F.max_by(F.struct("cls", "n", "at", "root"), by)
+    hubs = left.groupBy("key").agg(pick.alias("h")).select("key", "h.*")
+    both = left.alias("x").join(hubs.alias("y"), (F.col("x.key") == F.col("y.key")) & _possible("x", "y", s))
+    pairs = both.groupBy(F.col("x.root").alias("root"), F.col("y.cls").alias("a"), F.col("x.cls").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    best = F.max_by(F.struct("a", "b"), F.struct("k", -F.col("a"), -F.col("b")))
+    return _untried(pairs, tried).groupBy("root").agg(best.alias("p")).select("p.a", "p.b").distinct()
+
+
+def _across(shared: DataFrame, parts: DataFrame, tried: DataFrame, s: Settings) -> DataFrame:
+    """All pairs (a, b) of classes of different components that share a key and may reach the overlap, unless tried."""
+    left = _mixed(shared, parts)
+    x, y = left.alias("x"), left.alias("y")
+    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & _possible("x", "y", s))
+    return _untried(both.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), tried)
+
+
 def join_ngrams(spark: SparkSession, docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, class_key and n_copies of every document of docs (doc_id, text).
 
@@ -338,29 +399,35 @@ def join_ngrams(spark: SparkSession, docs: DataFrame, settings: Settings = Setti
     boundary = choose_boundary(sizes, length, s)
 
     postings = stored(_postings(docs, spark.sparkContext.broadcast(order), boundary, s), f"{folder}/postings")
-    hubs = postings.groupBy("key").agg(F.min(F.struct("cls", "n", "at")).alias("h"), F.max("cls").alias("other")).filter(F.col("h.cls") != F.col("other"))
-    shared = stored(postings.join(hubs.select("key", "h"), "key").select("key", "cls", "n", "at", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.at").alias("hub_at")), f"{folder}/shared")
+    # How many keys a class shares: what copies were made from shares more of its keys than the edited copies.
+    met = postings.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo != hi").select("key")
+    common = stored(postings.join(met, "key"), f"{folder}/common")
+    degree = common.groupBy("cls").agg(F.count(F.lit(1)).alias("deg"))
+    shared = stored(common.join(degree, "cls").select("key", "cls", "n", "at", "deg"), f"{folder}/shared")
     first_ids = own.filter("n > 0").groupBy("cls").agg(F.min(_id()).alias("first_id"))
 
-    near_size = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * s.percent
-    reach = F.least(F.col("n") - F.col("at"), F.col("hub_n") - F.col("hub_at")) * F.lit(100 + s.percent) >= F.lit(s.percent) * (F.col("n") + F.col("hub_n"))
-    stars = shared.filter((F.col("cls") != F.col("hub")) & near_size & reach).select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    first = _verified(stars, docs, first_ids, s, f"{folder}/first")
-    links = first.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    parts = stored(components(links), f"{folder}/parts")
-
-    # Keys whose members lie in several components: their pairs across components, unless compared before.
-    placed = shared.join(parts, shared["cls"] == parts["node"], "left").select("key", "cls", "n", "at", F.coalesce("root", "cls").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
-    open_ = stored(placed.join(mixed, "key"), f"{folder}/open")
-    x, y = open_.alias("x"), open_.alias("y")
-    sized = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * s.percent) & _may_reach("x", "y", s)
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & sized)
-    across = across.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = _verified(across, docs, first_ids, s, f"{folder}/second")
-    links = parts.select(F.col("node").alias("u"), F.col("root").alias("v")).union(second.filter("linked").select("a", "b"))
-    if second.filter("linked").limit(1).count():
-        parts = stored(components(links), f"{folder}/final")
+    # First each class is compared with one hub, the one that it shares most keys with: no more pairs than classes.
+    alone = shared.limit(0).select(F.col("cls").alias("node"), F.col("cls").alias("root"))
+    none_tried = shared.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    stars = _nearest(shared, alone, none_tried, s, 0)
+    tried = _verified(stars, docs, first_ids, s, f"{folder}/first")
+    parts = stored(components(tried.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), f"{folder}/parts")
+
+    # Then, in rounds, each component is compared with one other: no more pairs than components, which at least halve
+    # while pairs link. What is left after them, pairs that do not link or only few, is compared whole.
+    for i in range(MERGE_ROUNDS + 1):
+        whole = i == MERGE_ROUNDS
+        pairs = stored(_across(shared, parts, tried, s) if whole else _nearest(shared, parts, tried, s, i + 1), f"{folder}/across{i}")
+        if not pairs.limit(1).count():
+            if whole:
+                break
+            continue
+        now = _verified(pairs, docs, first_ids, s, f"{folder}/round{i}")
+        found = now.filter("linked").select("a", "b")
+        tried = tried.unionByName(now)
+        if found.limit(1).count():
+            links = parts.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found)
+            parts = stored(components(links), f"{folder}/parts{i}")
 
     none = F.lit(-(1 << 63))
     grouped = first_ids.join(parts, first_ids["cls"] == parts["node"], "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"))
