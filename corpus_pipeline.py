@@ -15,9 +15,8 @@ MAX_BROADCAST_IDS = 1_000_000
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    small = ids.count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti")
+def _fits(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,20 +33,21 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id. Of rows that share an id one stays.
+    """One document of each group of near copies: the one with the least id; only where no member has an id, one without.
 
-    A document without an id stays unless its group has one with an id; documents without a word are in no group.
+    Rows are told by a number of their own, so different texts under one id, and texts without an id, are each decided
+    by their own group. Documents without a word are in no group and stay.
     """
-    found = stored(ngram_join.join_ngrams(spark, docs.select("doc_id", "text")).select("doc_id", "component_id"), shared_dir(spark))
-    kept = _without(docs, found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    nameless = found.filter(F.col("doc_id").isNull() & F.col("component_id").isNotNull()).limit(1).count()
-    if nameless:
-        kept = kept.filter(F.col("doc_id").isNotNull())
-    twice = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    if twice.limit(1).count():
-        again = F.broadcast(twice) if twice.count() <= MAX_BROADCAST_IDS else twice
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    folder = shared_dir(spark)
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), f"{folder}/rows")
+    made = ngram_join.join_ngrams(spark, rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")))
+    found = stored(made.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), f"{folder}/found")
+    groups = stored(found.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group"), f"{folder}/groups")
+    members = stored(found.join(_fits(groups), "group").join(rows.select("row", F.col("doc.doc_id").alias("id")), "row"), f"{folder}/members")
+    first = members.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("first"))
+    first = stored(first.select("group", F.col("first.row").alias("first")), f"{folder}/first")
+    gone = stored(members.join(_fits(first), "group").filter(F.col("row") != F.col("first")).select("row"), f"{folder}/gone")
+    return rows.join(_fits(gone), "row", "left_anti").select("doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,3 +29,13 @@ def test_stages_keep_clean_rows_and_all_columns(spark, odd, tmp_path):
     assert ids.count(6) == 1
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert {r["doc_id"] for r in pieces.collect()} == set(ids)
+
+
+def test_copies_go_row_by_row(spark):
+    """Null ids, copies without any id, and different texts under one id: one row of each group stays, and every unique text."""
+    text = lambda k: " ".join("%s%d" % (k, i * i % 977) for i in range(60))
+    rows = [(7, text("a")), (3, text("a") + " more"), (None, text("a")), (None, text("u")), (None, text("p")), (None, text("p")), (7, text("t")), (9, text("v")), (9, text("w")), (9, text("w")), (None, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.deduplicate(spark, docs, "").collect()]
+    want = [(3, text("a") + " more"), (None, text("u")), (None, text("p")), (7, text("t")), (9, text("v")), (9, text("w")), (None, None), (4, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
