@@ -89,6 +89,31 @@ def test_windows_keep_the_mixture(spark):
             assert abs(got[k][q] - 512 * n / whole) <= 2
 
 
+@pytest.mark.parametrize("weights", [None, {"q007": 1.0, "q008": 3.0}])
+def test_many_small_sources_keep_the_mixture(spark, weights):
+    """300 sources, each under 1/256 of all bytes, and a few that are far smaller; small sources that weights name."""
+    docs = spark.createDataFrame([(i, "word " * (20 + i % 7), f"q{i // 20:03d}") for i in range(6000)] + [(9000 + i, "word " * (3 + 2 * i), f"z{i}") for i in range(4)], "doc_id long, text string, source string")
+    rows = packing.pack(spark, docs, size=2048, weights=weights, with_ids=True).join(docs.select("doc_id", "source"), "doc_id").collect()
+    sequences(rows)
+    assert all(r["ids_crc32"] == crc(r["ids"]) for r in rows)
+    by = defaultdict(int)
+    for r in rows:
+        by[r["source"]] += r["length"]
+    whole = sum(by.values())
+    assert whole == sum(len(ids(r["text"], 1)) for r in docs.collect())
+    got, full = defaultdict(int), whole // 2048
+    for r in rows:
+        got[r["sequence_id"], r["source"]] += r["length"]
+    if weights:
+        assert got[0, "q007"] == 512 and got[0, "q008"] == 1536 or by["q007"] + by["q008"] < 2048 and got[0, "q007"] > 0 and got[0, "q008"] > 0
+        return
+    for q, n in by.items():
+        had = 0
+        for k in range(full):
+            had += got[k, q]
+            assert abs(had - n * (k + 1) / (whole / 2048)) <= 24
+
+
 def test_packing_nothing(spark, none):
     assert packing.pack(spark, none).count() == 0
 

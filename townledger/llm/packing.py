@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator, Mapping
@@ -17,9 +18,11 @@ from townledger.llm.common import shared_dir, stored
 from townledger.llm.tokenfiles import encoded
 from townledger.llm.tokens import default_path
 
-#: Sources with at least one in so many bytes have a queue of their own; the others share one.
+#: Sources that weights name or with at least one in so many bytes have a queue of their own; the others are dealt into one.
 MAX_QUEUES = 256
 REST = "\x00rest"
+#: Tokens that a dealt source has in each round at least, and sources that one group of the rest holds on average at most.
+QUANTUM, GROUP_SOURCES = 8, 100_000
 
 
 @dataclass(frozen=True)
@@ -117,14 +120,74 @@ class Layout:
             k += 1
 
 
+@dataclass(frozen=True)
+class Deal:
+    """One of several streams that are dealt into one: its tokens are [below, below + count) of whole, in rounds of size tokens.
+
+    With a quantum of two tokens a round or more, what a stream has had after a round never falls.
+    """
+
+    below: int
+    count: int
+    whole: int
+    size: int
+
+    def _upto(self, x: int, k: int) -> int:
+        return x if k > self.whole // self.size else x * self.size * k // self.whole
+
+    def served(self, k: int) -> int:
+        return self._upto(self.below + self.count, k) - self._upto(self.below, k)
+
+    def places(self, start: int, end: int) -> Iterator[tuple[int, int, int]]:
+        """(first token, end token, place in the dealt stream) for tokens [start, end)."""
+        k = min(self.whole // self.size, start * self.whole // (self.count * self.size))
+        while k > 0 and self.served(k) > start:
+            k -= 1
+        while start < end:
+            had, stop = self.served(k), min(end, self.served(k + 1))
+            if stop > start:
+                yield start, stop, k * self.size + self._upto(self.below, k + 1) - self._upto(self.below, k) + start - had
+                start = stop
+            k += 1
+
+
+def round_size(whole: int, least: int) -> int:
+    return -(-QUANTUM * whole // least)
+
+
+def deal_groups(totals: Mapping[str, int]) -> dict[str, list[Deal]]:
+    """For each group the deals, inner first, that bring its tokens into one stream: always the two smallest are dealt into one."""
+    heap = [(n, i, [g]) for i, (g, n) in enumerate(sorted(totals.items())) if n > 0]
+    heapq.heapify(heap)
+    found: dict[str, list[Deal]] = {g: [] for _, _, (g,) in heap}
+    while len(heap) > 1:
+        (a, i, few), (b, _, many) = heapq.heappop(heap), heapq.heappop(heap)
+        for below, n, names in ((0, a, few), (a, b, many)):
+            for g in names:
+                found[g].append(Deal(below, n, a + b, round_size(a + b, a)))
+        heapq.heappush(heap, (a + b, i, few + many))
+    return found
+
+
+def _dealt(deals: list[Deal], start: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """(first token, end token, place in the last stream) for tokens [start, end) of the first."""
+    if not deals:
+        yield start, end, start
+        return
+    for s, e, at in deals[0].places(start, end):
+        for s2, e2, to in _dealt(deals[1:], at, at + e - s):
+            yield s + s2 - at, s + e2 - at, to
+
+
 def pack(
     spark: SparkSession, docs: DataFrame, size: int = 2048, path: str | None = None, end: int | None = 1, weights: Mapping[str, float] | None = None, key: str = "doc_id", text: str = "text", source: str = "source", with_ids: bool = False
 ) -> DataFrame:
     """One row for each piece of a document: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue.
 
     Each document's ids (whole text, then the end id) are encoded once and stored; its place in its
-    source's queue follows from the totals of (task, source), at most MAX_QUEUES + 1 a task, and the place of each
-    piece from the closed form of the deficits, so no queue of any length passes through one task.
+    source follows from the totals of (task, source), and the place of each piece from the closed form of the deficits,
+    so no queue of any length passes through one task. Sources without a queue are dealt into the queue REST in
+    proportion: first into groups of sources of about one size (a factor of two), then the groups into one.
 
     A null text is empty (its end id alone), a null source is a queue of its own kind ("\\x00null"). Repeated rows are
     packed each. Without an end id an empty text gives no piece. An empty table gives no piece. size is a power of two.
@@ -136,13 +199,13 @@ def pack(
     by_source = docs.select(name.alias("q"), F.octet_length(text).alias("b")).groupBy("q").agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
     by_source = stored(by_source, f"{folder}/sources")
     whole = by_source.agg(F.sum("b")).first()[0] or 0
-    own = frozenset(r["q"] for r in by_source.filter(F.col("b") * F.lit(MAX_QUEUES) >= F.lit(whole)).orderBy(F.desc("b"), "q").limit(MAX_QUEUES).collect())
+    own = frozenset(r["q"] for r in by_source.filter(F.col("b") * F.lit(MAX_QUEUES) >= F.lit(whole)).orderBy(F.desc("b"), "q").limit(MAX_QUEUES).collect()) | frozenset(weights or ())
     kind = docs.schema[key].dataType.simpleString()
 
     def encode_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, had = TaskContext.get().partitionId(), {}
         for batch in batches:
-            names = [q if q in own else REST for q in batch.column(2).to_pylist()]
+            names = batch.column(2).to_pylist()
             for lo, hi, ids in encoded(batch, "t", path, end):
                 n = np.diff(ids.offsets.to_numpy()).astype(np.int64)
                 before = np.empty(hi - lo, np.int64)
@@ -150,16 +213,34 @@ def pack(
                     before[i] = had.get(q, 0)
                     had[q] = int(before[i] + n[i])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([part] * (hi - lo), pa.int32()), pa.array(names[lo:hi], pa.string()), pa.array(before), pa.array(n), ids], names=["k", "part", "queue", "before", "n", "ids"]
+                    [batch.column(0).slice(lo, hi - lo), pa.array([part] * (hi - lo), pa.int32()), pa.array(names[lo:hi], pa.string()), pa.array(before), pa.array(n), ids], names=["k", "part", "source", "before", "n", "ids"]
                 )
 
-    tokens = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), name.alias("q")).mapInArrow(encode_part, f"k {kind}, part int, queue string, before long, n long, ids array<int>")
+    tokens = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), name.alias("q")).mapInArrow(encode_part, f"k {kind}, part int, source string, before long, n long, ids array<int>")
     tokens = stored(tokens, f"{folder}/tokens")
 
-    part_totals = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = part_totals.select("queue", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    totals = {r["queue"]: r["n"] for r in part_totals.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
+    part_totals = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = part_totals.select("source", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    by_source = part_totals.groupBy("source").agg(F.sum("n").alias("n"))
+    named = F.col("source").isin(*own) if own else F.lit(False)
+    totals = {r["source"]: r["n"] for r in by_source.filter(named).collect()}
+    # Of the others only the totals of their groups come to the driver; each source's place in its group goes with its rows.
+    others = by_source.filter(~named & (F.col("n") > 0)).withColumn("c", F.length(F.bin("n")))
+    split = {r["c"]: -(-r["k"] // GROUP_SOURCES) for r in others.groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()}
+    groups: dict[str, tuple[int, int]] = {}
+    if split:
+        parts = F.create_map(*(F.lit(x) for p in split.items() for x in p))[F.col("c")]
+        others = others.withColumn("g", F.concat_ws(".", "c", F.pmod(F.xxhash64("source"), parts)))
+        groups = {r["g"]: (r["n"], r["least"]) for r in others.groupBy("g").agg(F.sum("n").alias("n"), F.min("n").alias("least")).collect()}
+        before = Window.partitionBy("g").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
+        others = others.select("source", "g", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"), F.col("n").alias("count"))
+        others = stored(others, f"{folder}/others")
+        bases = bases.join(F.broadcast(others) if others.count() <= 1_000_000 else others, "source", "left")
+        totals[REST] = sum(n for n, _ in groups.values())
+    else:
+        bases = bases.select("*", F.lit(None).cast("string").alias("g"), F.lit(None).cast("long").alias("below"), F.lit(None).cast("long").alias("count"))
+    deals = deal_groups({g: n for g, (n, _) in groups.items()})
     phases = make_phases(totals, size, weights)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,18 +253,26 @@ def pack(
             ids = batch.column(3)
             offs, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
             row, start, length, crc, seq, off = [], [], [], [], [], []
-            for r, (q, a) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            for r, (q, a, g, below, count) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 4, 5, 6)))):
                 raw, n = values[offs[r] : offs[r + 1]].tobytes(), int(offs[r + 1] - offs[r])
-                for lo, hi, i, j in at.get(q, ()):
-                    if lo < a + n and hi > a:
-                        for s, e, sequence, offset in layouts[i].pieces(j, max(a, lo) - lo, min(a + n, hi) - lo):
-                            s, e = s + lo - a, e + lo - a
-                            row.append(r)
-                            start.append(s)
-                            length.append(e - s)
-                            crc.append(zlib.crc32(raw[4 * s : 4 * e]))
-                            seq.append(sequence)
-                            off.append(offset)
+                if g is None:
+                    runs = [(a, a + n, a)]
+                elif n:
+                    runs = _dealt([Deal(below, count, groups[g][0], round_size(*groups[g])), *deals[g]], a, a + n)
+                else:
+                    runs = []
+                for first, last, b in runs:
+                    m = last - first
+                    for lo, hi, i, j in at.get(q, ()):
+                        if lo < b + m and hi > b:
+                            for s, e, sequence, offset in layouts[i].pieces(j, max(b, lo) - lo, min(b + m, hi) - lo):
+                                s, e = s + lo - b + first - a, e + lo - b + first - a
+                                row.append(r)
+                                start.append(s)
+                                length.append(e - s)
+                                crc.append(zlib.crc32(raw[4 * s : 4 * e]))
+                                seq.append(sequence)
+                                off.append(offset)
             row = np.array(row, np.int64)
             out = {"k": batch.column(0).take(pa.array(row)), "start": start, "length": length, "ids_crc32": crc, "doc_tokens": np.diff(offs)[row].astype(np.int64), "sequence_id": seq, "offset": off}
             long = {c: pa.array(v, pa.int64()) for c, v in out.items() if c != "k"}
@@ -194,6 +283,8 @@ def pack(
 
     # One row for each task and queue; beyond what a broadcast may hold, Spark joins it by shuffle.
     small = bases.count() <= 1_000_000
-    placed = tokens.join(F.broadcast(bases) if small else bases, ["queue", "part"]).select("k", "queue", (F.col("base") + F.col("before")).alias("a"), "ids")
+    placed = tokens.join(F.broadcast(bases) if small else bases, ["source", "part"]).select(
+        "k", F.when(F.col("g").isNull(), F.col("source")).otherwise(F.lit(REST)).alias("queue"), (F.col("base") + F.col("before")).alias("a"), "ids", "g", "below", "count"
+    )
     pieces = placed.mapInArrow(cut, f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string" + ", ids array<int>" * with_ids)
     return pieces.withColumnRenamed("k", key)
