@@ -152,3 +152,19 @@ def test_jobs(spark, tmp_path):
     q = jobs.job_states(stream).writeStream.outputMode("update").format("memory").queryName("job_states").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r["job_id"]: (r["status"], r["attempts"]) for r in spark.table("job_states").collect()} == {1: ("done", 1), 2: ("queued", 1), 3: ("queued", 0)}
+
+
+def test_vector_search_in_blocks_and_within_a_label(spark, monkeypatch):
+    """More queries than a block holds are broadcast in several; a label is matched before ranks are given."""
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)], i % 2) for i in range(40)], "vec_id long, embedding array<double>, label int")
+    q = df.filter("vec_id < 9").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("ql"))
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    whole = rows(search.vector_search_many(df, q, k=3))
+    monkeypatch.setattr(search, "MAX_QUERIES", 3)
+    blocked = search.vector_search_many(df, q, k=3)
+    assert rows(blocked) == whole and len(whole) == 27
+    assert blocked._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 3
+    near = rows(search.vector_search_many(df, q, k=3, within=("label", "ql")))
+    ranked = rows(search.vector_search_many(df, q, k=40))
+    want = sorted((i, v, s) for n in range(9) for i, v, s in [(i, v, s) for i, v, s, r in sorted(ranked, key=lambda t: (t[0], t[3])) if i == n and v % 2 == n % 2][:3])
+    assert [t[:3] for t in near] == want

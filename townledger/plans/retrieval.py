@@ -74,9 +74,7 @@ def ann_recall(spark, d):
     e = table(spark, d, "embeddings")
     q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("ql"))
     exact = S.vector_search_many(e, q, k=10).select("query_id", "vec_id")
-    near = S.vector_search_many(e.select("vec_id", "embedding", "label").join(F.broadcast(q.select("ql").distinct()), F.col("label") == F.col("ql"), "left_semi"), q, k=1_000_000)
-    near = near.join(e.select("vec_id", "label"), "vec_id").join(F.broadcast(q.select("query_id", "ql")), "query_id").filter("label = ql")
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter("r <= 10").select("query_id", "vec_id")
+    near = S.vector_search_many(e.select("vec_id", "embedding", "label"), q, k=10, within=("label", "ql")).select("query_id", "vec_id")
     return exact.join(near.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.round(F.count("hit") / 10, 4).alias("recall"))
 
 
