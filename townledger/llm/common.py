@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; bounds a task's memory, not a document.
 CHUNK_BYTES = 1 << 20
+#: Bytes and rows of an Arrow batch that Spark sends to Python, about; a longer text is a batch of its own.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4000
 
 U64 = np.uint64
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=U64)
@@ -24,22 +27,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, below one made for this session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder below spark.checkpoint.dir; only a session in one process, as in tests, may leave that unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="townledger-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="townledger-")
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tl-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on in this session, an Arrow batch for Python ends at BATCH_BYTES, so that long texts do not add up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write df as Parquet in a shared folder and read it again: lineage ends there."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def closed(docs: DataFrame, *more: str, text: str = "text") -> DataFrame:
+    """docs as its text, the columns more and all other columns in one, _row, whatever their names; the text is sent once."""
+    return docs.select(text, *more, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.lit(0).alias("_")).alias("_row"))
+
+
+def opened(rows: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """The columns of docs again, from rows that closed made."""
+    return rows.select(*[F.col(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in columns])
+
+
 def text_chunks(batch: pa.RecordBatch, column: str, target: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows; a null is an empty text. Each text is whole."""
     arr = batch.column(batch.schema.get_field_index(column))

@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townledger.llm.common import ALNUM, U64, text_chunks, words
+from townledger.llm.common import ALNUM, U64, closed, opened, small_batches, text_chunks, words
 
 #: Text of one suffix array; a longer document has one of its own.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Benchmark text that is broadcast at once; a larger benchmark is searched in blocks of this size, one after the other.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 
 SPAN = "array<struct<s:int,e:int>>"
 MATCH = "array<struct<item_id:string,doc_word:int,item_word:int,n_words:int>>"
@@ -37,22 +37,20 @@ class Tests:
         offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         h, _, _, first = words(np.frombuffer(b"".join(texts), np.uint8), offs, ALNUM)
         self.vocabulary, ids = np.unique(h, return_inverse=True)
-        rows, item, place, size = [], [], [], []
-        for r, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-            n = min(window, b - a)
-            for j in range(b - a - n + 1 if n else 0):
-                row = np.full(window, -1, np.int64)
-                row[:n] = ids[a + j : a + j + n]
-                rows.append(row)
-                item.append(code[items[r][0]])
-                place.append(j)
-                size.append(n)
-        grid = np.array(rows, np.int64).reshape(-1, window)
+        size = np.minimum(np.diff(first), window)
+        n = np.where(size > 0, np.diff(first) - size + 1, 0)  # windows of each item
+        row = np.repeat(np.arange(len(items)), n)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        start = first[:-1][row] + place
+        padded = np.concatenate([ids.astype(np.int32), np.zeros(window, np.int32)])
+        grid = np.lib.stride_tricks.sliding_window_view(padded, window)[start]
+        grid[np.arange(window) >= size[row][:, None]] = -1
+        item = np.array([code[i] for i, _ in items], np.int64)[row]
         self.grid, of = np.unique(grid, axis=0, return_inverse=True) if len(grid) else (grid, np.zeros(0, np.int64))
         of = of.reshape(-1)
         self.sizes = (self.grid >= 0).sum(1)
         by = np.argsort(of, kind="stable")
-        self.item, self.place = np.array(item, np.int64)[by], np.array(place, np.int64)[by]
+        self.item, self.place = item[by], place[by]
         self.at = np.searchsorted(of[by], np.arange(len(self.grid) + 1))
 
 
@@ -186,9 +184,9 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search_block(docs: DataFrame, sent, text: str) -> DataFrame:
+def _search_block(docs: DataFrame, sent, text: str, without: tuple[str, ...] = ()) -> DataFrame:
     schema = docs.schema
-    plain = [f for f in schema.fields if f.name not in ("n_words", "_spans", "_items", "_matches")]
+    plain = [f for f in schema.fields if f.name not in ("n_words", "_spans", "_items", "_matches", *without)]
     more = "_spans" in docs.columns
     names = [f.name for f in plain]
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain]
@@ -217,8 +215,8 @@ def _search_block(docs: DataFrame, sent, text: str) -> DataFrame:
     return docs.mapInArrow(per_task, ", ".join([*kinds, "n_words long", f"_spans {SPAN}", "_items array<string>", f"_matches {MATCH}"]))
 
 
-def find_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with n_words, n_hit, n_items, item_ids, items_sha256, contaminated and matches (longest verbatim ones).
+def find_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
+    """docs, but for the columns without, with n_words, n_hit, n_items, item_ids, items_sha256, contaminated and matches (longest verbatim ones).
 
     Words are runs of letters, digits and non-ASCII bytes after A-Z became a-z. Windows are every run of window words of
     an item, or a whole shorter item; a document word in any occurrence is hit. matches: item, first word in the document
@@ -227,18 +225,18 @@ def find_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, win
     have these names are replaced. Without documents or items the result is what these rules give.
     """
     made = ("n_words", "n_hit", "n_items", "item_ids", "items_sha256", "contaminated", "matches", "_spans", "_items", "_matches")
+    small_batches(spark)
     out = docs.select(*[c for c in docs.columns if c not in made])
     tests = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("t")).filter(F.octet_length("t") > 0)
     size = tests.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     for b in range(blocks):
         part = tests.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else tests
-        out = _search_block(out, spark.sparkContext.broadcast(Tests([(r["i"], r["t"]) for r in part.collect()], window)), text)
+        out = _search_block(out, spark.sparkContext.broadcast(Tests([(r["i"], r["t"]) for r in part.collect()], window)), text, without if b == blocks - 1 else ())
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda acc, x: acc + (x["e"] - x["s"]))
     return out.withColumns({"n_hit": hit, "n_items": F.size("_items").cast("long"), "items_sha256": F.sha2(F.array_join(F.array_sort("_items"), ","), 256)}).withColumn("contaminated", F.col("n_hit") > 0).withColumnsRenamed({"_items": "item_ids", "_matches": "matches"}).drop("_spans")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without any window of the benchmark, with the columns of docs."""
-    rows = docs.select("text", F.struct(*docs.columns).alias("_doc"))
-    return find_matches(spark, rows, benchmark, window).filter(~F.col("contaminated")).select("_doc.*")
+    return opened(find_matches(spark, closed(docs), benchmark, window).filter(~F.col("contaminated")), docs.columns)

@@ -19,6 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from townledger.llm.common import small_batches, text_chunks
+
+#: Bytes of pages whose trees are in memory at once; a longer page is alone.
+CHUNK = 1 << 20
 STRUCTURE, CONTENT, BOILERPLATE = range(3)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never text of a page: what is not rendered, and controls of forms.
@@ -329,14 +333,15 @@ def extract(spark: SparkSession, pages: DataFrame, html: str = "html", text: str
     """
     keep = [c for c in pages.columns if c not in (text, "n_chars")]
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema.fields]
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(trained())
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(html))
-            for lo in range(0, batch.num_rows, 200):
-                parsed = [Page(x or "") for x in column.slice(lo, 200).to_pylist()]
+            for lo, hi, _, _ in text_chunks(batch, html, CHUNK):
+                parsed = [Page(x or "") for x in column.slice(lo, hi - lo).to_pylist()]
                 texts = [page_text(p, m[:, CONTENT] >= 0.5) for p, m in zip(parsed, model.marginals(parsed))]
                 own = [c.slice(lo, len(parsed)) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*batch.schema.names, text, "n_chars"])

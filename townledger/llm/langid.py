@@ -11,9 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townledger.llm.common import crc_of_id, text_chunks
+from townledger.llm.common import crc_of_id, small_batches, text_chunks
 
 U32 = np.uint32
+#: Bytes of text scored at once.
+CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -71,7 +73,7 @@ def counts(labelled: DataFrame, text: str, lang: str, s: Settings) -> DataFrame:
         docs: dict[str, int] = {}
         for batch in batches:
             langs = batch.column(batch.schema.get_field_index(lang)).to_pylist()
-            for lo, hi, data, offs in text_chunks(batch, text):
+            for lo, hi, data, offs in text_chunks(batch, text, CHUNK):
                 if not len(data):
                     continue
                 points, at, _ = _chars(data, offs)
@@ -101,11 +103,13 @@ def fit(spark: SparkSession, labelled: DataFrame, text: str = "text", lang: str
 
     Only the model comes to the driver: max_languages x buckets numbers at most. Texts without letters teach nothing but their prior.
     """
-    found = counts(labelled.filter(F.col(lang).isNotNull()), text, lang, settings)
-    cols = found.toArrow()
-    names = sorted(set(cols["lang"].to_pylist()))
-    if len(names) > settings.max_languages:
-        raise ValueError(f"{len(names)} languages; max_languages is {settings.max_languages}")
+    small_batches(spark)
+    labelled = labelled.filter(F.col(lang).isNotNull())
+    most = settings.max_languages
+    names = sorted(r[0] for r in labelled.select(lang).distinct().limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"over {most} languages")
+    cols = counts(labelled, text, lang, settings).toArrow()
     full, prior = np.zeros((settings.buckets, len(names))), np.zeros(len(names))
     code = {x: i for i, x in enumerate(names)}
     column = np.array([code[x] for x in cols["lang"].to_pylist()], np.int64)
@@ -116,25 +120,26 @@ def fit(spark: SparkSession, labelled: DataFrame, text: str = "text", lang: str
     return names, np.log(prior / prior.sum()) if names else prior, logp.astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """docs and lang_pred string, score double: the likeliest language and its tempered posterior.
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text", settings: Settings = Settings(), without: tuple[str, ...] = ()) -> DataFrame:
+    """docs, but for the columns without, and lang_pred string, score double: the likeliest language and its tempered posterior.
 
     A null text or one without a letter is `und` with score 0, and so is every text if nothing was learned.
     Columns named lang_pred or score are replaced.
     """
     names, prior, logp = model
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((names, prior, logp))
-    schema = docs.select(*keep).schema
-    out = schema.simpleString()[7:-1]
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), "lang_pred string", "score double"])
+    returned = [f for f in docs.select(*keep).schema.fields if f.name not in without]
+    back = [keep.index(f.name) for f in returned]
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in returned), "lang_pred string", "score double"])
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, prior, logp = sent.value
         for batch in batches:
             rows = batch.num_rows
             best, score = np.full(rows, -1), np.zeros(rows)
-            for lo, hi, data, offs in text_chunks(batch, text):
+            for lo, hi, data, offs in text_chunks(batch, text, CHUNK):
                 if not len(data) or not names:
                     continue
                 points, at, letters = _chars(data, offs)
@@ -156,17 +161,17 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
                 pick = np.where(letters > 0, z.argmax(1), -1)
                 best[lo:hi], score[lo:hi] = pick, np.where(letters > 0, z.max(1), 0.0)
             pred = pa.array([names[i] if i >= 0 else "und" for i in best], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pred, pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in back), pred, pa.array(score)], names=[*(batch.schema.names[i] for i in back), "lang_pred", "score"])
 
     return docs.select(*keep).mapInArrow(per_batch, out)
 
 
-def identify(spark: SparkSession, docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Every document with lang_pred, score and held_out; learned from the documents that are not held out.
+def identify(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), without: tuple[str, ...] = ()) -> DataFrame:
+    """Every document, but for the columns without, with lang_pred, score and held_out; learned from the documents that are not held out.
 
     held_out: crc32 of doc_id as text has remainder 2 by 4. A null doc_id is not held out. lang is read for
     learning alone.
     """
     held = F.coalesce(F.pmod(crc_of_id(), F.lit(4)) == 2, F.lit(False))
     model = fit(spark, docs.filter(~held).select("text", "lang"), settings=settings)
-    return predict(docs.withColumn("held_out", held), model, settings=settings)
+    return predict(docs.withColumn("held_out", held), model, settings=settings, without=without)

@@ -28,12 +28,12 @@ def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontam.find_matches(spark, docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return decontam.find_matches(spark, docs, table(spark, sf_dir, "benchmark"), without=("text",)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return langid.identify(spark, docs).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.identify(spark, docs, without=("text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op6_html_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op7_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.score(spark, docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+    return toxicity.score(spark, docs, table(spark, sf_dir, "labels"), without=("text",)).select("doc_id", "held_out", "score", "predicted")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

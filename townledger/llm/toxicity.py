@@ -11,9 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townledger.llm.common import crc_of_id, text_chunks
+from townledger.llm.common import crc_of_id, small_batches, text_chunks
 
 U32 = np.uint32
+#: Bytes of text scored at once.
+CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -114,7 +116,7 @@ def _bags(rows: DataFrame, s: Settings, text: str, label: str) -> DataFrame:
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = batch.column(0).to_pylist()
-            for lo, hi, data, offs in text_chunks(batch, text):
+            for lo, hi, data, offs in text_chunks(batch, text, CHUNK):
                 w = Words(data, offs, s.buckets)
                 chars = "".join(map(chr, np.where(w.c == 0, 32, w.c)))
                 names = [chars[a:b] for a, b in zip(w.start.tolist(), w.end.tolist())]
@@ -200,27 +202,31 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), text: str = "text"
 
     Only the bounded sample of Settings comes to the driver, as lists of words.
     """
+    small_batches(labelled.sparkSession)
     rows = sample(labelled, settings, text, label, F.xxhash64(F.lit(settings.seed), key))
     bags = _bags(rows, settings, text, label).toArrow()
     return train(bags["label"].to_numpy().astype(np.int64), bags["words"].to_pylist(), settings)
 
 
-def predict(docs: DataFrame, model: np.ndarray, settings: Settings = Settings(), text: str = "text") -> DataFrame:
-    """docs with score double and predicted int: the softmax's probability of each text's most toxic window of words.
+def predict(docs: DataFrame, model: np.ndarray, settings: Settings = Settings(), text: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
+    """docs, but for the columns without, with score double and predicted int: the softmax's probability of each text's most toxic window of words.
 
     A null or empty text, or one without words, has the score of an empty window. Texts of any
     length are scored whole. Columns named score or predicted are replaced.
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields]
+    returned = [f for f in docs.select(*keep).schema.fields if f.name not in without]
+    back = [keep.index(f.name) for f in returned]
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in returned]
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = sent.value
         logit, bias = value[:-1], float(value[-1])
         for batch in batches:
             best = np.zeros(batch.num_rows)
-            for lo, hi, data, offs in text_chunks(batch, text, 2 << 20):
+            for lo, hi, data, offs in text_chunks(batch, text, CHUNK):
                 w = Words(data, offs, settings.buckets)
                 n = np.diff(w.first)
                 if not n.sum():
@@ -233,7 +239,7 @@ def predict(docs: DataFrame, model: np.ndarray, settings: Settings = Settings(),
                 some = np.flatnonzero(n)
                 best[lo + some] = np.maximum.reduceat(z, w.first[:-1][some])
             score = 1 / (1 + np.exp(-np.clip(best + bias, -40, 40)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in back), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*(batch.schema.names[i] for i in back), "score", "predicted"])
 
     return docs.select(*keep).mapInArrow(per_batch, ", ".join([*kinds, "score double", "predicted int"]))
 
@@ -257,6 +263,6 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, settings: Set
     return fit(rows, settings)
 
 
-def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Every document with held_out, score and predicted; labels, lang, source and doc_id are not inputs of a score."""
-    return predict(docs.withColumn("held_out", held_out()), learn(spark, docs, labels, settings), settings)
+def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), without: tuple[str, ...] = ()) -> DataFrame:
+    """Every document, but for the columns without, with held_out, score and predicted; labels, lang, source and doc_id are not inputs of a score."""
+    return predict(docs.withColumn("held_out", held_out()), learn(spark, docs, labels, settings), settings, without=without)
