@@ -1,10 +1,11 @@
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from townledger.llm import packing, tokenfiles
+from townledger.llm import packing, tokenfiles, tokens
 from townledger.llm.common import shared_dir
 from townledger.llm.tokens import default_path, encoder
 
@@ -22,7 +23,20 @@ def crc(x):
 @pytest.mark.parametrize("text", ODD)
 def test_pieces_equal_the_library(text):
     e = encoder(default_path())
-    assert e.ids(text) == np.array(e._tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert e.ids(text).tolist() == e._tok.encode(text, add_special_tokens=False).ids
+
+
+def test_random_texts_equal_the_library(monkeypatch):
+    """Texts of odd pieces, many at a time, with a table of pieces that is given up again and again."""
+    monkeypatch.setattr(tokens, "PIECES", 100)
+    e, r = encoder(default_path()), random.Random(4)
+    pool = ["a", "B", "é", "×", "÷", "ß", "ő", "漢", "１", "٣", "5", "12", "'", "'s", "'ll", "’", "-", ".", ", ", " ", "  ", "\n", " \n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "😀", "<|endoftext|>", "x" * 40, "_", "\r\n"]
+    for _ in range(20):
+        texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 30))) for _ in range(200)]
+        raw = [t.encode() for t in texts]
+        ids, at = e.batch(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == e._tok.encode(t, add_special_tokens=False).ids
 
 
 def test_token_files_round_trip(spark, odd, none):

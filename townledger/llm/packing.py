@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from townledger.llm.common import shared_dir, stored
+from townledger.llm.common import shared_dir, small_batches, stored
 from townledger.llm.tokenfiles import encoded
 from townledger.llm.tokens import default_path
 
@@ -195,6 +195,7 @@ def pack(
     if size & (size - 1):
         raise ValueError("size must be a power of two")
     path, folder = path or default_path(), shared_dir(spark)
+    small_batches(spark)
     name = F.coalesce(F.col(source).cast("string"), F.lit("\x00null"))
     by_source = docs.select(name.alias("q"), F.octet_length(text).alias("b")).groupBy("q").agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
     by_source = stored(by_source, f"{folder}/sources")
@@ -206,17 +207,17 @@ def pack(
         part, had = TaskContext.get().partitionId(), {}
         for batch in batches:
             names = batch.column(2).to_pylist()
-            for lo, hi, ids in encoded(batch, "t", path, end):
-                n = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+            for lo, hi, flat, at in encoded(batch, "t", path, end):
+                n, raw = np.diff(at), flat.astype("<u4", copy=False).tobytes()
                 before = np.empty(hi - lo, np.int64)
                 for i, q in enumerate(names[lo:hi]):
                     before[i] = had.get(q, 0)
                     had[q] = int(before[i] + n[i])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([part] * (hi - lo), pa.int32()), pa.array(names[lo:hi], pa.string()), pa.array(before), pa.array(n), ids], names=["k", "part", "source", "before", "n", "ids"]
+                    [batch.column(0).slice(lo, hi - lo), pa.array([part] * (hi - lo), pa.int32()), pa.array(names[lo:hi], pa.string()), pa.array(before), pa.array(n), pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(raw)])], names=["k", "part", "source", "before", "n", "ids"]
                 )
 
-    tokens = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), name.alias("q")).mapInArrow(encode_part, f"k {kind}, part int, source string, before long, n long, ids array<int>")
+    tokens = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), name.alias("q")).mapInArrow(encode_part, f"k {kind}, part int, source string, before long, n long, ids binary")
     tokens = stored(tokens, f"{folder}/tokens")
 
     part_totals = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
@@ -251,10 +252,11 @@ def pack(
                 at.setdefault(q, []).append((p.starts[j], p.starts[j] + p.counts[j], i, j))
         for batch in batches:
             ids = batch.column(3)
-            offs, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
+            raws = ids.to_pylist()
+            counts = np.array([len(x) // 4 for x in raws], np.int64)
             row, start, length, crc, seq, off = [], [], [], [], [], []
             for r, (q, a, g, below, count) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 4, 5, 6)))):
-                raw, n = values[offs[r] : offs[r + 1]].tobytes(), int(offs[r + 1] - offs[r])
+                raw, n = raws[r], int(counts[r])
                 if g is None:
                     runs = [(a, a + n, a)]
                 elif n:
@@ -274,11 +276,11 @@ def pack(
                                 seq.append(sequence)
                                 off.append(offset)
             row = np.array(row, np.int64)
-            out = {"k": batch.column(0).take(pa.array(row)), "start": start, "length": length, "ids_crc32": crc, "doc_tokens": np.diff(offs)[row].astype(np.int64), "sequence_id": seq, "offset": off}
+            out = {"k": batch.column(0).take(pa.array(row)), "start": start, "length": length, "ids_crc32": crc, "doc_tokens": counts[row], "sequence_id": seq, "offset": off}
             long = {c: pa.array(v, pa.int64()) for c, v in out.items() if c != "k"}
             extra = {"queue": batch.column(1).take(pa.array(row))}
             if with_ids:
-                extra["ids"] = pa.array([values[offs[r] + s : offs[r] + s + n].astype(np.int32) for r, s, n in zip(row, start, length)], pa.list_(pa.int32()))
+                extra["ids"] = pa.array([np.frombuffer(raws[r][4 * s : 4 * (s + n)], "<i4") for r, s, n in zip(row, start, length)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict({"k": out["k"], **long, **extra})
 
     # One row for each task and queue; beyond what a broadcast may hold, Spark joins it by shuffle.

@@ -11,20 +11,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from townledger.llm.common import small_batches, text_chunks
 from townledger.llm.tokens import default_path, encoder
 
-#: Texts that a task encodes before it hands a batch on.
-ROWS = 1000
-
-
-def encoded(batch: pa.RecordBatch, column: str, path: str, end: int | None) -> Iterator[tuple[int, int, pa.ListArray]]:
-    """(first row, end row, ids) for runs of at most ROWS rows; a null text is empty; end is put after each text."""
-    encode, last = encoder(path).ids, b"" if end is None else int(end).to_bytes(4, "little")
-    texts = batch.column(batch.schema.get_field_index(column))
-    for lo in range(0, batch.num_rows, ROWS):
-        parts = [encode(t or "") + last for t in texts.slice(lo, ROWS).to_pylist()]
-        at = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])])
-        yield lo, lo + len(parts), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+def encoded(batch: pa.RecordBatch, column: str, path: str, end: int | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, ids, where each text's begin) for runs of rows; a null text is empty; end is put after each text."""
+    encode = encoder(path).batch
+    for lo, hi, data, offs in text_chunks(batch, column):
+        ids, at = encode(data, offs)
+        if end is not None:
+            n = hi - lo
+            out = np.empty(len(ids) + n, np.uint32)
+            out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(at))] = ids
+            at = at + np.arange(n + 1)
+            out[at[1:] - 1] = end
+            ids = out
+        yield lo, hi, ids, at
 
 
 def write_token_files(
@@ -37,6 +39,7 @@ def write_token_files(
     encoded in bit-packed runs; n_tokens and part by dictionary or delta (writer version 2). Null keys come first.
     """
     path = path or default_path()
+    small_batches(docs.sparkSession)
     cols = [key, *[c for c in meta if c in docs.columns and c not in (key, text)]]
     rows = docs.select(*cols, F.col(text).cast("string").alias("_text"), F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).alias("_tie"))
     rows = rows.repartitionByRange(F.col(key), F.col("_tie")).sortWithinPartitions(key, "_tie")
@@ -45,9 +48,9 @@ def write_token_files(
     def encode_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for batch in batches:
-            for lo, hi, ids in encoded(batch, "_text", path, end):
+            for lo, hi, flat, at in encoded(batch, "_text", path, end):
                 own = [batch.column(i).slice(lo, hi - lo) for i in range(len(cols))]
-                sizes = pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64))
+                sizes, ids = pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([*own, pa.array([part] * (hi - lo), pa.int32()), sizes, ids], names=[*cols, "part", "n_tokens", "ids"])
 
     tokens = rows.mapInArrow(encode_part, ", ".join([*kinds, "part int", "n_tokens long", "ids array<int>"]))
