@@ -38,3 +38,14 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = now
     raise RuntimeError("components have not settled")
+
+
+def merged(parts: DataFrame, links: DataFrame, path: str) -> DataFrame:
+    """parts (node, root) after links (u, v) between nodes, of which some may be in no part yet: only roots are linked anew."""
+    roots = parts.select("node", "root")
+    for end in "uv":
+        links = links.join(roots.withColumnsRenamed({"node": end, "root": f"_{end}"}), end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
+    new = components(links).select(F.col("node").alias("old"), F.col("root").alias("to"))
+    moved = parts.join(new, F.col("root") == F.col("old"), "left").select("node", F.coalesce("to", "root").alias("root"))
+    fresh = new.join(parts, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("to").alias("root"))
+    return stored(moved.union(fresh), path)
