@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townledger.llm.common import SPACED, U64, mix, shared_dir, stored, text_chunks, words
-from townledger.llm.components import components
+from townledger.llm.common import SPACED, U64, mix, shared_dir, small_batches, stored, text_chunks, words
+from townledger.llm.components import components, merged
 
 _MULT = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 #: Bits of a shingle that its frequency is counted by, of which RANGE_BITS deal counting out.
@@ -32,8 +32,8 @@ MAX_FREQUENT = 1_000_000
 MAX_BROADCAST_IDS = 1_000_000
 #: Rounds that compare each component with one other; what is left after them is compared whole.
 MERGE_ROUNDS = 3
-#: Members that one task compares with a copy of a hub.
-HUB_MEMBERS = 2000
+#: Members that are compared with one copy of a hub, and pairs that one task compares, about.
+HUB_MEMBERS, TASK_PAIRS = 200, 400
 
 
 @dataclass(frozen=True)
@@ -279,7 +279,7 @@ def _sets(docs: DataFrame, s: Settings) -> DataFrame:
         for batch in batches:
             for _, _, data, offs in text_chunks(batch, "text"):
                 sets = shingle_sets(data, offs, s.words)
-                yield pa.RecordBatch.from_pydict({"cls": pa.array([class_key(a) for a in sets], pa.int64()), "body": pa.array([_packed(a) for a in sets], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"cls": pa.array([class_key(a) for a in sets], pa.int64()), "body": pa.array([a.astype("<u8", copy=False).tobytes() for a in sets], pa.binary())})
 
     return docs.select("text").mapInArrow(per_task, "cls long, body binary")
 
@@ -290,8 +290,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, first_ids: DataFrame, s: Settin
     Only sets of classes in a pair move, once for each pair. A class that is in many pairs as a is copied for runs of HUB_MEMBERS of them.
     """
     pairs = stored(pairs, f"{folder}/pairs")
-    few = pairs.count() <= MAX_BROADCAST_IDS
+    count = pairs.count()
+    few = count <= MAX_BROADCAST_IDS
     known = F.broadcast if few else (lambda df: df)
+    tasks = min(10_000, max(pairs.sparkSession.sparkContext.defaultParallelism, -(-count // TASK_PAIRS)))
     sized = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).select("a", F.ceil(F.col("k") / F.lit(HUB_MEMBERS)).cast("int").alias("parts"))
     heads = sized.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
     members = pairs.join(sized, "a").select(F.col("b").alias("cls"), "a", F.pmod(F.hash("b"), F.col("parts")).alias("part"), F.lit(1).alias("role"))
@@ -300,37 +302,28 @@ def _verified(pairs: DataFrame, docs: DataFrame, first_ids: DataFrame, s: Settin
     sets = _sets(docs.select(_id().alias("first_id"), "text").join(known(ids), "first_id", "left_semi"), s)
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, body = None, None
+        head, body = None, np.zeros(0, U64)
         for batch in batches:
-            out: list[tuple[int, int, bool]] = []
-            for a, role, cls, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                own = _unpacked(raw)
-                if role == 0:
-                    head, body = a, own
-                elif head == a:
-                    if 100 * min(len(own), len(body)) < s.percent * max(len(own), len(body)):
-                        out.append((a, cls, False))
-                        continue
-                    both = np.sort(np.concatenate([body, own]))
-                    common = int((both[1:] == both[:-1]).sum())
-                    out.append((a, cls, 100 * common >= s.percent * (len(own) + len(body) - common)))
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "linked": pa.array([x[2] for x in out], pa.bool_())})
-
-    rows = sets.join(known(parts), "cls").repartition("a", "part").sortWithinPartitions("a", "part", "role").select("a", "role", "cls", "body")
+            a, b, linked = [], [], []
+            for key, role, cls, raw in zip(*(batch.column(i) for i in range(4))):
+                own = np.frombuffer(raw.as_buffer(), "<u8")
+                if role.as_py() == 0:
+                    head, body = key.as_py(), own
+                elif head == key.as_py():
+                    a.append(head)
+                    b.append(cls.as_py())
+                    small, large = sorted((own, body), key=len)
+                    common = 0
+                    if 100 * len(small) >= s.percent * len(large):
+                        at = np.searchsorted(large, small)
+                        common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+                    linked.append(100 * common >= s.percent * (len(own) + len(body) - common))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "linked": pa.array(linked, pa.bool_())})
+
+    rows = sets.join(known(parts), "cls").repartition(tasks, "a", "part").sortWithinPartitions("a", "part", "role").select("a", "role", "cls", "body")
     return stored(rows.mapInArrow(per_task, "a long, b long, linked boolean").distinct(), f"{folder}/verified")
 
 
-def _packed(a: np.ndarray) -> bytes:
-    """The upper 48 bits of each shingle: two of a pair of sets of thousands agree by chance once in 10^8 pairs."""
-    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 def _id():
     """The document id as a key: a null id is the least number."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
@@ -373,24 +366,37 @@ def _nearest(shared: DataFrame, parts: DataFrame, tried: DataFrame, s: Settings,
     return _untried(pairs, tried).groupBy("root").agg(best.alias("p")).select("p.a", "p.b").distinct()
 
 
-def _across(shared: DataFrame, parts: DataFrame, tried: DataFrame, s: Settings) -> DataFrame:
-    """All pairs (a, b) of classes of different components that share a key and may reach the overlap, unless tried."""
-    left = _mixed(shared, parts)
-    x, y = left.alias("x"), left.alias("y")
-    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & _possible("x", "y", s))
-    return _untried(both.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), tried)
+def _across(shared: DataFrame, parts: DataFrame, tried: DataFrame, s: Settings, folder: str) -> DataFrame:
+    """All pairs (a, b) of classes of different components that share a key and may reach the overlap, unless tried.
+
+    Under each key the classes outside of its largest component meet all others, so a group of copies does not meet itself. Whether
+    a pair may reach the overlap depends on sizes and places alone: first a key's distinct (size, place) are matched with
+    each other, then the classes of those that may, so a key that many unlike texts share lists no pairs that cannot link.
+    """
+    rows = _mixed(shared, parts)
+    sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("most"))
+    rows = stored(rows.join(main, "key").select("key", "cls", "n", "at", "root", (F.col("root") == F.col("most")).alias("main")), f"{folder}/open")
+    kinds = rows.groupBy("key", "n", "at").agg(F.max(~F.col("main")).alias("some"))
+    x, y = kinds.filter("some").alias("x"), kinds.alias("y")
+    size = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * s.percent
+    able = x.join(y, (F.col("x.key") == F.col("y.key")) & size & _may_reach("x", "y", s)).select("x.key", "x.n", "x.at", F.col("y.n").alias("n2"), F.col("y.at").alias("at2"))
+    left = rows.filter("NOT main").join(able, ["key", "n", "at"]).select("key", F.col("n2").alias("n"), F.col("at2").alias("at"), F.col("cls").alias("a"), F.col("root").alias("root_a"))
+    both = left.join(rows, ["key", "n", "at"]).filter((F.col("root") != F.col("root_a")) & (F.col("main") | (F.col("a") < F.col("cls"))))
+    return _untried(both.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct(), tried)
 
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, class_key and n_copies of every document of docs (doc_id, text).
 
-    Documents link when the Jaccard similarity of their sets of word shingles is at least percent / 100, exactly;
-    component_id is the smallest doc_id reached by links. A text with fewer words than a shingle is one shingle; a null
+    Documents link when the Jaccard similarity of their sets of word shingles is at least percent / 100; shingles, and whole sets
+    where all of them are equal, are told by hashes of 64 bits, so a wrong link needs such hashes to meet by chance. component_id is the smallest doc_id reached by links. A text with fewer words than a shingle is one shingle; a null
     or empty text has no shingle and links with nothing. Equal sets form one class, so
     repeated rows and copies are one member of the join. Rows with a null doc_id join like others and have a null
     component_id where no member has an id. Other columns of docs are not read.
     """
     s, folder = settings, shared_dir(spark)
+    small_batches(spark)
     described = stored(_describe(docs, s), f"{folder}/described")
     own = described.filter("cls IS NOT NULL")
     found = stored(_frequencies(described.filter("range IS NOT NULL")), f"{folder}/frequencies")
@@ -404,30 +410,24 @@ def join_ngrams(spark: SparkSession, docs: DataFrame, settings: Settings = Setti
     common = stored(postings.join(met, "key"), f"{folder}/common")
     degree = common.groupBy("cls").agg(F.count(F.lit(1)).alias("deg"))
     shared = stored(common.join(degree, "cls").select("key", "cls", "n", "at", "deg"), f"{folder}/shared")
-    first_ids = own.filter("n > 0").groupBy("cls").agg(F.min(_id()).alias("first_id"))
+    first_ids = stored(own.filter("n > 0").groupBy("cls").agg(F.min(_id()).alias("first_id")), f"{folder}/first_ids")
 
     # First each class is compared with one hub, the one that it shares most keys with: no more pairs than classes.
     alone = shared.limit(0).select(F.col("cls").alias("node"), F.col("cls").alias("root"))
     none_tried = shared.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    stars = _nearest(shared, alone, none_tried, s, 0)
-    tried = _verified(stars, docs, first_ids, s, f"{folder}/first")
+    tried = _verified(_nearest(shared, alone, none_tried, s, 0), docs, first_ids, s, f"{folder}/first")
     parts = stored(components(tried.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), f"{folder}/parts")
 
     # Then, in rounds, each component is compared with one other: no more pairs than components, which at least halve
     # while pairs link. What is left after them, pairs that do not link or only few, is compared whole.
     for i in range(MERGE_ROUNDS + 1):
         whole = i == MERGE_ROUNDS
-        pairs = stored(_across(shared, parts, tried, s) if whole else _nearest(shared, parts, tried, s, i + 1), f"{folder}/across{i}")
-        if not pairs.limit(1).count():
-            if whole:
-                break
-            continue
+        pairs = _across(shared, parts, tried, s, folder) if whole else _nearest(shared, parts, tried, s, i + 1)
         now = _verified(pairs, docs, first_ids, s, f"{folder}/round{i}")
-        found = now.filter("linked").select("a", "b")
-        tried = tried.unionByName(now)
-        if found.limit(1).count():
-            links = parts.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found)
-            parts = stored(components(links), f"{folder}/parts{i}")
+        tried = stored(tried.unionByName(now), f"{folder}/tried{i}")
+        links = now.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if links.limit(1).count():
+            parts = merged(parts, links, f"{folder}/parts{i}")
 
     none = F.lit(-(1 << 63))
     grouped = first_ids.join(parts, first_ids["cls"] == parts["node"], "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"))
