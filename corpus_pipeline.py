@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from townledger.llm import decontam, langid, ngram_join, packing, toxicity
-from townledger.llm.common import shared_dir, stored, table
+from townledger.llm.common import closed, opened, shared_dir, stored, table
 
 #: Ids that a broadcast may hold; beyond, Spark joins by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
@@ -21,15 +21,14 @@ def _fits(ids: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: texts without a letter and those that no language is likelier than all others for go."""
-    made = langid.identify(spark, docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("_row")))
-    return made.filter((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select("_row.*")
+    made = langid.identify(spark, closed(docs, "doc_id", "lang"))
+    return opened(made.filter((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)), docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
     model = toxicity.learn(spark, docs, table(spark, sf_dir, "labels"))
-    made = toxicity.predict(docs.select("text", F.struct(*docs.columns).alias("_row")), model)
-    return made.filter(F.col("predicted") == 0).select("_row.*")
+    return opened(toxicity.predict(closed(docs), model).filter(F.col("predicted") == 0), docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
