@@ -24,6 +24,8 @@ from townledger.llm.components import components, merged
 _MULT = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 #: Bits of a shingle that its frequency is counted by, of which RANGE_BITS deal counting out.
 COUNT_BITS, RANGE_BITS = 33, 13
+#: Shingles of a range that are sorted rather than counted in an array.
+BUFFER = 200_000
 #: The filter of shingles that occur twice has 2**FILTER_BITS bits (16 MB) at any size of the corpus.
 FILTER_BITS = 27
 #: At most so many frequent shingles are known by frequency; the least frequent beyond that keep hash order.
@@ -137,36 +139,50 @@ def _filter_bits(low: np.ndarray) -> Iterator[np.ndarray]:
 def _frequencies(blobs: DataFrame) -> DataFrame:
     """From the counts of all tasks: rows (top, n) of shingles in at least 8 documents, and for each range a row (range, bits, ones, squares).
 
-    A range's counts are an array of fixed size that blobs are added to one after the other.
+    A range's shingles are sorted while they are few; from BUFFER of them on, they are added up in an array of fixed size.
     """
     width = 1 << (COUNT_BITS - RANGE_BITS)
+    tasks = min(1 << RANGE_BITS, 4 * blobs.sparkSession.sparkContext.defaultParallelism)
 
-    def done(r: int, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def done(r: int, low: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         twice = np.zeros(1 << (FILTER_BITS - RANGE_BITS), bool)
-        for bit in _filter_bits(np.flatnonzero(n > 1).astype(U64)):
+        for bit in _filter_bits(low[n > 1].astype(U64)):
             twice[bit] = True
         some = np.flatnonzero(n > 7)
-        tops = ((r << (COUNT_BITS - RANGE_BITS)) + some).astype(np.int64)
+        tops = ((r << (COUNT_BITS - RANGE_BITS)) + low[some]).astype(np.int64)
         k = len(some)
-        yield pa.RecordBatch.from_pydict(
+        return pa.RecordBatch.from_pydict(
             {"top": pa.array([*tops.tolist(), None], pa.int64()), "n": pa.array([*n[some].tolist(), None], pa.int64()), "range": pa.array([None] * k + [r], pa.int32()), "bits": pa.array([None] * k + [np.packbits(twice).tobytes()], pa.binary()),
              "total": pa.array([None] * k + [int(n.sum())], pa.int64()), "squares": pa.array([None] * k + [float((n.astype(float) ** 2).sum())], pa.float64())}
         )
 
+    def counted(parts: list[np.ndarray], counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        if counts is not None:
+            for x in parts:
+                np.add.at(counts, x, 1)
+            some = np.flatnonzero(counts)
+            return some, counts[some]
+        return np.unique(np.concatenate(parts), return_counts=True)
+
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, n = None, None
+        now, parts, held, counts = None, [], 0, None
         for batch in batches:
             for r, wide, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 if r != now:
                     if now is not None:
-                        yield from done(now, n)
-                    now, n = r, np.zeros(width, np.int64)
-                low = np.frombuffer(blob, "<u4") if wide else np.cumsum(np.frombuffer(blob, "<u2"), dtype=np.int64)
-                np.add.at(n, low, 1)
+                        yield done(now, *counted(parts, counts))
+                    now, parts, held, counts = r, [], 0, None
+                parts.append(np.frombuffer(blob, "<u4").astype(np.int64) if wide else np.cumsum(np.frombuffer(blob, "<u2"), dtype=np.int64))
+                held += len(parts[-1])
+                if held > BUFFER:
+                    counts = np.zeros(width, np.int64) if counts is None else counts
+                    for x in parts:
+                        np.add.at(counts, x, 1)
+                    parts, held = [], 0
         if now is not None:
-            yield from done(now, n)
+            yield done(now, *counted(parts, counts))
 
-    dealt = blobs.select("range", "wide", "blob").repartition("range").sortWithinPartitions("range")
+    dealt = blobs.select("range", "wide", "blob").repartition(tasks, "range").sortWithinPartitions("range")
     return dealt.mapInArrow(per_task, "top long, n long, range int, bits binary, total long, squares double")
 
 
