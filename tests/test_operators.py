@@ -32,28 +32,32 @@ def test_hybrid_keeps_one_of_a_group(spark):
     assert [(r["doc_id"], r["rank"]) for r in search.hybrid_search(df, "water budget", group="g").orderBy("rank").collect()] == [(1, 1), (3, 2), (4, 3)]
 
 
-@pytest.mark.parametrize("q,want", [("Ayes: Gray, Hale, Ivers, Jones\nNoes: King\nAbsent: None\nAbstain: None", (4, 1, 0, 0)), ("Motion passed (7-0-0-0) Ayes: A, B", (7, 0, 0, 0)), ("In Favor: 3 - A, B, C\nOpposed: None", (3, 0, 0, 0)), ("Gray | Aye\nHale | Aye\nKing | No", (2, 1, 0, 0)), ("Gray - Aye Hale - Nay", (1, 1, 0, 0))])
-def test_votes(q, want):
-    n = facts.vote_counts(q)
-    assert (n["ayes"], n["noes"], n["abstain"], n["absent"]) == want
+@pytest.mark.parametrize("q,want", [("Ayes: Ann, Bo, Cy, Di\nNoes: Ed\nAbsent: None\nAbstain: None", (4, 1, 0, 0)), ("It passed (7-0-0-0) Ayes: A, B", (7, 0, 0, 0)), ("In Favor: 3 - A, B, C\nOpposed: None", (3, 0, 0, 0)), ("Ann | Aye\nBo | Aye\nCy | No", (2, 1, 0, 0)), ("Ann - Aye Bo - Nay", (1, 1, 0, 0)), ("", (0, 0, 0, 0))])
+def test_votes(spark, q, want):
+    assert tuple(one(spark, facts.votes(F.col("q")), q=q)) == want
 
 
 def test_amounts(spark):
-    q = "paid $184,500 and then $1.2 million, $3k"
-    assert facts.amounts(q) == [184500.0, 1200000.0, 3000.0] and one(spark, T.amounts(F.col("q")), q=q) == [184500.0, 1200000.0, 3000.0]
+    assert one(spark, T.amounts(F.col("q")), q="paid $184,500 and then $1.2 million, $3k") == [184500.0, 1200000.0, 3000.0]
 
 
-def test_facts_against_their_source():
-    source = "The  council\nvoted.\nAyes: Gray, Hale\nNoes: None\nIt costs $5 million."
-    vote = {"quote": "Ayes: Gray, Hale Noes: None", "ayes": 2, "noes": 0, "abstain": 0, "absent": 0, "members": [{"name": "Gray", "value": "aye"}]}
-    assert facts.check_fact("vote", vote, source) == (None, 20, 47)
-    assert facts.check_fact("vote", vote | {"ayes": 3}, source)[0] == "vote_count_mismatch"
-    assert facts.check_fact("vote", vote | {"members": [{"name": "Gray", "value": "no"}]}, source)[0] == "vote_members_mismatch"
-    assert facts.check_fact("amount", {"quote": "costs $5 million", "amount_usd": 5e6}, source)[0] is None
-    assert facts.check_fact("amount", {"quote": "costs $5 million", "amount_usd": 5.0}, source)[0] == "amount_not_in_quote"
-    assert facts.check_fact("ordinance", {"quote": "council voted", "identifier": "CB 1"}, source)[0] == "identifier_not_in_quote"
-    assert facts.check_fact("motion", {"quote": "council voted", "mover": "Ann Council", "seconder": None}, source)[0] is None
-    assert facts.check_fact("statement", {"quote": "not there", "speaker": "x"}, source) == ("quote_not_found", None, None)
+FACT = "ayes int, noes int, abstain int, absent int, members array<struct<name:string,value:string>>, amount_usd double, identifier string, names array<string>"
+
+
+def test_facts_against_their_source(spark):
+    source = "The  board\nvoted.\nAyes: Ann, Bo\nNoes: None\nIt costs $5 million 😀 (a+b)."
+    vote = lambda ayes=2, members=(("Ann", "aye"),): (ayes, 0, 0, 0, list(members), None, None, None)
+    fact = lambda **kw: (None, None, None, None, None, kw.get("amount"), kw.get("identifier"), kw.get("names"))
+    quote = "Ayes: Ann, Bo Noes: None"
+    cases = [
+        ("vote", quote, vote(), (None, 18, 42)), ("vote", quote, vote(ayes=3), ("vote_count_mismatch", 18, 42)), ("vote", quote, vote(members=[("Ann", "no")]), ("vote_members_mismatch", 18, 42)),
+        ("amount", "costs $5 million", fact(amount=5e6), (None, 46, 62)), ("amount", "costs $5 million", fact(amount=5.0), ("amount_not_in_quote", 46, 62)), ("ordinance", "board voted", fact(identifier="CB 1"), ("identifier_not_in_quote", 5, 16)),
+        ("motion", "board voted", fact(names=["Al Board", None]), (None, 5, 16)), ("motion", "board voted", fact(names=["  "]), ("name_not_in_quote", 5, 16)), ("statement", "not there", fact(names=["x"]), ("quote_not_found", None, None)), ("statement", None, fact(), ("quote_not_found", None, None)),
+        ("statement", "😀 (a+b).", fact(names=[]), (None, 63, 71)),
+    ]
+    df = spark.createDataFrame([(i, k, q, source, f) for i, (k, q, f, _) in enumerate(cases)], f"i int, kind string, quote string, source string, fact struct<{', '.join(x.strip().replace(' ', ':', 1) for x in FACT.split(', '))}>")
+    got = {r["i"]: (r["error"], r["start"], r["end"]) for r in facts.verify_facts(df).collect()}
+    assert got == {i: want for i, (_, _, _, want) in enumerate(cases)}
 
 
 def test_text_functions(spark):
@@ -87,23 +91,35 @@ def test_chunks_and_cues():
     assert [(a, b, t, s) for a, b, t, s in got] == [(0, 2000, "SPEAKER 1 (COUNCIL): Hello there", "SPEAKER 1 (COUNCIL)"), (9000, 9500, "later", None), (9600, 80_000, "long", None)]
 
 
-def test_agendas():
-    lettered = ["Seattle", "A. CALL TO ORDER", "AN ORDINANCE about", "trees", "CB 120746", "1. Res 32128 A RESOLUTION on water", "In Favor: 3", "CB 120746", "D. ADJOURNMENT"]
-    assert structure.agenda_items(lettered, "lettered") == [(0, "section", "PREAMBLE", "Preamble"), (1, "section", "A", "CALL TO ORDER"), (2, "business", "CB 120746", "AN ORDINANCE about trees"), (5, "business", "Res 32128", "A RESOLUTION on water"), (8, "section", "D", "ADJOURNMENT")]
-    numbered = ["1. ROLL CALL", "2.A Approve minutes", "of June", "Ayes: All", "2.B. Other", "2.A again"]
-    assert structure.agenda_items(numbered, "numbered") == [(0, "section", "1.", "ROLL CALL"), (1, "business", "2.A", "Approve minutes of June"), (4, "business", "2.B", "Other")]
-    assert structure.agenda_items(["x"], "numbered") == [(0, "section", "PREAMBLE", "Preamble")]
+def agenda(spark, lines, dialect):
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, None)], "d int, text string")
+    return [tuple(r)[2:] for r in structure.segment_agendas(df, "d", "text", dialect).orderBy("ordinal").collect()]
+
+
+def test_agendas(spark):
+    lettered = ["Town", "A. CALL TO ORDER", "AN ORDINANCE about", "trees", "CB 12", "1. Res 34 A  RESOLUTION on water", "In Favor: 3", "CB 12", "CB 56 In Favor: 3 of them", "D. ADJOURNMENT"]
+    want = [(0, "section", "PREAMBLE", "Preamble"), (1, "section", "A", "CALL TO ORDER"), (2, "business", "CB 12", "AN ORDINANCE about trees"), (5, "business", "Res 34", "A  RESOLUTION on water"), (8, "business", "CB 56", ""), (9, "section", "D", "ADJOURNMENT")]
+    assert agenda(spark, lettered, "lettered") == want
+    numbered = ["1. ROLL CALL", "2.A Approve the notes", "of June", "Ayes: All", "2.B. Other", "2.A again", "1. ROLL CALL"]
+    assert agenda(spark, numbered, "numbered") == [(0, "section", "1.", "ROLL CALL"), (1, "business", "2.A", "Approve the notes of June"), (4, "business", "2.B", "Other")]
+    assert agenda(spark, ["x"], "numbered") == [(0, "section", "PREAMBLE", "Preamble")]
 
 
 def test_links_are_one_to_one(spark):
-    c = spark.createDataFrame([("m", 1, 5, 0.9), ("m", 1, 4, 0.9), ("m", 2, 4, 0.8), ("m", 2, 6, 0.6), ("m", 3, 4, 0.7)], "g string, minute int, item int, similarity double")
-    assert {(r["minute"], r["item"]) for r in structure.link_items(c, "g").collect()} == {(1, 4), (2, 6)}
+    c = spark.createDataFrame([("m", 1, 5, 0.9), ("m", 1, 4, 0.9), ("m", 2, 4, 0.8), ("m", 2, 6, 0.6), ("m", 3, 4, 0.7)], "g string, record int, item int, similarity double")
+    assert {(r["record"], r["item"]) for r in structure.link_items(c, "g").collect()} == {(1, 4), (2, 6)}
 
 
-def test_captions():
-    srt = "1\n00:00:01,000 --> 00:00:02,500\n<i>Hi</i> &amp;  you\n\n2\nbroken\n\n3\n0:00:03,000 --> 0:00:04,000\nthere\n4\n00:00:05,000 --> 00:00:06,000\nend\n"
-    assert captions.parse(srt, False) == [(1000, 2500, "Hi & you"), (3000, 4000, "there"), (5000, 6000, "end")]
-    assert captions.parse("WEBVTT\n\nNOTE x\n00:00:01.000 --> 00:00:02.000\nno\n\n00:00:03.000 --> 00:00:04.000\nyes\n", True) == [(3000, 4000, "yes")]
+def test_captions(spark):
+    srt = "1\r\n00:00:01,000 --> 00:00:02,500\n<i>Hi</i> &amp;  you\n\n2\nbroken\n\n3\n0:00:03,000 --> 0:00:04,000\nthere\nand on\n4\n00:00:05,000 --> 00:00:06,000\nend"
+    vtt = "\ufeffWEBVTT\n\nNOTE x\n00:00:01.000 --> 00:00:02.000\nno\n\n00:00:03.000 --> 00:00:04.000 align:left\ne\u0301\n"
+    df = spark.createDataFrame([(1, srt), (2, vtt)], "path int, value string")
+    got = {i: [tuple(r)[2:] for r in captions.cues(df).orderBy("cue").collect() if r["path"] == i] for i in (1, 2)}
+    assert got == {1: [(1000, 2500, "Hi & you"), (3000, 4000, "there and on"), (5000, 6000, "end")], 2: [(3000, 4000, "\u00e9")]}
+    none = spark.createDataFrame([(3, "nothing"), (4, None)], "path int, value string")
+    assert captions.cues(none, empty="pass").count() == 0
+    with pytest.raises(Exception, match="no cues in"):
+        captions.cues(none).collect()
 
 
 def test_listings(spark, tmp_path):
@@ -119,7 +135,7 @@ def test_listings(spark, tmp_path):
 def civic(spark):
     rows = {
         "meetings": [("m1", "c", "Council", dt.date(2024, 5, 1), "t", "k", None, None)],
-        "documents": [("d1", "m1", "c", "minutes", "pdf", "page", "downloaded", None, "h", 1), ("d2", "m1", "c", "agenda", "pdf", "page", "failed", None, "h", 1)],
+        "documents": [("d1", "m1", "c", "record", "pdf", "page", "downloaded", None, "h", 1), ("d2", "m1", "c", "agenda", "pdf", "page", "failed", None, "h", 1)],
         "units": [("d1", 1, "page", "text", "pdf", None, None, None, None, None)],
         "items": [(1, "d1", 1, "business", "2.A", "t", 1, 0, 1, 4, None)],
         "facts": [(1, "d1", 1, "vote", 1, "q", 0, 1, True, None, '{"ayes": 4, "noes": 1, "members": [{"name": "Gray", "value": "aye"}]}'), (2, "d1", 1, "amount", 1, "q", 0, 1, True, None, '{"amount_usd": 12.5}'), (3, "d1", 1, "vote", 1, "q", 0, 1, False, "x", "{}")],

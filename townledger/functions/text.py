@@ -1,7 +1,11 @@
-"""Scalar text functions as Column expressions; all of them stay in generated JVM code."""
+"""Scalar text functions as Column expressions; all but nfc and unescape stay in generated JVM code."""
 
 from __future__ import annotations
 
+import html
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,9 +28,29 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
 
 
+def nfc(c: Column) -> Column:
+    """Composed characters (NFC), which Spark has no function for."""
+
+    @F.pandas_udf("string")
+    def composed(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+    return composed(c)
+
+
+def unescape(c: Column) -> Column:
+    """Character references decoded, which Spark has no function for."""
+
+    @F.pandas_udf("string")
+    def decoded(v: pd.Series) -> pd.Series:
+        return v.map(html.unescape, na_action="ignore")
+
+    return decoded(c)
+
+
 def normalize(c: Column) -> Column:
-    """Plain quotes and blanks, runs of blanks and tabs as one, no blanks at line ends; line ends stay."""
-    plain = F.translate(c, " ‘’“”", " ''\"\"")
+    """Composed characters, plain quotes and blanks, runs of blanks and tabs as one, no blanks at line ends; line ends stay."""
+    plain = F.translate(nfc(c), "\u00a0‘’“”", " ''\"\"")
     return F.regexp_replace(F.regexp_replace(plain, r"[ \t]+", " "), r"(?m) +$", "")
 
 
@@ -97,7 +121,8 @@ def time_ms(c: Column) -> Column:
 
 
 def html_text(c: Column) -> Column:
-    return squeeze(F.regexp_replace(c, "<[^>]*>", " "))
+    """Text without tags, character references decoded."""
+    return squeeze(unescape(F.regexp_replace(c, "<[^>]*>", " ")))
 
 
 def snippet(text: Column, at: Column, n: Column, around: int = 80) -> Column:
@@ -141,5 +166,7 @@ def grade_exact(kind: Column, gold: Column, answer: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """The distinct runs of n words of an array, joined by blanks."""
-    return F.when(F.size(words) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+    """The distinct runs of n words of an array as hashes of 64 bits; the words are worked out once, whatever their number."""
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
+    found = F.transform(F.array(words), lambda w: F.when(F.size(w) >= n, F.array_distinct(runs(w))).otherwise(F.array().cast("array<bigint>")))
+    return F.element_at(found, 1)

@@ -6,9 +6,9 @@ over Arrow batches; all else are expressions.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,10 +18,18 @@ WINDOW, STEP, BATCH_CHARS, TITLE_CHARS = 1200, 1000, 24_000, 300
 
 def line_offsets(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line, start, end, line_text): lines from 0, with their places in the text."""
-    parts = F.split(F.col(text), "\n")
-    starts = F.aggregate(parts, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1)))
-    rows = df.select(key, F.posexplode(F.arrays_zip(F.slice(starts, 1, F.size(parts)).alias("start"), parts.alias("body"))).alias("line", "z"))
-    return rows.select(key, "line", F.col("z.start").alias("start"), (F.col("z.start") + F.length("z.body")).alias("end"), F.col("z.body").alias("line_text"))
+    kind = df.schema[key].dataType.simpleString()
+
+    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, t in zip(pdf[key], pdf[text]):
+                if t is not None:
+                    lines = t.split("\n")
+                    size = np.array([len(x) for x in lines])
+                    end = np.cumsum(size + 1) - 1
+                    yield pd.DataFrame({key: [k] * len(lines), "line": np.arange(len(lines), dtype=np.int32), "start": (end - size).astype(np.int32), "end": end.astype(np.int32), "line_text": lines})
+
+    return df.select(key, text).mapInPandas(per_batch, f"{key} {kind}, line int, start int, end int, line_text string")
 
 
 def fixed_windows(df: DataFrame, key: str, text: str, size: int = WINDOW, step: int = STEP) -> DataFrame:
@@ -67,29 +75,46 @@ def line_chunks(df: DataFrame, key: str, text: str, size: int = WINDOW) -> DataF
 
 
 # How captions mark a speaker or a change of speakers.
-SPEAKER = re.compile(r"^(?:>>+\s*|--\s*)?((?:SPEAKER \d+ \([A-Z ]+\))|(?:[A-Z][A-Z .'-]{1,39})):\s")
-MARKER = re.compile(r"^(>>+|--)\s")
+SPEAKER = r"^(?:>>+\s*|--\s*)?((?:SPEAKER \d+ \([A-Z ]+\))|(?:[A-Z][A-Z .'-]{1,39})):\s"
+MARKER = r"^(?:>>+|--)\s"
 
 
-def cue_segments(cues: list[tuple[int, int, str]], size: int = WINDOW, span_ms: int = 60_000, gap_ms: int = 5_000, marked: int = 300) -> list[tuple[int, int, str, str | None]]:
-    """(start, end, text, speaker) of caption segments of cues in order.
+def _split_cues(cues: pd.DataFrame, size: int) -> pd.DataFrame:
+    """Cues of start, end and text; texts of over size characters as several cues of the same time."""
+    parts = cues["text"].map(lambda t: [t[i : i + size] for i in range(0, len(t), size)])
+    return cues.assign(text=parts).explode("text").dropna(subset="text").reset_index(drop=True)
+
 
-    A segment ends before a cue that would make it too long in time or text, after a pause, or, once it
-    has some text, at a change of speakers. Cues of over size characters are cut first.
+def segment_starts(start: np.ndarray, end: np.ndarray, size: np.ndarray, turn: np.ndarray, most: int, span_ms: int, gap_ms: int, marked: int) -> list[int]:
+    """Where segments of cues in order begin: from each, straight to the first cue that one of four limits keeps out.
+
+    The limits are the length of the joined text, the time since the segment's start, a pause, and a change of
+    speakers once the segment has some text.
     """
-    out: list[list] = []
-    for start, end, whole in cues:
-        for at in range(0, len(whole), size):
-            text = whole[at : at + size]
-            who = SPEAKER.match(text)
-            turn = bool(who or MARKER.match(text))
-            last = out[-1] if out else None
-            joins = last and end - last[0] <= span_ms and len(last[2]) + 1 + len(text) <= size and not (turn and len(last[2]) >= marked) and start - last[1] <= gap_ms
-            if joins:
-                last[1], last[2] = end, f"{last[2]} {text}"
-            else:
-                out.append([start, end, text, who[1] if who else None])
-    return [tuple(x) for x in out]
+    n, chars = len(start), np.concatenate([[0], np.cumsum(size + 1)])
+    paused = np.flatnonzero(start[1:] - end[:-1] > gap_ms) + 1
+    turns = np.flatnonzero(turn)
+    first = lambda places, least: int(places[k]) if (k := np.searchsorted(places, least)) < len(places) else n
+    out, i = [], 0
+    while i < n:
+        out.append(i)
+        full = int(np.searchsorted(chars, chars[i] + most + 1, "right")) - 1
+        told = int(np.searchsorted(chars, chars[i] + marked + 1))
+        stop = min(max(full, i + 1), first(paused, i + 1), first(turns, max(told, i + 1)))
+        late = np.flatnonzero(end[i + 1 : stop] - start[i] > span_ms)
+        i = i + 1 + int(late[0]) if len(late) else stop
+    return out
+
+
+def cue_segments(cues: list[tuple[int, int, str]], size: int = WINDOW, span_ms: int = 60_000, gap_ms: int = 5_000, marked: int = 300) -> list[tuple[int, int, str, str | None]]:
+    """(start, end, text, speaker) of the segments of caption cues in order."""
+    rows = _split_cues(pd.DataFrame(cues, columns=["start", "end", "text"]), size)
+    if rows.empty:
+        return []
+    who = rows["text"].str.extract(SPEAKER, expand=False)
+    turn = who.notna() | rows["text"].str.contains(MARKER)
+    at = segment_starts(rows["start"].to_numpy(np.int64), rows["end"].to_numpy(np.int64), rows["text"].str.len().to_numpy(), turn.to_numpy(), size, span_ms, gap_ms, marked)
+    return [(int(rows["start"][a]), int(rows["end"][b - 1]), " ".join(rows["text"][a:b]), None if pd.isna(who[a]) else who[a]) for a, b in zip(at, [*at[1:], len(rows)])]
 
 
 def caption_segments(cues: DataFrame, key: str, order: str, start: str, end: str, text: str) -> DataFrame:
@@ -105,18 +130,29 @@ def caption_segments(cues: DataFrame, key: str, order: str, start: str, end: str
 
 
 def greedy_batches(items: DataFrame, group: str, order: str, size: Column, most: int = BATCH_CHARS) -> DataFrame:
-    """items with batch: from 1 in each group; a batch closes before an item that would take it over most characters."""
-    one = F.struct(F.col(order).alias("o"), F.least(size, F.lit(most)).cast("int").alias("n"))
-    folded = F.aggregate(
-        F.array_sort(F.collect_list(one)),
-        F.struct(F.lit(0).alias("b"), F.lit(0).alias("used"), F.lit([]).cast("array<struct<o:bigint,b:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            F.when((acc["b"] == 0) | (acc["used"] + x["n"] > most), acc["b"] + 1).otherwise(acc["b"]).alias("b"),
-            F.when((acc["b"] == 0) | (acc["used"] + x["n"] > most), x["n"]).otherwise(acc["used"] + x["n"]).alias("used"),
-            F.concat(acc["out"], F.array(F.struct(x["o"].cast("long").alias("o"), F.when((acc["b"] == 0) | (acc["used"] + x["n"] > most), acc["b"] + 1).otherwise(acc["b"]).alias("b")))).alias("out"),
-        ),
-    )
-    return items.groupBy(group).agg(folded["out"].alias("out")).select(group, F.inline("out")).withColumnsRenamed({"o": order, "b": "batch"})
+    """(group, order, batch): from 1 in each group; a batch closes before an item that would take it over most characters.
+
+    Where a batch begins depends on all before it, so a group's items pass through one task, as a sorted stream of numbers
+    of which only the open batch is in memory; the rows themselves do not move.
+    """
+    kinds = {c: items.schema[c].dataType.simpleString() for c in (group, order)}
+    rows = items.select(group, order, F.least(size, F.lit(most)).cast("long").alias("_n")).repartition(group).sortWithinPartitions(group, order)
+
+    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used, batch = object(), 0, 0
+        for pdf in batches:
+            out = []
+            for g, n in zip(pdf[group].where(pdf[group].notna(), None), pdf["_n"]):
+                if g != now:
+                    now, used, batch = g, n, 1
+                elif used + n > most:
+                    used, batch = n, batch + 1
+                else:
+                    used += n
+                out.append(batch)
+            yield pdf[[group, order]].assign(batch=out)
+
+    return rows.mapInPandas(per_batch, f"{group} {kinds[group]}, {order} {kinds[order]}, batch int")
 
 
 def gap_sessions(df: DataFrame, key: str, at: Column, order: str, gap: float) -> DataFrame:
@@ -140,127 +176,91 @@ def item_ends(items: DataFrame, units: DataFrame, doc: str = "document_id") -> D
     return sized.withColumn("end_offset", F.when(F.col("nu").isNull() | back, F.col("length")).otherwise(F.col("no"))).drop("nu", "no", "last_unit", "length")
 
 
-# The two agenda dialects. A heading or a numbered entry begins an item; a title ends before a stop.
-LETTERED = {
-    "section": re.compile(r"^([A-L])\. ([A-Z][A-Z ,&/'-]{3,}):?$"),
-    "entry": re.compile(r"^(?:(\d{1,3})\.\s+)?((?:CB|Res|CF|Appt|Min|IRC|Inf) \d+)\b(.*)$"),
-    "begins": re.compile(r"^(AN ORDINANCE|A RESOLUTION|Appointment|Reappointment|Council Bill|Clerk File)\b"),
-    "stops": re.compile(r"^(?:The Committee recommends|In Favor:|Opposed:|Supporting|Attachments:|The .* was )"),
+# The two agenda dialects. A heading or an entry begins an item; a title ends before a line that begins
+# with a stop (in the numbered dialect also before one that says "motioned").
+HEADING = {"lettered": r"^([A-L])\. ([A-Z][A-Z ,&/'-]{3,}):?$", "numbered": r"^(\d{1,2})\.\s+([A-Z][A-Z0-9 ,&/()'-]{2,}.*)$"}
+ENTRY = {"lettered": r"^(?:\d{1,3}\.\s+)?((?:CB|Res|CF|Appt|Min|IRC|Inf) \d+)\b(.*)$", "numbered": r"^(\d{1,2}\.[A-Z]{1,2})\.?(?:\s+|$)(.*)$"}
+TITLE_BEGINS = ("AN ORDINANCE", "A RESOLUTION", "Appointment", "Reappointment", "Council Bill", "Clerk File")
+STOPS = {
+    "lettered": (r"The Committee recommends", r"In Favor:", r"Opposed:", r"Supporting", r"Attachments:", r"The .* was "),
+    "numbered": (r"Ayes:", r"Noes:", r"Seeing no", r"[A-Z][a-z]+ [A-Z][a-z]+(?:,.*)? presented\b", r".*\b[Mm][Oo][Tt][Ii][Oo][Nn][Ee][Dd]\b"),
 }
-NUMBERED = {
-    "section": re.compile(r"^(\d{1,2})\.\s+([A-Z][A-Z0-9 ,&/()'-]{2,}.*)$"),
-    "entry": re.compile(r"^(\d{1,2}\.[A-Z]{1,2})\.?(?:\s+|$)(.*)$"),
-    "stops": re.compile(r"^(?:Ayes:|Noes:|Seeing no|[A-Z][a-z]+ [A-Z][a-z]+(?:,.*)? presented\b)|(?i:\bmotioned\b)"),
-}
-
-
-def _joined(lines: list[str], stops: re.Pattern[str] | None) -> str:
-    kept: list[str] = []
-    for i, x in enumerate(lines):
-        if i and stops and stops.search(x):
-            break
-        if x.strip():
-            kept.append(x.strip())
-    return " ".join(" ".join(kept).split())[:TITLE_CHARS].strip()
 
 
-def agenda_items(lines: list[str], dialect: str) -> list[tuple[int, str, str, str]]:
-    """(first line, kind, identifier, title) of a document's items in order; what is before the first is PREAMBLE.
-
-    The first entry of an identifier counts; later ones only end titles. In the lettered dialect an entry
-    line without a title of its own takes the lines above it, from where a title begins.
-    """
-    rules = LETTERED if dialect == "lettered" else NUMBERED
-    marks: list[tuple[int, str, re.Match[str]]] = []
-    for i, x in enumerate(lines):
-        if m := rules["entry"].match(x):
-            marks.append((i, "business", m))
-        elif m := rules["section"].match(x):
-            marks.append((i, "section", m))
-    places = [i for i, _, _ in marks]
-    if dialect != "lettered":  # an unheeded repeat of a section is plain text
-        first_section: set[str] = set()
-        kept = []
-        for i, kind, m in marks:
-            if kind == "section":
-                if m[1] in first_section:
-                    continue
-                first_section.add(m[1])
-            kept.append((i, kind, m))
-        marks, places = kept, [i for i, _, _ in kept]
-    seen: set[str] = set()
-    out: list[tuple[int, str, str, str]] = []
-
-    def lifted(k: int) -> int:
-        """Where the title above a bare entry begins, or the entry itself."""
-        low = places[k - 1] if k else -1
-        return next((j for j in range(low + 1, places[k]) if LETTERED["begins"].match(lines[j])), places[k])
-
-    for k, (i, kind, m) in enumerate(marks):
-        after = places[k + 1] if k + 1 < len(places) else len(lines)
-        if kind == "section":
-            out.append((i, "section", m[1] if dialect == "lettered" else f"{m[1]}.", m[2][:TITLE_CHARS]))
-            continue
-        name = m[2] if dialect == "lettered" else m[1]
-        if name in seen:
-            continue
-        seen.add(name)
-        own = m[3] if dialect == "lettered" else m[2]
-        if dialect == "lettered" and not own.strip():
-            top = lifted(k)
-            out.append((top, "business", name, _joined(lines[top:i], None) if top < i else lines[i]))
-            continue
-        if dialect == "lettered" and k + 1 < len(marks) and marks[k + 1][1] == "business":
-            after = min(after, lifted(k + 1))
-        out.append((i, "business", name, _joined([own, *lines[i + 1 : after]], rules["stops"])))
-    out.sort()
-    if lines and (not out or out[0][0] > 0):
-        out.insert(0, (0, "section", "PREAMBLE", "Preamble"))
-    return out
+def _title(lines: Column, stops: Sequence[str] = ()) -> Column:
+    """The lines before the first stop, trimmed, joined by blanks, at most TITLE_CHARS."""
+    if stops:
+        stop = F.array_position(F.transform(lines, lambda x: F.ltrim(x).rlike("^(?:" + "|".join(stops) + ")")), True)
+        lines = F.when(stop > 0, F.slice(lines, 1, F.greatest(stop.cast("int") - 1, F.lit(0)))).otherwise(lines)
+    solid = F.filter(F.transform(lines, F.trim), lambda x: x != "")
+    return F.trim(F.substring(F.array_join(solid, " "), 1, TITLE_CHARS))
 
 
 def segment_agendas(docs: DataFrame, key: str, text: str, dialect: str) -> DataFrame:
-    """(key, ordinal, line, kind, identifier, title) of every document's items."""
-    type_ = docs.schema[key].dataType.simpleString()
-    columns = [key, "ordinal", "line", "kind", "identifier", "title"]
+    """(key, ordinal, line, kind, identifier, title) of every document's items; what is before the first is PREAMBLE.
 
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, n, *item) for k, t in zip(pdf[key], pdf[text]) if t for n, item in enumerate(agenda_items(t.split("\n"), dialect), 1)]
-            yield pd.DataFrame(rows, columns=columns)
-
-    return docs.select(key, text).mapInPandas(per_batch, f"{key} {type_}, ordinal int, line int, kind string, identifier string, title string")
-
-
-def link_candidates(agenda: DataFrame, minutes: DataFrame, group: str, tokens: str = "tokens", least: float = 0.5) -> DataFrame:
-    """(group, minute, item, similarity) of items that share a title token and have Jaccard similarity of at least least."""
-    a = agenda.select(group, F.col("ordinal").alias("item"), F.col(tokens).alias("at"), F.explode(tokens).alias("t"))
-    m = minutes.select(group, F.col("ordinal").alias("minute"), F.col(tokens).alias("mt"), F.explode(tokens).alias("t"))
-    both = a.join(m, [group, "t"]).groupBy(group, "minute", "item").agg(F.count(F.lit(1)).alias("k"), F.first(F.size("at")).alias("na"), F.first(F.size("mt")).alias("nm"))
-    return both.withColumn("similarity", F.col("k") / (F.col("na") + F.col("nm") - F.col("k"))).filter(F.col("similarity") >= least).select(group, "minute", "item", "similarity")
+    The first entry of an identifier counts; later ones only end titles. In the lettered dialect an entry without a
+    title of its own takes the lines above it, from where a title begins; in the numbered one the first heading of a number
+    counts and later ones are plain text. A null text has no items.
+    """
+    lettered, entry, heading = dialect == "lettered", ENTRY[dialect], HEADING[dialect]
+    lines = F.split(F.col(text), "\n")
+    mark = lambda x, i: F.when(
+        x.rlike(entry), F.struct(i.alias("line"), F.lit("business").alias("kind"), F.regexp_extract(x, entry, 1).alias("name"), F.regexp_extract(x, entry, 2).alias("own"))
+    ).when(x.rlike(heading), F.struct(i.alias("line"), F.lit("section").alias("kind"), F.regexp_extract(x, heading, 1).alias("name"), F.regexp_extract(x, heading, 2).alias("own")))
+    rows = docs.filter(F.col(text).isNotNull()).select(key, lines.alias("lines")).withColumn("marks", F.array_compact(F.transform("lines", mark)))
+    named = F.transform("marks", lambda m: F.concat_ws(" ", m["kind"], m["name"]))
+    rows = rows.withColumn("named", named)
+    first = lambda m, i: F.array_position(F.col("named"), F.concat_ws(" ", m["kind"], m["name"])) == i + 1
+    if not lettered:
+        rows = rows.withColumn("marks", F.filter("marks", lambda m, i: (m["kind"] == "business") | first(m, i))).withColumn("named", named)
+    else:  # where the title above an entry begins
+        before = lambda i: F.when(i > 0, F.get("marks", i - 1)["line"] + 1).otherwise(F.lit(0))
+        begins = lambda m, i: F.array_position(F.transform(F.slice("lines", before(i) + 1, m["line"] - before(i)), lambda x: x.rlike(rf"^(?:{'|'.join(TITLE_BEGINS)})\b")), True).cast("int")
+        rows = rows.withColumn("tops", F.transform("marks", lambda m, i: F.when(begins(m, i) > 0, before(i) + begins(m, i) - 1).otherwise(m["line"])))
+    end = F.transform("marks", lambda m, i: F.coalesce(F.get("marks", i + 1)["line"], F.size("lines")))
+    rows = rows.withColumn("ends", end)
+    if lettered:  # a title above the next entry is not this one's
+        rows = rows.withColumn("ends", F.transform("ends", lambda e, i: F.when(F.get("marks", i + 1)["kind"] == "business", F.least(e, F.get("tops", i + 1))).otherwise(e)))
+    keep = F.transform("marks", lambda m, i: (m["kind"] == "section") | first(m, i))
+    each = F.arrays_zip(F.col("marks").alias("m"), F.col("ends").alias("end"), keep.alias("keep"), *([F.col("tops").alias("top")] if lettered else []))
+    items = rows.select(key, "lines", F.explode_outer(each).alias("z"))
+    m = {c: F.col(f"z.m.{c}") for c in ("line", "kind", "name", "own")}
+    section, below = m["kind"] == "section", F.concat(F.array(m["own"]), F.slice("lines", m["line"] + 2, F.greatest(F.lit(0), F.col("z.end") - m["line"] - 1)))
+    line, title = m["line"], _title(below, STOPS[dialect])
+    if lettered:
+        bare = ~section & (F.trim(m["own"]) == "")
+        line = F.when(bare, F.col("z.top")).otherwise(line)
+        above = F.when(F.col("z.top") < m["line"], _title(F.slice("lines", F.col("z.top") + 1, m["line"] - F.col("z.top")))).otherwise(F.get("lines", m["line"]))
+        title = F.when(bare, above).otherwise(title)
+    name = m["name"] if lettered else F.when(section, F.concat(m["name"], F.lit("."))).otherwise(m["name"])
+    found = items.filter("z.m IS NOT NULL AND z.keep").select(key, line.alias("line"), m["kind"].alias("kind"), name.alias("identifier"), F.when(section, F.substring(m["own"], 1, TITLE_CHARS)).otherwise(title).alias("title"))
+    start = docs.filter(F.col(text).isNotNull()).select(key).join(found.groupBy(key).agg(F.min("line").alias("first")), key, "left").filter("first IS NULL OR first > 0")
+    found = found.unionByName(start.select(key, F.lit(0).alias("line"), F.lit("section").alias("kind"), F.lit("PREAMBLE").alias("identifier"), F.lit("Preamble").alias("title")))
+    order = Window.partitionBy(key).orderBy("line", "kind", "identifier")
+    return found.select(key, F.row_number().over(order).alias("ordinal"), "line", "kind", "identifier", "title")
+
+
+def link_candidates(items: DataFrame, records: DataFrame, group: str, tokens: str = "tokens", least: float = 0.5) -> DataFrame:
+    """(group, record, item, similarity) of items that share a title token and have Jaccard similarity of at least least."""
+    a = items.select(group, F.col("ordinal").alias("item"), F.col(tokens).alias("at"), F.explode(tokens).alias("t"))
+    r = records.select(group, F.col("ordinal").alias("record"), F.col(tokens).alias("rt"), F.explode(tokens).alias("t"))
+    both = a.join(r, [group, "t"]).groupBy(group, "record", "item").agg(F.count(F.lit(1)).alias("k"), F.first(F.size("at")).alias("na"), F.first(F.size("rt")).alias("nr"))
+    return both.withColumn("similarity", F.col("k") / (F.col("na") + F.col("nr") - F.col("k"))).filter(F.col("similarity") >= least).select(group, "record", "item", "similarity")
 
 
 def link_items(candidates: DataFrame, group: str) -> DataFrame:
-    """(group, minute, item): minutes in order take their most similar item that is left, the lower one on ties."""
+    """(group, record, item): records in order take their most similar item that is left, the lower one on ties."""
     kind = candidates.schema[group].dataType.simpleString()
 
     def per_meeting(pdf: pd.DataFrame) -> pd.DataFrame:
         used: set[int] = set()
         rows = []
-        for minute, own in pdf.sort_values(["minute", "similarity", "item"], ascending=[True, False, True]).groupby("minute", sort=True):
+        for record, own in pdf.sort_values(["record", "similarity", "item"], ascending=[True, False, True]).groupby("record", sort=True):
             pick = next((i for i in own["item"] if i not in used), None)
             if pick is not None:
                 used.add(pick)
-                rows.append((pdf[group].iloc[0], minute, pick))
-        return pd.DataFrame(rows, columns=[group, "minute", "item"])
-
-    return candidates.groupBy(group).applyInPandas(per_meeting, f"{group} {kind}, minute int, item int")
-
+                rows.append((pdf[group].iloc[0], record, pick))
+        return pd.DataFrame(rows, columns=[group, "record", "item"])
 
-def locate_quote(source: str, quote: str) -> tuple[int, int] | None:
-    """[start, end) in source of a quote that may differ from it in white space, or None."""
-    want = quote.split()
-    if not want:
-        return None
-    m = re.search(r"\s+".join(map(re.escape, want)), source)
-    return (m.start(), m.end()) if m else None
+    return candidates.groupBy(group).applyInPandas(per_meeting, f"{group} {kind}, record int, item int")
