@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pandas as pd
@@ -60,6 +61,11 @@ def tokens(c: Column) -> Column:
     return F.filter(found, lambda t: (F.length(t) >= 2) & ~t.isin(*STOPWORDS))
 
 
+def search_terms(query: str) -> list[str]:
+    """The search tokens of a query, worked out on the driver."""
+    return [t for t in re.findall("[a-z0-9]+", query.lower()) if len(t) >= 2 and t not in STOPWORDS]
+
+
 def valid_token_ratio(c: Column) -> Column:
     """The share of tokens that are words with a vowel (or one letter), numbers or codes; 0 without tokens."""
     parts = F.filter(F.transform(F.split(c, r"\s+"), lambda t: F.btrim(t, F.lit(TOKEN_EDGES))), lambda t: F.length(t) > 0)

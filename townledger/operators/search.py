@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,10 +32,12 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
 def keyword_search(df: DataFrame, query: str, key: str = "doc_id", text: str = "text", k: int = 50) -> DataFrame:
     """(key, score): passages with any term of the query by 0.1 * hits / (1 + 0.1 * hits), best first, least key on ties.
 
-    Terms are counted inside each row, so only the k best of each task move. A query of stop words finds nothing.
+    Terms are counted inside each row by one pattern, so only the k best of each task move. A query of stop words finds nothing.
     """
-    terms = T.tokens(F.lit(query))
-    hits = F.size(F.filter(T.tokens(F.col(text)), lambda t: F.array_contains(terms, t))).cast("double")
+    terms = T.search_terms(query)
+    if not terms:
+        return df.limit(0).select(key, F.lit(0.0).alias("score"))
+    hits = F.regexp_count(F.lower(text), F.lit(rf"(?<![a-z0-9])(?:{'|'.join(sorted(set(terms)))})(?![a-z0-9])")).cast("double")
     scored = df.select(key, hits.alias("_h")).filter(F.col("_h") > 0).select(key, (F.lit(0.1) * F.col("_h") / (F.lit(1.0) + F.lit(0.1) * F.col("_h"))).alias("score"))
     return scored.orderBy(F.desc("score"), key).limit(k)
 
@@ -95,8 +100,9 @@ def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
 
 def overlap_score(query: str, text: Column) -> Column:
     """The share of the query's distinct terms that a passage has; 0 for a query without terms."""
-    terms = F.array_distinct(T.tokens(F.lit(query)))
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(terms, T.tokens(text))).cast("double"), F.size(terms).cast("double")), F.lit(0.0))
+    terms = sorted(set(T.search_terms(query)))
+    has = lambda t: F.lower(text).rlike(rf"(?<![a-z0-9]){t}(?![a-z0-9])").cast("int")
+    return F.coalesce(sum(map(has, terms), F.lit(0)) / F.lit(float(len(terms))), F.lit(0.0)) if terms else F.lit(0.0)
 
 
 def best_per_group(hits: DataFrame, group: str, *order: Column | str) -> DataFrame:
@@ -111,22 +117,33 @@ def within_budget(spans: DataFrame, group: str, size: Column, budget: int, *orde
     return spans.withColumn("used", F.sum(size).over(run)).filter(F.col("used") <= budget)
 
 
+def bag_buckets(text: Column, dim: int) -> Column:
+    """The bucket of each term of a text: the first 32 bits of its SHA-256, modulo dim."""
+    return F.transform(T.tokens(text), lambda t: (F.conv(F.substring(F.sha2(t, 256), 1, 8), 16, 10).cast("long") % dim).cast("int"))
+
+
 def hashed_bag(df: DataFrame, key: str, text: str, dim: int = 768) -> DataFrame:
-    """(key, bucket, n): a passage's terms in dim buckets by the first 32 bits of their SHA-256."""
-    terms = df.select(key, F.explode(T.tokens(F.col(text))).alias("t"))
-    bucket = F.conv(F.substring(F.sha2("t", 256), 1, 8), 16, 10).cast("long") % dim
-    return terms.groupBy(key, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    """(key, bucket, n): a passage's terms in dim buckets."""
+    terms = df.select(key, F.explode(bag_buckets(F.col(text), dim)).alias("bucket"))
+    return terms.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bag_search(df: DataFrame, query: str, key: str = "doc_id", text: str = "text", dim: int = 768, k: int = 50) -> DataFrame:
-    """(key, score): cosine similarity of hashed bags of words."""
-    spark = df.sparkSession
-    asked = hashed_bag(spark.range(1).select(F.col("id").alias("_q"), F.lit(query).alias("t")), "_q", "t", dim).select("bucket", F.col("n").alias("q"))
-    bags = hashed_bag(df, key, text, dim)
-    norms = bags.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    dots = bags.join(F.broadcast(asked), "bucket").groupBy(key).agg(F.sum(F.col("n") * F.col("q")).alias("dot"))
-    length = asked.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qnorm"))
-    return dots.join(norms, key).join(F.broadcast(length)).select(key, (F.col("dot") / F.col("norm") / F.col("qnorm")).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    """(key, score): cosine similarity of hashed bags of words, worked out inside each row, so only the k best of each task move."""
+    asked = Counter(int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) % dim for t in T.search_terms(query))
+    if not asked:
+        return df.limit(0).select(key, F.lit(0.0).alias("score"))
+    # Equal buckets stand together once sorted: the squared length adds 2 r + 1 for the one after r equal ones.
+    sums = F.aggregate(
+        F.array_sort("bag"),
+        F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("square")),
+        lambda acc, x: F.struct(x.alias("last"), F.when(x == acc["last"], acc["run"] + 1).otherwise(F.lit(0).cast("long")).alias("run"), (acc["square"] + F.when(x == acc["last"], 2 * acc["run"] + 3).otherwise(F.lit(1).cast("long"))).alias("square")),
+    )
+    hits = F.filter("bag", lambda b: b.isin(*asked))
+    rows = df.select(key, bag_buckets(F.col(text), dim).alias("bag")).withColumn("hits", hits).filter(F.size("hits") > 0)
+    dot = F.aggregate("hits", F.lit(0), lambda acc, x: acc + F.coalesce(F.element_at(F.create_map(*(F.lit(v) for p in asked.items() for v in p)), x), F.lit(0)))
+    length = math.sqrt(sum(n * n for n in asked.values()))
+    return rows.select(key, (dot / F.sqrt(sums["square"]) / F.lit(length)).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
 def hybrid_search(df: DataFrame, query: str, key: str = "doc_id", text: str = "text", group: str | None = None, candidates: int = 50, k: int = 10, rerank: bool = True) -> DataFrame:

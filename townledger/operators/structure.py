@@ -192,7 +192,7 @@ def _title(lines: Column, stops: Sequence[str] = ()) -> Column:
     if stops:
         stop = F.array_position(F.transform(lines, lambda x: F.ltrim(x).rlike("^(?:" + "|".join(stops) + ")")), True)
         lines = F.when(stop > 0, F.slice(lines, 1, F.greatest(stop.cast("int") - 1, F.lit(0)))).otherwise(lines)
-    solid = F.filter(F.transform(lines, F.trim), lambda x: x != "")
+    solid = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
     return F.trim(F.substring(F.array_join(solid, " "), 1, TITLE_CHARS))
 
 

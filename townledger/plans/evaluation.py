@@ -62,31 +62,34 @@ def cohen_kappa(spark, d):
 
 
 def _spans(spark, d):
-    """Passages are documents' first 1000 characters; spans are the places that events of a user point to."""
-    p = table(spark, d, "documents").select("doc_id", F.lit(100).alias("ps"), F.least(F.lit(1100), F.col("n_chars").cast("int")).alias("pe")).filter("pe > ps")
-    e = table(spark, d, "events").select((F.col("event_id") % 1000).alias("doc_id"), (F.col("user_id") * 7 % 900).cast("int").alias("sl"), (F.col("user_id") * 7 % 900 + F.floor(F.col("value"))).cast("int").alias("sr"), F.pmod(F.col("event_id"), F.lit(20)).alias("rank"))
-    return p, e
+    """Passages are the whole texts in runs of 1000 characters; spans are places in all documents, which events point to."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("int").alias("n")).filter("n > 0")
+    p = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(1000))).alias("ps"), "n").select("doc_id", "ps", F.least(F.col("ps") + 1000, "n").alias("pe"))
+    most = docs.agg((F.max("doc_id") + 1).alias("m"))
+    e = table(spark, d, "events").crossJoin(F.broadcast(most)).withColumn("doc_id", F.pmod(F.col("event_id") * 7, "m")).join(docs, "doc_id")
+    sl = F.pmod(F.col("event_id") * 7919, "n").cast("int")
+    return p, e.select("doc_id", sl.alias("sl"), F.least(F.col("n"), sl + F.floor(F.col("value") * 9) + 1).cast("int").alias("sr"), F.pmod(F.col("event_id"), F.lit(20)).alias("rank"))
 
 
 def interval_overlap(spark, d):
     p, e = _spans(spark, d)
-    j = p.join(e, (p["doc_id"] == e["doc_id"]) & (F.col("sl") < F.col("pe")) & (F.col("sr") > F.col("ps")))
-    return j.groupBy(p["doc_id"]).agg(F.count("*").alias("spans"), F.sum(F.least("pe", "sr") - F.greatest("ps", "sl")).alias("overlap"))
+    j = p.join(e, "doc_id").filter("sl < pe AND sr > ps")
+    return j.groupBy("doc_id", "ps").agg(F.count("*").alias("spans"), F.sum(F.least("pe", "sr") - F.greatest("ps", "sl")).alias("overlap"))
 
 
-def interval_union_coverage(spark, d):
-    p, e = _spans(spark, d)
+def _covered(p, e):
     j = p.join(e, "doc_id").filter("sl < pe AND sr > ps")
-    got = M.covered_length(j, ["doc_id", "ps", "pe"], "ps", "pe", "sl", "sr")
-    return got.select("doc_id", F.col("covered").cast("long").alias("covered"), (F.col("covered") * 2 >= F.col("pe") - F.col("ps")).alias("half"))
+    return M.covered_length(j, ["doc_id", "ps", "pe"], "ps", "pe", "sl", "sr").withColumn("half", F.col("covered") * 2 >= F.col("pe") - F.col("ps"))
+
+
+def interval_union_coverage(spark, d):
+    return _covered(*_spans(spark, d)).select("doc_id", "ps", F.col("covered").cast("long").alias("covered"), "half")
 
 
 def recall_at_k(spark, d):
     p, e = _spans(spark, d)
-    j = p.join(e.filter("rank < 10"), "doc_id").filter("sl < pe AND sr > ps")
-    got = M.covered_length(j, ["doc_id", "ps", "pe"], "ps", "pe", "sl", "sr").select("doc_id", (F.col("covered") * 2 >= F.col("pe") - F.col("ps")).alias("hit"))
-    both = p.join(got, "doc_id", "left").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    return both.groupBy("source").agg(F.round(F.avg(F.coalesce("hit", F.lit(False)).cast("int")), 6).alias("recall"), F.count("*").alias("passages"))
+    both = p.join(_covered(p, e.filter("rank < 10")).select("doc_id", "ps", "half"), ["doc_id", "ps"], "left").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return both.groupBy("source").agg(F.round(F.avg(F.coalesce("half", F.lit(False)).cast("int")), 6).alias("recall"), F.count("*").alias("passages"))
 
 
 def accuracy_grouping_sets(spark, d):
@@ -126,8 +129,8 @@ def rule_violations(spark, d):
     return got.select("source", F.explode(F.array_compact(F.array(*rules))).alias("violation"))
 
 
-_P = "p AS (SELECT doc_id, 100 AS ps, least(1100, n_chars)::INT AS pe FROM documents WHERE least(1100, n_chars) > 100), e AS (SELECT event_id % 1000 AS doc_id, (user_id * 7 % 900)::INT AS sl, (user_id * 7 % 900 + floor(value))::INT AS sr, event_id % 20 AS rank FROM events)"
-_COVER = "SELECT doc_id, ps, pe, sum(greatest(0, r - greatest(l, coalesce(c, ps))))::BIGINT AS covered FROM (SELECT *, max(r) OVER (PARTITION BY doc_id ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM (SELECT doc_id, ps, pe, greatest(ps, sl) AS l, least(pe, sr) AS r FROM p JOIN e USING (doc_id) WHERE sl < pe AND sr > ps {0})) GROUP BY ALL"
+_P = "d AS (SELECT doc_id, n_chars::INT AS n FROM documents WHERE n_chars > 0), p AS (SELECT doc_id, ps::INT AS ps, least(ps + 1000, n)::INT AS pe FROM (SELECT doc_id, n, unnest(range(0, n, 1000)) AS ps FROM d)), e AS (SELECT doc_id, event_id * 7919 % n AS sl, least(n, event_id * 7919 % n + floor(value * 9) + 1) AS sr, event_id % 20 AS rank FROM (SELECT *, event_id * 7 % (SELECT max(doc_id) + 1 FROM d) AS doc_id FROM events) JOIN d USING (doc_id))"
+_COVER = "SELECT doc_id, ps, pe, sum(greatest(0, r - greatest(l, coalesce(c, ps))))::BIGINT AS covered FROM (SELECT *, max(r) OVER (PARTITION BY doc_id, ps ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM (SELECT doc_id, ps, pe, greatest(ps, sl) AS l, least(pe, sr) AS r FROM p JOIN e USING (doc_id) WHERE sl < pe AND sr > ps {0})) GROUP BY ALL"
 _RATIO = r"""coalesce(len(list_filter(w, lambda t: (regexp_full_match(t, '[A-Za-z]+([''’-][A-Za-z]+)*') AND (length(t) = 1 OR regexp_matches(t, '[aeiouyAEIOUY]'))) OR regexp_full_match(t, '[0-9]+([.,:/-][0-9]+)*[A-Za-z]{0,2}') OR regexp_full_match(t, '[A-Z]{1,5}[0-9]+[A-Za-z0-9-]*')))::DOUBLE / nullif(len(w), 0), 0)"""
 RATIO_WORDS = r"""list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda t: trim(t, '.,;:!?()[]"''$%-–/|*')), lambda t: length(t) > 0)"""
 _MEAS = "SELECT event_type || '_' || (user_id % 4) AS metric, round(avg(value), 4) AS value FROM events GROUP BY 1"
@@ -144,9 +147,9 @@ ORACLES = {
     "latency_percentiles": "SELECT event_type, (list_sort(list(value)))[ceil(0.5 * count(*))::INT] AS p50, (list_sort(list(value)))[ceil(0.95 * count(*))::INT] AS p95, count(*) AS n FROM events GROUP BY event_type",
     "segmentation_metrics": "SELECT o_orderpriority, round(avg((e = 0)::INT), 6) AS exact_rate, round(avg(abs(e)), 6) AS mae FROM (SELECT o_orderpriority, coalesce(pred, 0) - (o_orderkey % 5 + 2) AS e FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS pred FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey) GROUP BY 1",
     "cohen_kappa": "WITH s AS (SELECT lang, avg(((quality = 1) = (n_chars > 300))::INT) AS o, avg((quality = 1)::INT) AS a, avg((n_chars > 300)::INT) AS b FROM labels JOIN documents USING (doc_id) GROUP BY lang) SELECT lang, round(CASE WHEN a * b + (1 - a) * (1 - b) = 1 THEN (o = 1)::INT::DOUBLE ELSE (o - (a * b + (1 - a) * (1 - b))) / (1 - (a * b + (1 - a) * (1 - b))) END, 6) AS kappa FROM s",
-    "interval_overlap": f"WITH {_P} SELECT p.doc_id, count(*) AS spans, sum(least(pe, sr) - greatest(ps, sl))::BIGINT AS overlap FROM p JOIN e ON p.doc_id = e.doc_id AND sl < pe AND sr > ps GROUP BY 1",
-    "interval_union_coverage": f"WITH {_P} SELECT doc_id, covered, covered * 2 >= pe - ps AS half FROM ({_COVER.format('')})",
-    "recall_at_k": f"WITH {_P}, c AS ({_COVER.format('AND rank < 10')}) SELECT source, round(avg((coalesce(covered, 0) * 2 >= p.pe - p.ps)::INT), 6) AS recall, count(*) AS passages FROM p LEFT JOIN c USING (doc_id) JOIN documents USING (doc_id) GROUP BY source",
+    "interval_overlap": f"WITH {_P} SELECT p.doc_id, ps, count(*) AS spans, sum(least(pe, sr) - greatest(ps, sl))::BIGINT AS overlap FROM p JOIN e ON p.doc_id = e.doc_id AND sl < pe AND sr > ps GROUP BY ALL",
+    "interval_union_coverage": f"WITH {_P} SELECT doc_id, ps, covered, covered * 2 >= pe - ps AS half FROM ({_COVER.format('')})",
+    "recall_at_k": f"WITH {_P}, c AS ({_COVER.format('AND rank < 10')}) SELECT source, round(avg((coalesce(covered, 0) * 2 >= p.pe - p.ps)::INT), 6) AS recall, count(*) AS passages FROM p LEFT JOIN c USING (doc_id, ps) JOIN documents USING (doc_id) GROUP BY source",
     "accuracy_grouping_sets": "SELECT lang, source, round(avg((quality = 1 AND toxic = 0)::INT), 6) AS accuracy, count(*) AS cases FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((), (lang), (source))",
     "top_n_per_group": "SELECT source, r, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 15",
     "gate_compare": f"WITH m AS ({_MEAS}), b AS (SELECT event_type || '_' || (user_id % 5) AS metric, round(avg(value), 4) AS base FROM events GROUP BY 1), j AS (SELECT metric, value, base, metric LIKE 'purchase%' AS c FROM b LEFT JOIN m USING (metric)), k AS (SELECT *, CASE WHEN c THEN base * (1 + 0.05::DOUBLE) ELSE base - 2.0::DOUBLE END AS bound FROM j) SELECT metric, value, base, value IS NOT NULL AND (abs(value - bound) <= 1e-12 * greatest(abs(value), abs(bound)) OR NOT (CASE WHEN c THEN value > bound ELSE value < bound END)) AS passed FROM k",

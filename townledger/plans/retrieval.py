@@ -26,7 +26,7 @@ def keyword_search(spark, d):
 
 
 def keyword_search_many(spark, d):
-    q = table(spark, d, "benchmark").filter(F.length("text") < 200).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return S.keyword_search_many(table(spark, d, "documents"), q, k=5)
 
 
@@ -111,7 +111,7 @@ QUERIES = {f.__name__: f for f in (tokenize, keyword_search, keyword_search_many
 ORACLES = {
     "tokenize": f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY term",
     "keyword_search": f"SELECT doc_id, round(score, 6) AS score FROM ({_KW})",
-    "keyword_search_many": f"""WITH q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK.format('text')}) AS term FROM benchmark WHERE length(text) < 200),
+    "keyword_search_many": f"""WITH q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK.format('text')}) AS term FROM benchmark),
         p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY ALL),
         h AS (SELECT query_id, doc_id, sum(tf)::BIGINT AS hits FROM q JOIN p USING (term) GROUP BY ALL)
         SELECT query_id, doc_id, hits, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS rank FROM h) WHERE rank <= 5""",

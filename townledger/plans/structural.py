@@ -55,9 +55,26 @@ def html_rows(spark, d):
     return listings.table_rows(table(spark, d, "pages"), "page_id", "html", "li").select("page_id", "row", "cell_html")
 
 
+def _agenda(spark, d, lines):
+    """A text of lines of each block of 50 customers of a nation."""
+    own = F.struct("c_custkey", *(x.alias(f"l{i}") for i, x in enumerate(lines)))
+    c = table(spark, d, "customer").groupBy("c_nationkey", F.floor(F.col("c_custkey") / 50).alias("block")).agg(F.array_sort(F.collect_list(own)).alias("x"))
+    body = F.array_join(F.transform("x", lambda x: F.concat_ws("\n", *(x[f"l{i}"] for i in range(len(lines))))), "\n")
+    return c.select(F.concat_ws("-", "c_nationkey", "block").alias("doc"), body.alias("text"))
+
+
 def anchor_extract(spark, d):
-    agenda = table(spark, d, "customer").groupBy("c_nationkey").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment"))), 1, 40), lambda x: F.concat(F.lit("1."), F.chr(x["c_custkey"] % 26 + 65), F.lit(" "), x["c_name"], F.lit("\n"), x["c_mktsegment"], F.lit("\nAyes: All"))), "\n").alias("text"))
-    return X.segment_agendas(agenda, "c_nationkey", "text", "numbered").select("c_nationkey", "ordinal", "line", "kind", "identifier", "title")
+    """Numbered agendas: an entry for each customer, of which the first of each letter counts."""
+    agenda = _agenda(spark, d, [F.concat(F.lit("1."), F.chr(F.col("c_custkey") % 26 + 65), F.lit(" "), "c_name"), F.col("c_mktsegment"), F.lit("Ayes: All")])
+    return X.segment_agendas(agenda, "doc", "text", "numbered")
+
+
+def anchor_lettered(spark, d):
+    """Lettered agendas: entries with a title of their own, or with one above them."""
+    bare = F.col("c_custkey") % 3 == 0
+    entry = F.concat(F.lit("CB "), (F.col("c_custkey") % 40).cast("string"))
+    agenda = _agenda(spark, d, [F.when(bare, F.concat(F.lit("AN ORDINANCE of "), "c_name")).otherwise(F.concat(entry, F.lit(" "), "c_name")), F.when(bare, entry).otherwise(F.col("c_mktsegment")), F.when(F.col("c_custkey") % 2 == 0, "In Favor: 3").otherwise("The Committee recommends")])
+    return X.segment_agendas(agenda, "doc", "text", "lettered")
 
 
 def item_text(spark, d):
@@ -67,10 +84,11 @@ def item_text(spark, d):
 
 
 def quote_locate(spark, d):
-    """Where a stretch of a document, with other white space, stands in it."""
-    docs = _docs(spark, d).withColumn("quote", F.regexp_replace(F.trim(F.regexp_replace(F.substring("text", 20, 100), r"\s+", "  ")), "^ +| +$", ""))
-    out = facts.verify_quotes(docs.filter(F.length(F.trim("quote")) > 0), "doc_id", "text", "quote")
-    return out.join(docs.select("doc_id", F.length("quote").alias("q")), "doc_id").select("doc_id", (F.col("start") <= 25).alias("near"), (F.col("end") - F.col("start") <= F.col("q")).alias("no_longer"))
+    """Where each window of 1,200 characters of a document, its white space changed, first stands in it."""
+    docs = _docs(spark, d)
+    w = X.fixed_windows(docs, "doc_id", "text").join(docs, "doc_id")
+    quote = F.trim(F.regexp_replace(F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")), r"\s+", "  "))
+    return w.withColumn("at", facts.place(F.col("text"), quote)).select("doc_id", "window", F.col("at.start").alias("first"), F.col("at.end").alias("last"))
 
 
 def greedy_batches(spark, d):
@@ -108,7 +126,7 @@ def item_links(spark, d):
 
 _CUES = "cues AS (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text, turn * 4000 + turn // 7 * 9000 AS start_ms, turn * 4000 + turn // 7 * 9000 + 3000 AS end_ms FROM conversations)"
 
-QUERIES = {f.__name__: f for f in (line_offsets, fixed_windows, line_packing, caption_cues, cue_segments, gap_sessions, html_rows, anchor_extract, item_text, quote_locate, greedy_batches, speaker_statements, slice_equality, item_end_offsets, item_links)}
+QUERIES = {f.__name__: f for f in (line_offsets, fixed_windows, line_packing, caption_cues, cue_segments, gap_sessions, html_rows, anchor_extract, anchor_lettered, item_text, quote_locate, greedy_batches, speaker_statements, slice_equality, item_end_offsets, item_links)}
 ORACLES = {
     "line_offsets": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents), s AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM l) SELECT doc_id, line::INT AS line, start, (start + length(t))::INT AS \"end\", md5(t) AS h FROM s",
     "fixed_windows": "WITH w AS (SELECT doc_id, length(text) AS n, unnest(range(0, ceil(greatest(0, length(text) - 1200) / 1000)::INT + 1)) AS i FROM documents WHERE length(trim(regexp_replace(text, '\\s', ' ', 'g'))) > 0) SELECT doc_id, i::INT AS \"window\", (i * 1000)::INT AS start, least(i * 1000 + 1200, n)::INT AS \"end\" FROM w",
@@ -122,6 +140,24 @@ ORACLES = {
         SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s))::INT AS ordinal, s::INT AS start, e::INT AS "end" FROM k""",
     "caption_cues": f"WITH {_CUES} SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cue, start_ms, end_ms, length(trim(regexp_replace(text, '[ \\t]+', ' ', 'g'))) AS n FROM cues WHERE trim(text) != ''",
     "gap_sessions": "WITH e AS (SELECT user_id, event_id, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 > 21600, FALSE)::INT AS g, ts FROM events), s AS (SELECT *, 1 + sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM e) SELECT user_id, session, count(*) AS events, min(event_id) AS first_id FROM s GROUP BY ALL",
+    "cue_segments": f"""WITH RECURSIVE {_CUES}, c AS (SELECT conv_id, start_ms AS a, end_ms AS b, length(p) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS k,
+            regexp_matches(p, '^(?:>>+\\s*|--\\s*)?((?:SPEAKER \\d+ \\([A-Z ]+\\))|(?:[A-Z][A-Z .''-]{{1,39}})):\\s') OR regexp_matches(p, '^(>>+|--)\\s') AS t
+            FROM (SELECT *, substr(text, (i * 1200 + 1)::INT, 1200) AS p FROM (SELECT *, unnest(range(0, (length(text) + 1199) // 1200)) AS i FROM cues WHERE length(text) > 0))),
+        f AS (SELECT conv_id, k, 1 AS segment, a, b, n FROM c WHERE k = 1
+            UNION ALL SELECT conv_id, k, segment + z::INT, CASE WHEN z THEN a2 ELSE a END, b2, CASE WHEN z THEN n2 ELSE n + 1 + n2 END
+            FROM (SELECT c.conv_id, c.k, segment, f.a, f.n, c.a AS a2, c.b AS b2, c.n AS n2, c.b - f.a > 60000 OR f.n + 1 + c.n > 1200 OR (c.t AND f.n >= 300) OR c.a - f.b > 5000 AS z FROM f JOIN c ON c.conv_id = f.conv_id AND c.k = f.k + 1))
+        SELECT conv_id, segment, min(a) AS start_ms, max(b) AS end_ms, max(n)::INT AS n FROM f GROUP BY conv_id, segment""",
+    "anchor_extract": "WITH c AS (SELECT c_nationkey || '-' || c_custkey // 50 AS doc, *, chr((c_custkey % 26 + 65)::INT) AS l, row_number() OVER (PARTITION BY c_nationkey, c_custkey // 50 ORDER BY c_custkey) - 1 AS i FROM customer), f AS (SELECT *, row_number() OVER (PARTITION BY doc, l ORDER BY i) AS r FROM c) SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY i))::INT AS ordinal, (3 * i)::INT AS line, 'business' AS kind, '1.' || l AS identifier, c_name || ' ' || c_mktsegment AS title FROM f WHERE r = 1",
+    "anchor_lettered": "WITH c AS (SELECT c_nationkey || '-' || c_custkey // 50 AS doc, *, c_custkey % 40 AS l, row_number() OVER (PARTITION BY c_nationkey, c_custkey // 50 ORDER BY c_custkey) - 1 AS i FROM customer), f AS (SELECT *, row_number() OVER (PARTITION BY doc, l ORDER BY i) AS r FROM c) SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY i))::INT AS ordinal, (3 * i)::INT AS line, 'business' AS kind, 'CB ' || l AS identifier, CASE WHEN c_custkey % 3 = 0 THEN 'AN ORDINANCE of ' || c_name ELSE c_name || ' ' || c_mktsegment END AS title FROM f WHERE r = 1",
+    "quote_locate": """WITH w AS (SELECT doc_id, text, i, substr(text, (i * 1000 + 1)::INT, least(1200, length(text) - i * 1000)::INT) AS q FROM (SELECT doc_id, text, unnest(range(0, ceil(greatest(0, length(text) - 1200) / 1000)::INT + 1)) AS i FROM documents WHERE length(trim(regexp_replace(text, '\\s', ' ', 'g'))) > 0)),
+        p AS (SELECT *, regexp_extract(text, '(?s)' || regexp_replace(regexp_replace(trim(q, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '([!-/:-@\\[-`{-~])', '\\\\\\1', 'g'), '\\s+', '\\\\s+', 'g')) AS m FROM w)
+        SELECT doc_id, i::INT AS "window", CASE WHEN m != '' THEN strpos(text, m) - 1 END::INT AS first, CASE WHEN m != '' THEN strpos(text, m) - 1 + length(m) END::INT AS last FROM p""",
+    "item_links": f"""WITH RECURSIVE b AS (SELECT item_id // 8 AS meeting, item_id::INT AS o, list_distinct(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(lower(text), 'adopt(ed)? (a )?resolution( no\\.?)?( \\d{{4}}-\\d+)?', ' ', 'g'), 'ordinance( no\\.?)? \\d+[a-z]?', ' ', 'g'), '[^a-z0-9]', ' ', 'g'), ' '), lambda x: length(x) >= 3)) AS t FROM benchmark),
+        p AS (SELECT r.meeting, r.o AS record, i.o AS item, len(list_intersect(r.t, i.t))::DOUBLE / len(list_distinct(list_concat(r.t, i.t))) AS s FROM b r JOIN b i ON r.meeting = i.meeting AND r.o % 2 = 1 AND i.o % 2 = 0),
+        l AS (SELECT meeting, record, list(item ORDER BY s DESC, item) AS items, row_number() OVER (PARTITION BY meeting ORDER BY record) AS k FROM p WHERE s >= 0.1 GROUP BY meeting, record),
+        f AS (SELECT meeting, record, k, items[1] AS item, [items[1]] AS used FROM l WHERE k = 1
+            UNION ALL SELECT l.meeting, l.record, l.k, list_filter(l.items, lambda x: NOT list_contains(f.used, x))[1], list_append(f.used, list_filter(l.items, lambda x: NOT list_contains(f.used, x))[1]) FROM f JOIN l ON l.meeting = f.meeting AND l.k = f.k + 1)
+        SELECT meeting, record, item FROM f WHERE item IS NOT NULL""",
     "html_rows": "SELECT page_id, (generate_subscripts(c, 1) - 1)::INT AS row, unnest(c) AS cell_html FROM (SELECT page_id, regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1) AS c FROM pages)",
     "item_text": "SELECT conv_id, md5(t) AS h, length(t) AS n FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS t FROM conversations GROUP BY 1) WHERE length(t) >= 40",
     "greedy_batches": "WITH RECURSIVE d AS (SELECT source, doc_id, least(n_chars, 24000) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents), f AS (SELECT source, doc_id, i, n AS used, 1 AS batch FROM d WHERE i = 1 UNION ALL SELECT d.source, d.doc_id, d.i, CASE WHEN used + n > 24000 THEN n ELSE used + n END, CASE WHEN used + n > 24000 THEN batch + 1 ELSE batch END FROM f JOIN d ON d.source = f.source AND d.i = f.i + 1) SELECT source, doc_id, batch FROM f",

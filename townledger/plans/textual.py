@@ -25,7 +25,7 @@ def valid_token_ratio(spark, d):
 
 def levenshtein(spark, d):
     b = table(spark, d, "benchmark")
-    cut = lambda c: F.regexp_replace(F.substring(c, 1, 60), "[^ -~]", "?")
+    cut = lambda c: F.regexp_replace(c, "[^ -~]", "?")  # noqa: E731  DuckDB counts bytes
     return b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other")), "item_id").select("item_id", F.levenshtein(cut("text"), cut("other")).alias("distance"))
 
 
@@ -46,7 +46,7 @@ def numeric_subset(spark, d):
 
 def amounts(spark, d):
     text = F.concat(F.lit("paid $"), F.format_string("%,d", "l_orderkey"), F.lit(" and $"), F.col("l_linenumber").cast("string"), F.lit(".5 million to"))
-    return table(spark, d, "lineitem").filter("l_linenumber < 3").select("l_orderkey", "l_linenumber", F.array_join(F.transform(T.amounts(text), lambda x: x.cast("long").cast("string")), ",").alias("amounts")).distinct()
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(F.transform(T.amounts(text), lambda x: x.cast("long").cast("string")), ",").alias("amounts")).distinct()
 
 
 def vote_counts(spark, d):
@@ -54,13 +54,32 @@ def vote_counts(spark, d):
     c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.sum((F.col("c_acctbal") > 6000).cast("int")).alias("y"), F.sum((F.col("c_acctbal") < 500).cast("int")).alias("n"))
     names = lambda k: F.when(F.col(k) == 0, "None").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col(k))), lambda i: F.concat(F.lit("Member "), F.chr(i % 26 + 65))), ", "))
     quote = F.concat(F.lit("Ayes: "), names("y"), F.lit("\nNoes: "), names("n"), F.lit("\nAbsent: None"))
-    return facts.votes_of(c.select("c_nationkey", quote.alias("quote")), "c_nationkey", "quote")
-
-
-def ngram_overlap(spark, d):
-    """Documents and benchmark items that share six words in a row."""
+    return c.select("c_nationkey", facts.votes(quote).alias("v")).select("c_nationkey", "v.*")
+
+
+def fact_check(spark, d):
+    """Facts of four kinds against quotes that bear out some of them."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("p"), (F.col("o_orderkey") % 4).cast("int").alias("k"), (F.col("o_custkey") % 7).cast("int").alias("c"), (F.col("o_orderkey") % 5).cast("int").alias("m"))
+    listed = F.concat(F.lit("Ayes: "), F.array_join(F.transform(F.sequence(F.lit(0), F.col("c")), lambda i: F.concat(F.lit("Member "), F.chr(i + 65))), ", "), F.lit("\nNoes: None"))
+    quote = F.element_at(F.array(listed, F.concat(F.lit("a sum of $"), F.col("c").cast("string"), F.lit(".50 million")), F.concat(F.lit("Bill  CB "), F.col("c").cast("string")), F.concat(F.lit("moved by Ann "), F.substring("p", 3, 99))), F.col("k") + 1)
+    none = lambda kind: F.lit(None).cast(kind)
+    member = F.array(F.struct(F.lit("Member A").alias("name"), F.when(F.col("m") == 4, "no").otherwise("aye").alias("value")))
+    fact = F.struct(
+        (F.col("c") + 1 + (F.col("m") == 3).cast("int")).alias("ayes"), F.lit(0).alias("noes"), none("int").alias("abstain"), F.lit(0).alias("absent"), member.alias("members"),
+        ((F.col("c") + 0.5) * F.when(F.col("m") == 3, 1000.0).otherwise(1e6)).cast("double").alias("amount_usd"), F.concat(F.lit("cb "), F.when(F.col("m") == 3, "x").otherwise(F.col("c").cast("string"))).alias("identifier"),
+        F.array(F.when(F.col("m") == 3, F.lit("Bo Nobody")).otherwise(F.concat(F.lit("A. "), F.substring("p", 3, 99))), none("string")).alias("names"),
+    )
+    source = F.concat(F.lit("It began. "), F.when(F.col("m") == 2, "").otherwise(F.regexp_replace("quote", " ", "  \n")), F.lit(" It ended."))
+    rows = o.withColumn("quote", quote).select("o_orderkey", F.element_at(F.array(*map(F.lit, ("vote", "amount", "ordinance", "motion"))), F.col("k") + 1).alias("kind"), "quote", source.alias("source"), fact.alias("fact"))
+    return facts.verify_facts(rows).select("o_orderkey", "error", F.coalesce("start", F.lit(-1)).alias("start"))
+
+
+def ngram_overlap(spark, d, most=1_000_000):
+    """Documents and benchmark items that share six words in a row; up to most of the items' n-grams are broadcast."""
     grams = lambda t, k: table(spark, d, t).select(k, F.explode(T.ngrams(F.regexp_extract_all(F.lower("text"), F.lit("[^ \t\r\n]+"), F.lit(0)), 6)).alias("g"))
-    return grams("documents", "doc_id").join(grams("benchmark", "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    items = grams("benchmark", "item_id")
+    items = F.broadcast(items) if items.limit(most + 1).count() <= most else items
+    return grams("documents", "doc_id").join(items, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
 def stage_hash(spark, d):
@@ -73,7 +92,7 @@ def cache_key(spark, d):
 
 def llm_cost(spark, d):
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.ceil(F.sum(F.when(F.col("role") != "assistant", F.length("text")).otherwise(0)) / 4).alias("i"), F.ceil(F.sum(F.when(F.col("role") == "assistant", F.length("text")).otherwise(0)) / 4).alias("o"))
-    return c.select("conv_id", F.round((F.col("i") * 0.15 + F.col("o") * 0.6) / 1e6, 6).alias("cost"))
+    return c.select("conv_id", F.bround((F.col("i") * 0.15 + F.col("o") * 0.6) / 1e6, 6).alias("cost"))
 
 
 def routing_flag(spark, d):
@@ -111,16 +130,17 @@ def jaccard_pairs(spark, d):
 _NUM = r"list_transform(regexp_extract_all({0}, '\$?\d[\d,]*(?:\.\d+)?%?'), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '[$,]', '', 'g'), '%$', ''), '\.0+$', ''))"
 _SQ = r"trim(regexp_replace({0}, '[\s\x{{00A0}}]+', ' ', 'g'))"
 
-QUERIES = {f.__name__: f for f in (normalize_text, valid_token_ratio, levenshtein, needs_ocr, numeric_tokens, numeric_subset, amounts, vote_counts, ngram_overlap, stage_hash, cache_key, llm_cost, routing_flag, grade_exact, backoff, time_label, html_text, jaccard_pairs)}
+QUERIES = {f.__name__: f for f in (normalize_text, valid_token_ratio, levenshtein, needs_ocr, numeric_tokens, numeric_subset, amounts, vote_counts, fact_check, ngram_overlap, stage_hash, cache_key, llm_cost, routing_flag, grade_exact, backoff, time_label, html_text, jaccard_pairs)}
 ORACLES = {
-    "normalize_text": r"SELECT doc_id, md5(array_to_string(list_transform(string_split(regexp_replace(translate(text, chr(160) || '‘’“”', ' ''''""'), '[ \t]+', ' ', 'g'), chr(10)), lambda x: rtrim(x, ' ')), chr(10))) AS h FROM documents",
+    "normalize_text": r"SELECT doc_id, md5(array_to_string(list_transform(string_split(regexp_replace(translate(nfc_normalize(text), chr(160) || '‘’“”', ' ''''""'), '[ \t]+', ' ', 'g'), chr(10)), lambda x: rtrim(x, ' ')), chr(10))) AS h FROM documents",
     "valid_token_ratio": f"SELECT doc_id, round({_RATIO}, 6) AS ratio FROM (SELECT doc_id, {RATIO_WORDS} AS w FROM documents)",
-    "levenshtein": "SELECT a.item_id, levenshtein(regexp_replace(substr(a.text, 1, 60), '[^ -~]', '?', 'g'), regexp_replace(substr(b.text, 1, 60), '[^ -~]', '?', 'g'))::INT AS distance FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1",
+    "levenshtein": "SELECT a.item_id, levenshtein(regexp_replace(a.text, '[^ -~]', '?', 'g'), regexp_replace(b.text, '[^ -~]', '?', 'g'))::INT AS distance FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1",
     "needs_ocr": r"SELECT doc_id, (length(regexp_replace(text, '\s', '', 'g')) < 50 AND doc_id % 10 / 10.0 >= 0.5) OR coalesce(length(regexp_replace(text, '[^\x{FFFD}\x{E000}-\x{F8FF}]', '', 'g'))::DOUBLE / nullif(length(text), 0), 0) >= 0.2 AS ocr FROM documents",
     "numeric_tokens": f"SELECT DISTINCT doc_id, unnest({_NUM.format('text')}) AS number FROM documents",
     "numeric_subset": "SELECT doc_id, (doc_id % 1000 = doc_id % 500) AS supported FROM documents",
-    "amounts": "SELECT DISTINCT l_orderkey, l_linenumber, l_orderkey || ',' || (l_linenumber * 1000000 + 500000)::BIGINT AS amounts FROM lineitem WHERE l_linenumber < 3",
+    "amounts": "SELECT DISTINCT l_orderkey, l_linenumber, l_orderkey || ',' || (l_linenumber * 1000000 + 500000)::BIGINT AS amounts FROM lineitem",
     "vote_counts": "SELECT c_nationkey, count(*) FILTER (c_acctbal > 6000)::INT AS ayes, count(*) FILTER (c_acctbal < 500)::INT AS noes, 0 AS abstain, 0 AS absent FROM customer GROUP BY 1",
+    "fact_check": "SELECT o_orderkey, CASE WHEN m = 2 THEN 'quote_not_found' WHEN m = 3 THEN ['vote_count_mismatch', 'amount_not_in_quote', 'identifier_not_in_quote', 'name_not_in_quote'][k + 1] WHEN m = 4 AND k = 0 THEN 'vote_members_mismatch' END AS error, CASE WHEN m != 2 THEN 10 ELSE -1 END::INT AS start FROM (SELECT o_orderkey, o_orderkey % 4 AS k, o_orderkey % 5 AS m FROM orders)",
     "ngram_overlap": r"""WITH g AS (SELECT doc_id, regexp_extract_all(lower(text), '[^ \t\r\n]+') AS w FROM documents), h AS (SELECT item_id, regexp_extract_all(lower(text), '[^ \t\r\n]+') AS w FROM benchmark),
         a AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 4)), lambda i: array_to_string(w[i:i + 5], ' '))) AS s FROM g), b AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(1, len(w) - 4)), lambda i: array_to_string(w[i:i + 5], ' '))) AS s FROM h)
         SELECT doc_id, item_id, count(*) AS shared FROM a JOIN b USING (s) GROUP BY ALL""",
@@ -131,6 +151,6 @@ ORACLES = {
     "grade_exact": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_custkey % 1000 = o_custkey % 500 OR 1000 + o_custkey % 500 = o_orderkey % 50 WHEN 1 THEN strpos(lower(o_orderpriority), 'medium') > 0 WHEN 2 THEN day(o_orderdate) = 1 ELSE o_orderkey % 50 = 4 OR o_orderkey % 50 // 10 = 4 END AS \"right\" FROM orders",
     "backoff": "SELECT event_id, least(600.0, 5.0 * pow(2, event_id % 12))::DOUBLE AS seconds FROM events",
     "time_label": "SELECT event_id, printf('%02d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) AS label FROM (SELECT event_id, event_id * 7919 // 1000 AS s FROM events)",
-    "html_text": f"SELECT page_id, md5({_SQ.format(chr(39).join(['regexp_replace(html, ', '<[^>]*>', ', ', ' ', ', ', 'g', ')']))}) AS h FROM pages",
+    "html_text": "SELECT page_id, md5(" + _SQ.format("regexp_replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')") + ") AS h FROM pages",
     "jaccard_pairs": f"WITH t AS (SELECT item_id, list_distinct({_TOK.format('text')}) AS t FROM benchmark) SELECT a.item_id, round(coalesce(len(list_intersect(a.t, b.t))::DOUBLE / nullif(len(list_distinct(list_concat(a.t, b.t))), 0), 0), 6) AS similarity FROM t a JOIN t b ON b.item_id = a.item_id + 1",
 }
