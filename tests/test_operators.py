@@ -151,6 +151,16 @@ def test_views(spark, civic):
 
 def test_guarded_sql(spark, civic):
     assert guard.run(spark, "with a as (select amount_usd from v_amounts) select * from a") == {"columns": ["amount_usd"], "rows": [[12.5]]}
+    spark.createDataFrame([(1, "hidden")], "id int, secret string").createOrReplaceTempView("secret")
+    for query in ("select * from secret -- , secret as (", "select * from secret where 'x, secret as (' != ''", "with secret as (select * from secret) select * from secret", "select * from secret where 1 in (with secret as (select 1 as id) select id from secret)",
+                  "select (select max(secret) from secret)", "select 1 from v_facts where exists (select 1 from secret)", "with a as (with secret as (select 1) select * from secret) select * from secret", "select * from `secret`", "select java_method('java.lang.Math', 'abs', -1)", "select * from v_facts join lateral (select * from secret)"):
+        with pytest.raises(guard.SqlError) as e:
+            guard.run(spark, query)
+        assert e.value.code == "permission_denied", query
+    assert guard.run(spark, "with secret as (select amount_usd as x from v_amounts) select count(*) as n, round(sum(x), 1) as s from secret")["rows"] == [[1, 12.5]]
+    with pytest.raises(guard.SqlError) as e:
+        guard.run(spark, "select sum(a.id * b.id) as s from range(10000000) a join range(10000000) b on a.id < b.id", seconds=0.5)
+    assert e.value.code == "timeout"
     for query, code in (("", "invalid_arguments"), ("x" * 4001, "invalid_arguments"), ("drop view v_facts", "read_only_violation"), ("insert into v_facts values (1)", "read_only_violation"), ("set a=b", "read_only_violation"), ("select 1; select 2", "multiple_statements"),
                         ("select * from facts", "permission_denied"), ("select * from parquet.`/tmp`", "permission_denied"), ("select reflect('java.lang.System', 'exit', 1)", "permission_denied"), ("selec 1", "sql_error"), ("select nope from v_facts", "sql_error"), ("select * from range(201)", "row_limit_exceeded")):
         with pytest.raises(guard.SqlError) as e:
