@@ -22,7 +22,8 @@ CHUNK = 1 << 18
 class Settings:
     """At most max_rows documents of each label, none of over max_bytes bytes, are fitted: the first by a hash of their ids.
 
-    A document is scored by its most toxic window of so many words, each window is a bag of its words' subwords.
+    A document is scored by its most toxic window of so many words, each window is a bag of its words' subwords; with
+    window 0 the whole text is one bag.
     """
 
     buckets: int = 1 << 17
@@ -126,20 +127,19 @@ def _bags(rows: DataFrame, s: Settings, text: str, label: str) -> DataFrame:
     return rows.select(F.col(label).cast("int").alias(label), text).mapInArrow(per_task, "label int, words array<string>")
 
 
-def train(labels: np.ndarray, docs: list[list[str]], s: Settings) -> np.ndarray:
+def train(labels: np.ndarray, docs: pa.ListArray, s: Settings) -> np.ndarray:
     """The logit that each bucket adds, with the bias last: embeddings and the softmax's weights learned together.
 
     Windows' probabilities combine to that of a document as noisy-or, so a label of a long document
     is put down to its telling windows. Both labels weigh the same.
     """
-    names: dict[str, int] = {}
-    ids, sizes, owner = [], [], []
-    for d, words in enumerate(docs):
-        for a in range(0, max(1, len(words)), s.window):
-            own = [names.setdefault(x, len(names)) for x in words[a : a + s.window]]
-            ids += own
-            sizes.append(len(own))
-            owner.append(d)
+    words = docs.flatten().dictionary_encode()
+    names, ids = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+    n = np.diff(docs.offsets.to_numpy())
+    windows = np.maximum(1, -(-n // s.window)) if s.window else np.ones(len(n), np.int64)
+    owner = np.repeat(np.arange(len(n)), windows)
+    turn = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    sizes = np.clip(n[owner] - s.window * turn, 0, s.window) if s.window else n
     if not names or len(set(labels.tolist())) < 2:
         out = np.zeros(s.buckets + 1, np.float32)
         share = (labels.mean() if len(labels) else 0.0) * 0.98 + 0.01
@@ -149,7 +149,6 @@ def train(labels: np.ndarray, docs: list[list[str]], s: Settings) -> np.ndarray:
     raw = np.frombuffer(spelled.encode(), np.uint8)
     w = Words(raw, np.array([0, len(raw)]), s.buckets)
     grams = w.lists()
-    ids, sizes, owner = np.array(ids), np.array(sizes), np.array(owner)
     lens = np.array([len(g) for g in grams])
     flat = np.concatenate(grams)
     of_word = np.repeat(np.arange(len(grams), dtype=np.int32), lens)
@@ -159,7 +158,7 @@ def train(labels: np.ndarray, docs: list[list[str]], s: Settings) -> np.ndarray:
     flat, of_word = flat.astype(np.int32), of_word[common]
     some = sizes > 0
     of_window = np.repeat(np.arange(len(sizes)), sizes)
-    share_w, share_g = 1.0 / s.window, 1.0 / lens
+    share_w, share_g = 1.0 / (np.full(len(sizes), s.window) if s.window else np.maximum(sizes, 1)), 1.0 / lens
     y = labels.astype(float)
     weight = np.where(y > 0, s.lift, 1.0) / len(y)
 
@@ -171,7 +170,7 @@ def train(labels: np.ndarray, docs: list[list[str]], s: Settings) -> np.ndarray:
     each = lambda f: np.stack([f(k) for k in range(s.dim)], 1)
     for step in range(1, s.steps + 1):
         V = each(lambda k: np.bincount(of_word, E[flat, k], len(grams))) * share_g[:, None]
-        X = each(lambda k: np.bincount(of_window, V[ids, k], len(sizes))) * share_w
+        X = each(lambda k: np.bincount(of_window, V[ids, k], len(sizes))) * share_w[:, None]
         z = X @ W + b
         p = 1 / (1 + np.exp(-z))
         total = np.bincount(owner, np.logaddexp(0, z), len(docs))
@@ -204,8 +203,9 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), text: str = "text"
     """
     small_batches(labelled.sparkSession)
     rows = sample(labelled, settings, text, label, F.xxhash64(F.lit(settings.seed), key))
-    bags = _bags(rows, settings, text, label).toArrow()
-    return train(bags["label"].to_numpy().astype(np.int64), bags["words"].to_pylist(), settings)
+    bags = _bags(rows, settings, text, label).toArrow().combine_chunks()
+    words = bags["words"].combine_chunks() if bags.num_rows else pa.array([], pa.list_(pa.string()))
+    return train(bags["label"].to_numpy().astype(np.int64), words, settings)
 
 
 def predict(docs: DataFrame, model: np.ndarray, settings: Settings = Settings(), text: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
@@ -234,9 +234,12 @@ def predict(docs: DataFrame, model: np.ndarray, settings: Settings = Settings(),
                 mean = w.mean(logit)
                 # Windows begin at every word, so that a phrase is seen whole wherever it stands.
                 run = np.concatenate([[0.0], np.cumsum(mean)])
+                some = np.flatnonzero(n)
+                if not settings.window:
+                    best[lo + some] = (run[w.first[1:]] - run[w.first[:-1]])[some] / n[some]
+                    continue
                 end = np.minimum(np.arange(len(mean)) + settings.window, np.repeat(w.first[1:], n))
                 z = (run[end] - run[:-1]) / settings.window
-                some = np.flatnonzero(n)
                 best[lo + some] = np.maximum.reduceat(z, w.first[:-1][some])
             score = 1 / (1 + np.exp(-np.clip(best + bias, -40, 40)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in back), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*(batch.schema.names[i] for i in back), "score", "predicted"])
