@@ -1,8 +1,10 @@
+import glob
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from townledger.llm import packing, tokenfiles, tokens
@@ -55,6 +57,12 @@ def test_token_files_round_trip(spark, odd, none):
     known = [r["doc_id"] for r in got if r["doc_id"] is not None]
     assert known == sorted(known)
     assert set(tokenfiles.read_token_files(spark, out, "lang").columns) == {"lang"}
+    footers = [pq.ParquetFile(f).metadata for f in glob.glob(f"{out}/*.parquet".replace("file:", ""))]
+    chunks = [m.row_group(g).column(c) for m in footers for g in range(m.num_row_groups) for c in range(m.num_columns)]
+    assert chunks and all(c.has_offset_index and c.has_column_index for c in chunks)
+    assert all("RLE_DICTIONARY" in c.encodings for c in chunks if c.path_in_schema.startswith("ids")) and {c.compression for c in chunks} == {"ZSTD"}
+    plan = tokenfiles.read_token_files(spark, out, "doc_id", "n_tokens").filter("doc_id > 100")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,n_tokens:bigint>" in plan and "GreaterThan(doc_id,100)" in plan
     empty = shared_dir(spark)
     tokenfiles.write_token_files(none, empty)
     assert tokenfiles.token_digest(spark, empty).count() == 0
@@ -80,12 +88,19 @@ def test_packing_places_each_id_once(spark, odd, weights):
     sizes = sequences(rows)
     assert sorted(sizes) == list(range(len(sizes)))
     assert all(n == 256 or n & (n - 1) == 0 for n in sizes.values())
-    total = sum(len(ids(r["text"], 1)) for r in odd.collect())
-    assert sum(r["length"] for r in rows) == total
+    want = defaultdict(list)  # every document, rebuilt from its pieces
+    for r in odd.collect():
+        want[r["doc_id"]].append(ids(r["text"], 1))
     for r in rows:
         assert r["ids_crc32"] == crc(r["ids"]) and len(r["ids"]) == r["length"]
-    one = sorted((r for r in rows if r["doc_id"] == 10), key=lambda r: r["start"])
-    assert [i for r in one for i in r["ids"]] == ids(odd.filter("doc_id = 10").first()["text"], 1)
+    got = defaultdict(list)
+    for r in rows:
+        got[r["doc_id"]].append(r)
+    assert set(got) == set(want)
+    for i, pieces in got.items():
+        if len(want[i]) == 1:
+            assert [x for r in sorted(pieces, key=lambda r: r["start"]) for x in r["ids"]] == want[i][0]
+        assert sorted(x for r in pieces for x in r["ids"]) == sorted(x for w in want[i] for x in w)
 
 
 def test_windows_keep_the_mixture(spark):
@@ -128,6 +143,23 @@ def test_many_small_sources_keep_the_mixture(spark, weights):
             assert abs(had - n * (k + 1) / (whole / 2048)) <= 24
 
 
+def test_tiny_queues_stay_in_the_mixture():
+    """Queues of under a token a window are served all along, by what their deficits come to, in windows that are full."""
+    totals = {"big": 900_000, "mid": 90_000, **{f"tiny{i}": 30 + 7 * i for i in range(9)}}
+    for weights in (None, {"big": 1.0, "mid": 0.4, "tiny3": 0.0004}):
+        phase = packing.make_phases(totals, 2048, weights)[0]
+        lay, used = packing.Layout(phase, 2048), defaultdict(int)
+        whole = phase.total()
+        for j, (q, n) in enumerate(zip(phase.queues, phase.counts)):
+            at = 0
+            for a, b, seq, _ in lay.pieces(j, 0, n):
+                assert a == at and abs(a - n * 2048 * seq / whole) <= max(3, 2 * 2048 * n / whole) or seq >= lay.full
+                used[seq] += b - a
+                at = b
+            assert at == n
+        assert all(used[k] == 2048 for k in range(lay.full)) and set(phase.queues) == (set(totals) if weights is None else set(weights))
+
+
 def test_packing_nothing(spark, none):
     assert packing.pack(spark, none).count() == 0
 

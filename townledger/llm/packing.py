@@ -45,8 +45,7 @@ class Phase:
 def make_phases(totals: Mapping[str, int], size: int, weights: Mapping[str, float] | None = None) -> list[Phase]:
     """Phases over at most MAX_QUEUES + 1 queues. Weights are target token proportions; by default each queue's own share.
 
-    When a queue runs dry, the others go on in their proportions in a new phase. Queues without weight come last.
-    A queue whose quantum is under one token a window is served in a phase of its own at the end.
+    When a queue runs dry, the others go on in their proportions in a new phase. Queues that weights do not name come last.
     """
     left = {q: n for q, n in sorted(totals.items()) if n > 0}
     taken = dict.fromkeys(left, 0)
@@ -57,15 +56,13 @@ def make_phases(totals: Mapping[str, int], size: int, weights: Mapping[str, floa
         if not any(want.values()):
             want = {q: float(n) for q, n in left.items()}
         live = sorted(q for q in left if want[q] > 0)
-        whole = sum(want[q] for q in live)
-        live = [q for q in live if want[q] * size >= 2 * whole] or live[:1]
+        if len(live) > size // 4:
+            raise ValueError(f"{len(live)} queues; windows of {size} tokens hold {size // 4}")
         if weights:
             dry = min(live, key=lambda q: (left[q] / want[q], q))
             counts = [left[q] if q == dry else min(left[q], max(1, int(want[q] * (left[dry] / want[dry])))) for q in live]
         else:
             counts = [left[q] for q in live]
-        if sum(counts) > size and min(counts) * size < sum(counts):
-            live, counts = [live[int(np.argmax(counts))]], [max(counts)]
         phases.append(Phase(tuple(live), tuple(taken[q] for q in live), tuple(counts), at))
         at += sum(counts) // size + (sum(counts) % size).bit_count()
         for q, n in zip(live, counts):
@@ -77,12 +74,21 @@ def make_phases(totals: Mapping[str, int], size: int, weights: Mapping[str, floa
 
 
 class Layout:
-    """Places runs of a queue's tokens in sequences of a phase."""
+    """Places runs of a queue's tokens in sequences of a phase.
+
+    A queue with a quantum under two tokens is paid one token each time that its deficit has grown to one, until the last full
+    window; the other queues share what is left of each window in their proportions.
+    """
 
     def __init__(self, phase: Phase, size: int) -> None:
         self.phase, self.size, self.all = phase, size, phase.total()
         self.full = self.all // size
-        self.below = [0, *np.cumsum(np.array(phase.counts, dtype=object)).tolist()]
+        self.small = [c * size < 2 * self.all for c in phase.counts] if self.full else [False] * len(phase.counts)
+        self.below, self.large = [], 0
+        for c, few in zip(phase.counts, self.small):
+            self.below.append(self.large)
+            self.large += 0 if few else c
+        self._rests: dict[int, int] = {}
         # The last window is no longer than what is left; it is cut at powers of two, which need no padding.
         self.tail, rest = [], self.all - self.full * size
         for bit in reversed(range(size.bit_length())):
@@ -90,12 +96,34 @@ class Layout:
                 self.tail.append(1 << bit)
         self.tail_at = [0, *np.cumsum(self.tail).tolist()]
 
-    def _upto(self, j: int, k: int) -> int:
-        """Tokens of the first j queues in the first k windows."""
-        return self.below[j] if k > self.full else self.below[j] * self.size * k // self.all
+    def _paid(self, j: int, k: int) -> int:
+        """Tokens of a small queue in the first k windows."""
+        return self.phase.counts[j] * min(k, self.full) // self.full
+
+    def _rest(self, k: int) -> int:
+        """Tokens of the other queues in the first k windows."""
+        if k > self.full:
+            return self.large
+        if k not in self._rests:
+            if len(self._rests) > 10_000:
+                self._rests.clear()
+            self._rests[k] = self.size * k - sum(self._paid(j, k) for j, few in enumerate(self.small) if few)
+        return self._rests[k]
+
+    def _upto(self, x: int, k: int) -> int:
+        """Of the first x tokens of a round of the other queues, those in the first k windows."""
+        return x if k > self.full else x * self._rest(k) // self.large
 
     def served(self, j: int, k: int) -> int:
-        return self._upto(j + 1, k) - self._upto(j, k)
+        if self.small[j]:
+            return self._paid(j, k)
+        return self._upto(self.below[j] + self.phase.counts[j], k) - self._upto(self.below[j], k)
+
+    def offset(self, j: int, k: int) -> int:
+        """Where queue j begins in window k: small queues stand last."""
+        if self.small[j]:
+            return self._rest(k + 1) - self._rest(k) + sum(self._paid(i, k + 1) - self._paid(i, k) for i in range(j) if self.small[i])
+        return self._upto(self.below[j], k + 1) - self._upto(self.below[j], k)
 
     def pieces(self, j: int, start: int, end: int) -> Iterator[tuple[int, int, int, int]]:
         """(first token, end token, sequence, offset) for tokens [start, end) of queue j of the phase."""
@@ -107,7 +135,7 @@ class Layout:
         while start < end:
             had, stop = self.served(j, k), min(end, self.served(j, k + 1))
             if stop > start:
-                offset = self._upto(j, k + 1) - self._upto(j, k) + start - had
+                offset = self.offset(j, k) + start - had
                 if k < self.full:
                     yield start, stop, self.phase.first_sequence + k, offset
                 else:
