@@ -1,6 +1,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from tests.llm.test_models import toxic_corpus
 from townledger.llm.common import shared_dir, stored
 
 
@@ -39,3 +40,19 @@ def test_copies_go_row_by_row(spark):
     got = [tuple(r) for r in corpus_pipeline.deduplicate(spark, docs, "").collect()]
     want = [(3, text("a") + " more"), (None, text("u")), (None, text("p")), (7, text("t")), (9, text("v")), (9, text("w")), (None, None), (4, "")]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_toxic_documents_go_and_clean_ones_stay(spark, tmp_path):
+    rows, labels = toxic_corpus()
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows] + [(None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.clean(spark, docs, str(tmp_path)).collect()}
+    toxic = {i for i, y in labels if y}
+    assert None in kept and len(kept & toxic) <= 0.03 * len(toxic) and len(kept - toxic) >= 0.97 * (len(labels) - len(toxic))
+
+
+def test_pipeline_of_nothing(spark, none, tmp_path):
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "an item of some words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

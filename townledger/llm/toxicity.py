@@ -101,10 +101,16 @@ class Words:
             total += run[b] - run[a]
         return total / self.count
 
-    def lists(self) -> list[np.ndarray]:
-        parts = [(b, x, y) for b, x, y in self.grams()]
-        own = self.whole()
-        return [np.concatenate([own[i : i + 1], *(b[x[i] : y[i]] for b, x, y in parts)]).astype(np.int32) for i in range(len(own))]
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """All buckets of all words, and the word of each."""
+        own = np.arange(len(self.start), dtype=np.int32)
+        buckets, words = [self.whole().astype(np.int32)], [own]
+        for bucket, a, b in self.grams():
+            n = b - a
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+            buckets.append(bucket[place].astype(np.int32))
+            words.append(np.repeat(own, n))
+        return np.concatenate(buckets), np.concatenate(words)
 
 
 def sample(labelled: DataFrame, s: Settings, text: str, label: str, order) -> DataFrame:
@@ -148,11 +154,9 @@ def train(labels: np.ndarray, docs: pa.ListArray, s: Settings) -> np.ndarray:
     spelled = " ".join(names)
     raw = np.frombuffer(spelled.encode(), np.uint8)
     w = Words(raw, np.array([0, len(raw)]), s.buckets)
-    grams = w.lists()
-    lens = np.array([len(g) for g in grams])
-    flat = np.concatenate(grams)
-    of_word = np.repeat(np.arange(len(grams), dtype=np.int32), lens)
-    spread = np.bincount(np.unique(np.repeat(owner, sizes) * np.int64(len(grams)) + ids) % len(grams), minlength=len(grams))
+    flat, of_word = w.flat()
+    lens, vocabulary = w.count, len(names)
+    spread = np.bincount(np.unique(np.repeat(owner, sizes) * np.int64(vocabulary) + ids) % vocabulary, minlength=vocabulary)
     common = np.bincount(flat, spread[of_word], s.buckets)[flat] >= s.min_docs
     used, flat = np.unique(flat[common], return_inverse=True)
     flat, of_word = flat.astype(np.int32), of_word[common]
@@ -169,7 +173,7 @@ def train(labels: np.ndarray, docs: pa.ListArray, s: Settings) -> np.ndarray:
     # One dimension at a time, so that no array has more than one number for each subword of a word.
     each = lambda f: np.stack([f(k) for k in range(s.dim)], 1)
     for step in range(1, s.steps + 1):
-        V = each(lambda k: np.bincount(of_word, E[flat, k], len(grams))) * share_g[:, None]
+        V = each(lambda k: np.bincount(of_word, E[flat, k], vocabulary)) * share_g[:, None]
         X = each(lambda k: np.bincount(of_window, V[ids, k], len(sizes))) * share_w[:, None]
         z = X @ W + b
         p = 1 / (1 + np.exp(-z))
@@ -178,7 +182,7 @@ def train(labels: np.ndarray, docs: pa.ListArray, s: Settings) -> np.ndarray:
         slope = np.where(y > 0, -positive, 1.0) * weight
         g = slope[owner] * p * some
         gW = X.T @ g
-        of_v = np.bincount(ids, (g * share_w)[of_window], len(grams)) * share_g
+        of_v = np.bincount(ids, (g * share_w)[of_window], vocabulary) * share_g
         gE = np.bincount(flat, of_v[of_word], len(used))[:, None] * W
         gb = g.sum()
         rate = s.rate * (1 - step / (s.steps + 1))
