@@ -176,3 +176,26 @@ def ngrams(words: Column, n: int) -> Column:
     runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
     found = F.transform(F.array(words), lambda w: F.when(F.size(w) >= n, F.array_distinct(runs(w))).otherwise(F.array().cast("array<bigint>")))
     return F.element_at(found, 1)
+
+
+def image_area_ratio(areas: Column, page: Column) -> Column:
+    """The largest image's share of a page's area; 0 without images or area."""
+    return F.coalesce(F.array_max(F.transform(areas, lambda a: F.try_divide(a.cast("double"), page.cast("double")))), F.lit(0.0))
+
+
+def hit_heading(city: Column, body: Column, date: Column, kind: Column, item: Column) -> Column:
+    return F.concat(city, F.lit(" "), body, F.lit(", "), date.cast("string"), F.lit(", "), kind, F.coalesce(F.concat(F.lit(", item "), item), F.lit("")))
+
+
+def chunk_header(city: Column, body: Column, date: Column, kind: Column, item: Column, title: Column) -> Column:
+    head = F.concat_ws(" ", city, body, date.cast("string"), kind)
+    return F.substring(F.concat(head, F.coalesce(F.concat(F.lit(" | "), item, F.lit(" "), title), F.lit(""))), 1, 200)
+
+
+def hit_snippet(c: Column) -> Column:
+    return F.substring(F.replace(c, F.lit("\n"), F.lit(" ")), 1, 240)
+
+
+def recording_link(url: Column, ms: Column, seeks: Column) -> Column:
+    """The recording at a time, where its player can seek; else null."""
+    return F.when(seeks & ms.isNotNull(), F.concat(url, F.lit("&entrytime="), F.floor(ms / 1000).cast("string")))

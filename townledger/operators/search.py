@@ -156,3 +156,23 @@ def hybrid_search(df: DataFrame, query: str, key: str = "doc_id", text: str = "t
     if group:
         hits = best_per_group(hits, group, F.desc("score"), key)
     return ranked(hits.select(key, "score").orderBy(F.desc("score"), key).limit(k), F.desc("score"), key)
+
+
+MODES = ("keyword", "vector", "hybrid", "rerank")
+
+
+def search(df: DataFrame, query: str, mode: str = "rerank", key: str = "doc_id", text: str = "text", group: str | None = None, candidates: int = 50, k: int = 10) -> DataFrame:
+    """(key, rank, score) of the k best passages of df, which is filtered before: by terms, by bags, by both fused, or fused and reranked.
+
+    A question has 1 to 500 characters, k is 1 to 50. Of a group's passages the best one is kept.
+    """
+    if not 1 <= len(query.strip()) <= 500 or not 1 <= k <= 50 or mode not in MODES:
+        raise ValueError(f"a question has 1 to 500 characters, k is 1 to 50, a mode one of {', '.join(MODES)}")
+    if mode == "rerank":
+        return hybrid_search(df, query.strip(), key, text, group, candidates, k)
+    alone = {"keyword": keyword_search, "vector": bag_search}
+    lists = [f(df, query.strip(), key, text, k=candidates) for m, f in alone.items() if mode in (m, "hybrid")]
+    hits = lists[0] if len(lists) == 1 else fuse([ranked(x, F.desc("score"), key) for x in lists], key)
+    if group:
+        hits = best_per_group(hits.join(df.select(key, group), key), group, F.desc("score"), key)
+    return ranked(hits.select(key, "score").orderBy(F.desc("score"), key).limit(k), F.desc("score"), key)
