@@ -32,12 +32,12 @@ def line_offsets(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInPandas(per_batch, f"{key} {kind}, line int, start int, end int, line_text string")
 
 
-def fixed_windows(df: DataFrame, key: str, text: str, size: int = WINDOW, step: int = STEP) -> DataFrame:
-    """(key, window, start, end): windows of size characters every step, the last ending with the text; a blank text has none."""
+def fixed_windows(df: DataFrame, key: str, text: str, size: int = WINDOW, step: int = STEP, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, window, start, end) and the columns keep: windows of size characters every step, the last ending with the text; a blank text has none."""
     n = F.length(text)
     last = F.ceil(F.greatest(F.lit(0), n - size) / step).cast("int")
-    rows = df.filter(F.length(F.trim(F.regexp_replace(F.col(text), r"\s", " "))) > 0).select(key, n.alias("_n"), F.explode(F.sequence(F.lit(0), last)).alias("window"))
-    return rows.select(key, "window", (F.col("window") * step).cast("int").alias("start"), F.least(F.col("window") * step + size, F.col("_n")).cast("int").alias("end"))
+    rows = df.filter(F.length(F.trim(F.regexp_replace(F.col(text), r"\s", " "))) > 0).select(key, *keep, n.alias("_n"), F.explode(F.sequence(F.lit(0), last)).alias("window"))
+    return rows.select(key, *keep, "window", (F.col("window") * step).cast("int").alias("start"), F.least(F.col("window") * step + size, F.col("_n")).cast("int").alias("end"))
 
 
 def pack_lines(text: str, size: int = WINDOW) -> list[tuple[int, int]]:

@@ -85,8 +85,7 @@ def item_text(spark, d):
 
 def quote_locate(spark, d):
     """Where each window of 1,200 characters of a document, its white space changed, first stands in it."""
-    docs = _docs(spark, d)
-    w = X.fixed_windows(docs, "doc_id", "text").join(docs, "doc_id")
+    w = X.fixed_windows(_docs(spark, d), "doc_id", "text", keep=["text"])
     quote = F.trim(F.regexp_replace(F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")), r"\s+", "  "))
     return w.withColumn("at", facts.place(F.col("text"), quote)).select("doc_id", "window", F.col("at.start").alias("first"), F.col("at.end").alias("last"))
 
