@@ -301,11 +301,10 @@ def _sets(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, first_ids: DataFrame, s: Settings, folder: str) -> DataFrame:
-    """Pairs (a, b) of classes with linked: whether their sets, made anew from one text of each class, overlap enough.
+    """Stored pairs (a, b) of classes with linked: whether their sets, made anew from one text of each class, overlap enough.
 
     Only sets of classes in a pair move, once for each pair. A class that is in many pairs as a is copied for runs of HUB_MEMBERS of them.
     """
-    pairs = stored(pairs, f"{folder}/pairs")
     count = pairs.count()
     few = count <= MAX_BROADCAST_IDS
     known = F.broadcast if few else (lambda df: df)
@@ -431,14 +430,16 @@ def join_ngrams(spark: SparkSession, docs: DataFrame, settings: Settings = Setti
     # First each class is compared with one hub, the one that it shares most keys with: no more pairs than classes.
     alone = shared.limit(0).select(F.col("cls").alias("node"), F.col("cls").alias("root"))
     none_tried = shared.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    tried = _verified(_nearest(shared, alone, none_tried, s, 0), docs, first_ids, s, f"{folder}/first")
+    tried = _verified(stored(_nearest(shared, alone, none_tried, s, 0), f"{folder}/hubs"), docs, first_ids, s, f"{folder}/first")
     parts = stored(components(tried.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), f"{folder}/parts")
 
     # Then, in rounds, each component is compared with one other: no more pairs than components, which at least halve
     # while pairs link. What is left after them, pairs that do not link or only few, is compared whole.
     for i in range(MERGE_ROUNDS + 1):
         whole = i == MERGE_ROUNDS
-        pairs = _across(shared, parts, tried, s, folder) if whole else _nearest(shared, parts, tried, s, i + 1)
+        pairs = stored(_across(shared, parts, tried, s, folder) if whole else _nearest(shared, parts, tried, s, i + 1), f"{folder}/round{i}/found")
+        if not pairs.limit(1).count():  # another turn may still find some
+            continue
         now = _verified(pairs, docs, first_ids, s, f"{folder}/round{i}")
         tried = stored(tried.unionByName(now), f"{folder}/tried{i}")
         links = now.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
