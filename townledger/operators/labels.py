@@ -82,12 +82,12 @@ def metric_at(body: Column, path: str) -> Column:
 def finalize(sentences: Column) -> Column:
     """(text, cites, reason) of an answer of checked sentences, an array of (text, cites, supported).
 
-    Sentences without support go; if they are more than half, or all there is, the answer is declined as unsupported. What is
+    Sentences without support go; if they are more than half, or all there is, the answer is declined as unsupported, as one of no sentences or null is. What is
     cited is numbered from 1 by first use: cites holds the old numbers in that order, and text the sentences with the new ones.
     """
     kept = F.filter(sentences, lambda x: F.coalesce(x["supported"], F.lit(False)))
     cites = F.array_distinct(F.flatten(F.transform(kept, lambda x: x["cites"])))
     marks = lambda x: F.array_join(F.transform(F.array_distinct(x["cites"]), lambda c: F.concat(F.lit("["), F.array_position(cites, c).cast("string"), F.lit("]"))), "")
     text = F.array_join(F.transform(kept, lambda x: F.concat_ws(" ", F.trim(x["text"]), F.nullif(marks(x), F.lit("")))), " ")
-    bad = (F.size(kept) <= 0) | ((F.size(sentences) - F.size(kept)) * 2 > F.size(sentences))
+    bad = F.coalesce((F.size(kept) <= 0) | ((F.size(sentences) - F.size(kept)) * 2 > F.size(sentences)), F.lit(True))
     return F.struct(F.when(~bad, text).alias("text"), F.when(~bad, cites).alias("cites"), F.when(bad, "unsupported").alias("reason"))
