@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townledger.llm import chat, decontam, htmltext, langid, media, ngram_join, packing, sharding, tokenfiles, toxicity
+from townledger.llm import chat, decontam, htmltext, langid, media, ngram_join, packing, resample, sharding, tokenfiles, toxicity
 from townledger.llm.common import shared_dir, table
 
 
@@ -60,8 +60,13 @@ def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.find_copies(spark, images)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resample(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_perspective_rotation, op2_ngram_jaccard_join, op3_mixture_packing, op4_suffix_array_decontamination, op5_language_id, op6_html_tree_model, op7_rendezvous_sharding, op8_toxicity, op9_token_files, op10_media_copies)
+    f.__name__: f for f in (op1_perspective_rotation, op2_ngram_jaccard_join, op3_mixture_packing, op4_suffix_array_decontamination, op5_language_id, op6_html_tree_model, op7_rendezvous_sharding, op8_toxicity, op9_token_files, op10_media_copies, op11_importance_resampling)
 }
 
 #: Only what SQL can express; the rest is tested against brute force, round trips and held-out accuracy.
@@ -75,4 +80,19 @@ ORACLES: dict[str, str] = {
             coalesce(string_agg((pos + length(head)) || '-' || (pos + length(head) + length(body) + 7), ',' ORDER BY turn, speaker, body) FILTER (speaker = perspective), '') AS loss_spans FROM p GROUP BY ALL)
         SELECT conv_id, perspective, row_number() OVER w - 1 AS part, n_turns, text, loss_spans, coalesce(sum(length(text)) OVER (PARTITION BY conv_id, perspective ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start
         FROM g WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY run)""",
+    # crc32 is worked out for each distinct word, byte by byte, from the table of its polynomial.
+    "op11_importance_resampling": r"""
+        WITH step AS (SELECT list(list_reduce([n] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS tab FROM range(256) r(n)),
+        w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        bw AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+        dw AS (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, unnest(ws) AS word FROM w) GROUP BY ALL),
+        v AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+        b AS (SELECT word, xor(4294967295, list_reduce([4294967295] || list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, y: xor(tab[1 + xor(c & 255, y)], c >> 8))) % 10000 AS bucket FROM v, step),
+        s AS (SELECT bucket, sum(c) AS s FROM dw JOIN b USING (word) GROUP BY bucket),
+        t AS (SELECT bucket, count(*) AS t FROM bw JOIN b USING (word) GROUP BY bucket),
+        g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain FROM (SELECT DISTINCT bucket FROM b) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+        m AS (SELECT doc_id, sum(c * gain)::BIGINT AS weight FROM dw JOIN b USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+        z AS (SELECT doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296::DOUBLE)))::BIGINT AS score FROM w LEFT JOIN m USING (doc_id)),
+        r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM r) THEN rank END AS rank FROM z LEFT JOIN r USING (doc_id)""",
 }
