@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townledger.llm import chat, decontam, htmltext, langid, licenses, media, ngram_join, packing, resample, sharding, tokenfiles, toxicity
+from townledger.llm import chat, decontam, htmltext, langid, licenses, media, ngram_join, packing, repair, resample, sharding, tokenfiles, toxicity
 from townledger.llm.common import shared_dir, table
 
 
@@ -70,8 +70,12 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(spark, repair.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_perspective_rotation, op2_ngram_jaccard_join, op3_mixture_packing, op4_suffix_array_decontamination, op5_language_id, op6_html_tree_model, op7_rendezvous_sharding, op8_toxicity, op9_token_files, op10_media_copies, op11_importance_resampling, op12_license_scan)
+    f.__name__: f for f in (op1_perspective_rotation, op2_ngram_jaccard_join, op3_mixture_packing, op4_suffix_array_decontamination, op5_language_id, op6_html_tree_model, op7_rendezvous_sharding, op8_toxicity, op9_token_files, op10_media_copies, op11_importance_resampling, op12_license_scan, op13_conversation_repair)
 }
 
 #: Only what SQL can express; the rest is tested against brute force, round trips and held-out accuracy.
