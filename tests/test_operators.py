@@ -157,6 +157,18 @@ def test_guarded_sql(spark, civic):
         with pytest.raises(guard.SqlError) as e:
             guard.run(spark, query)
         assert e.value.code == "permission_denied", query
+    for query in ("select * from identifier('secret')", "select * from identifier('sec' || 'ret')", "with a as (select * from identifier('secret')) select * from a", "select identifier('reflect')('java.lang.System', 'getProperty', 'user.name')", "select (select max(x) from identifier('secret') as t(x, y))",
+                  "select * from v_facts lateral view reflect('java.lang.System', 'exit', 1) t as x", "select * from v_facts lateral view identifier('explode')(array(1)) t as x", "select * from v_facts version as of 1", "select * from v_facts where id = :p", "select transform(array(1), x -> reflect('a', 'b'))",
+                  "select * from v_facts |> where exists (select 1 from identifier('secret'))", "select input_file_name()", "select current_user()", "from v_facts select transform(id) using 'cat' as x", "select * from read_files('/etc')", "select sum(id) over (order by java_method('a', 'b')) from v_facts"):
+        with pytest.raises(guard.SqlError) as e:
+            guard.run(spark, query)
+        assert e.value.code in ("permission_denied", "sql_error") and e.value.code != "timeout", query
+        if "identifier(" in query:
+            assert e.value.code == "permission_denied", query
+    for query in ("select kind, count(*) as n from v_facts group by rollup(kind) having count(*) > 0 order by n desc nulls last limit 2", "select row_number() over (partition by kind order by id) as r, lag(id) over w as l from v_facts window w as (order by id)", "select * except (kind) from v_facts where id in (1, 2) and not kind like 'x%' or kind is null",
+                  "select * from (values (1, 'a'), (2, 'b')) as t(a, b) union all select 3, cast(4 as string) except select 9, 'x'", "select case when id > 1 then -id else id % 2 end as c, id || 'x' as d from v_facts a left join v_amounts b using (id) where exists (select 1 from v_votes)", "with recursive r(n) as (select 1 union all select n + 1 from r where n < 5) select max(n) from r",
+                  "select filter(array(1, 2), x -> x > 1)[0] as f, explode(array(1, 2)) as e", "select date '2020-01-01' + interval 1 day as d, extract(year from current_date) > 2000 as y, trim(both 'x' from 'xax') as t", "select x from v_facts lateral view explode(array(id)) e as x", "select id from v_facts |> where id = 1 |> limit 1"):
+        assert guard.run(spark, query)["columns"], query
     assert guard.run(spark, "with secret as (select amount_usd as x from v_amounts) select count(*) as n, round(sum(x), 1) as s from secret")["rows"] == [[1, 12.5]]
     with pytest.raises(guard.SqlError) as e:
         guard.run(spark, "select sum(a.id * b.id) as s from range(10000000) a join range(10000000) b on a.id < b.id", seconds=0.5)

@@ -22,11 +22,27 @@ ALLOWED = frozenset(
     "lower upper trim ltrim rtrim btrim length char_length octet_length substring substr left right replace translate concat concat_ws split split_part instr locate position lpad rpad repeat reverse initcap "
     "startswith endswith contains regexp_like rlike like regexp_extract regexp_extract_all regexp_replace regexp_count levenshtein format_number printf "
     "year month day quarter week dayofweek dayofyear hour minute second date to_date try_to_date date_add date_sub datediff date_diff add_months months_between last_day trunc date_trunc date_format make_date current_date extract date_part "
-    "size cardinality array array_contains array_distinct array_sort sort_array array_join array_max array_min array_position array_union array_intersect array_except element_at get slice flatten explode explode_outer posexplode inline unnest sequence "
+    "size cardinality array array_contains array_distinct array_sort sort_array array_join array_max array_min array_position array_union array_intersect array_except element_at get slice flatten filter transform aggregate reduce exists forall zip_with explode explode_outer posexplode inline unnest sequence "
     "get_json_object json_tuple named_struct struct map row_number rank dense_rank percent_rank ntile lag lead first_value last_value nth_value grouping grouping_id range in".split()
 )
 
 
+#: What a parsed query may be made of; every other node or expression is refused, whatever it does.
+NODES = frozenset(
+    "Aggregate Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset OneRowRelation PipeOperator Pivot Project Sample Sort SubqueryAlias Tail Union Unpivot "
+    "UnresolvedHaving UnresolvedHint UnresolvedInlineTable UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction UnresolvedWith WithWindowDefinition".split()
+)
+EXPRESSIONS = frozenset(
+    "Add AggregateExpression Alias And AnyValue AttributeReference BitwiseAnd BitwiseNot BitwiseOr BitwiseXor CaseWhen Cast Coalesce Collate Concat CreateNamedStruct Cube CurrentRow Divide EqualNullSafe EqualTo Exists First GreaterThan "
+    "GreaterThanOrEqual GroupingSets ILike In InSubquery IntegralDivide IsNotNull IsNull LambdaFunction Last LateralSubquery LessThan LessThanOrEqual Like LikeAll LikeAny ListQuery Literal Lower MultiAlias Multiply NamePlaceholder Not NotLikeAll NotLikeAny "
+    "Or Overlay PipeExpression RLike Remainder Rollup ScalarSubquery ShiftLeft ShiftRight ShiftRightUnsigned SortOrder SpecifiedWindowFrame StringLocate StringTrim StringTrimLeft StringTrimRight Substring Subtract TimestampAdd TimestampDiff UnaryMinus UnaryPositive "
+    "UnboundedFollowing UnboundedPreceding UnresolvedAlias UnresolvedAttribute UnresolvedCollation UnresolvedExtractValue UnresolvedFunction UnresolvedGenerator UnresolvedNamedLambdaVariable UnresolvedOrdinal UnresolvedStar UnresolvedStarExceptOrReplace UnresolvedWindowExpression "
+    "UnspecifiedFrame WindowExpression WindowSpecDefinition".split()
+)
+#: Leaves of an analysed query that hold no table.
+TABLELESS = frozenset("OneRowRelation LocalRelation Range CTERelationRef UnionLoopRef".split())
+
+
 class SqlError(Exception):
     """code is one of invalid_arguments, permission_denied, read_only_violation, multiple_statements, row_limit_exceeded, timeout, sql_error."""
 
@@ -48,12 +64,24 @@ def _expressions(plan) -> Iterator:
         todo += _each(x.children())
 
 
+def _kind(node) -> str:
+    """The class of a node or expression, without its package and what a singleton or an unnamed subclass adds to it."""
+    return node.getClass().getName().rpartition(".")[2].partition("$")[0]
+
+
+def _allowed(name: str) -> None:
+    if name.lower() not in ALLOWED:
+        raise SqlError("permission_denied", f"{name} is not allowed")
+
+
 def _walk(plan, known: frozenset[str]) -> None:
-    """Refuse relations that are not known where they are named, and functions that are not allowed, all through a parsed plan.
+    """Refuse all but known kinds of nodes and expressions, relations that are not known where they are named, and functions that are not allowed.
 
     A common table is known to the ones after it and to the query below, to itself only if it may be recursive, and nowhere else.
     """
-    kind = plan.getClass().getSimpleName()
+    kind = _kind(plan)
+    if kind not in NODES:
+        raise SqlError("permission_denied", f"{kind} is not allowed")
     if kind == "UnresolvedWith":
         for one in _each(plan.cteRelations()):
             own = frozenset([one._1().lower()])
@@ -63,18 +91,32 @@ def _walk(plan, known: frozenset[str]) -> None:
         name = ".".join(_each(plan.multipartIdentifier()))
         if name.lower() not in known:
             raise SqlError("permission_denied", f"no such view: {name}")
-    elif kind == "UnresolvedTableValuedFunction" and ".".join(_each(plan.name())).lower() not in ALLOWED:
-        raise SqlError("permission_denied", f"{'.'.join(_each(plan.name()))} is not allowed")
-    elif kind == "ScriptTransformation":
-        raise SqlError("permission_denied", "scripts are not allowed")
+    elif kind == "UnresolvedTableValuedFunction":
+        _allowed(".".join(_each(plan.name())))
     for x in _expressions(plan):
-        if x.getClass().getSimpleName() == "UnresolvedFunction" and (name := ".".join(_each(x.nameParts()))).lower() not in ALLOWED:
-            raise SqlError("permission_denied", f"{name} is not allowed")
+        if (what := _kind(x)) not in EXPRESSIONS:
+            raise SqlError("permission_denied", f"{what} is not allowed")
+        if what == "UnresolvedFunction":
+            _allowed(".".join(_each(x.nameParts())))
+        elif what == "UnresolvedGenerator":
+            _allowed(x.name().unquotedString())
     for part in (plan.children(), plan.subqueries()):
         for below in _each(part):
             _walk(below, known)
 
 
+def _reached(plan, allowed: frozenset[str]) -> None:
+    """Refuse tables of an analysed plan that are not below an allowed view; the second look, after Spark has resolved all names."""
+    kind = _kind(plan)
+    if kind == "SubqueryAlias" and plan.identifier().name().lower() in allowed and _kind(plan.child()) == "View":
+        return
+    if not plan.children().size() and kind not in TABLELESS:
+        raise SqlError("permission_denied", f"{kind} is not allowed")
+    for part in (plan.children(), plan.subqueries(), plan.innerChildren()):
+        for below in _each(part):
+            _reached(below, allowed)
+
+
 def check(spark: SparkSession, query: str, allowed: Iterable[str] = VIEWS) -> None:
     """Refuse what is not one query over the allowed views, by Spark's own parse of it."""
     if not query.strip() or len(query.strip()) > MAX_CHARS:
@@ -104,6 +146,7 @@ def run(spark: SparkSession, query: str, allowed: Iterable[str] = VIEWS, seconds
     timer.start()
     try:
         df = spark.sql(query)
+        _reached(df._jdf.queryExecution().analyzed(), frozenset(v.lower() for v in allowed))
         rows = df.limit(MAX_ROWS + 1).collect()
     except (AnalysisException, ParseException) as e:
         raise SqlError("sql_error", str(e).splitlines()[0]) from e
