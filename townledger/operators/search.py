@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from townledger.functions import text as T
+from townledger.functions.stems import IRREGULAR, SUFFIXES, stems
 
 #: Queries in one broadcast at most; more are searched in blocks of that size.
 MAX_QUERIES = 10_000
@@ -51,6 +52,66 @@ def keyword_search_many(df: DataFrame, queries: DataFrame, key: str = "doc_id",
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def word_forms(df: DataFrame, query: str, text: str = "text") -> dict[str, list[str]]:
+    """stem -> the words of df's texts that share it, for each stem of a query's terms, in order of the terms.
+
+    A rule changes no more than the last two letters of what it leaves, so only distinct words that begin like an asked stem
+    without these, and end in suffixes, are stemmed. Only the forms of the asked stems come to the driver: a stem has no more forms than the
+    rules have suffixes to take off.
+    """
+    terms = list(dict.fromkeys(T.search_terms(query)))
+    if not terms:
+        return {}
+    asked = stems(df.sparkSession.createDataFrame(list(enumerate(terms)), "at int, word string")).collect()
+    forms: dict[str, list[str]] = {r["stem"]: [] for r in sorted(asked, key=lambda r: r["at"])}
+    heads = "|".join(sorted({s[: max(1, len(s) - 2)] for s in forms}))
+    near = rf"(?<![a-z0-9])(?:(?:{heads})[a-z0-9]{{0,4}}(?:{'|'.join(SUFFIXES)})*|{'|'.join(IRREGULAR)})(?![a-z0-9])"
+    words = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(near), F.lit(0)))).alias("word")).distinct()
+    words = words.filter((F.length("word") >= 2) & ~F.col("word").isin(*T.STOPWORDS))
+    for r in stems(words).filter(F.col("stem").isin(*forms)).orderBy("word").collect():
+        forms[r["stem"]].append(r["word"])
+    return forms
+
+
+def _any_of(words: Sequence[str]) -> str:
+    return rf"(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])"
+
+
+def stem_search(df: DataFrame, query: str, key: str = "doc_id", text: str = "text", k: int = 50, near: bool = False) -> DataFrame:
+    """(key, score): passages ranked by cover density of the query's stems, best first, least key on ties.
+
+    A cover is a shortest run of words that meets the query; one of n words that are not the query's adds 0.1 / (1 + n), and
+    a sum of s scores s / (1 + s). With any term enough, each of its places is a cover; near asks for all terms, and covers are
+    the shortest runs that hold them all. All words have places, stop words too. A query of stop words, or (near) with a
+    stem that no text has, finds nothing; null and empty texts are never found.
+    """
+    forms = word_forms(df, query, text)
+    if not any(forms.values()) or near and not all(forms.values()):
+        return df.limit(0).select(key, F.lit(0.0).alias("score"))
+    low = F.lower(F.col(text))
+    if not near:
+        places = F.regexp_count(low, F.lit(_any_of([w for words in forms.values() for w in words]))).cast("double")
+        found = df.select(key, (F.lit(0.1) * places).alias("_sum")).filter("_sum > 0")
+    else:
+        number = F.create_map(*(F.lit(x) for i, words in enumerate(forms.values()) for w in words for x in (w, i)))
+        having = where_all(df, *(low.rlike(_any_of(words)) for words in forms.values()))
+        every = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
+        places = F.filter(F.transform(every, lambda w, at: F.struct(at.alias("at"), F.element_at(number, w).alias("term"))), lambda x: x["term"].isNotNull())
+        last = F.array(*[F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n"))] * len(forms))
+
+        def step(acc: Column, x: Column) -> Column:
+            lasts = F.transform(acc["last"], lambda v, i: F.when(i == x["term"], F.struct(x["at"].alias("at"), acc["n"].alias("n"))).otherwise(v))
+            return F.struct((acc["n"] + 1).alias("n"), lasts.alias("last"), F.array_min(lasts)["at"].alias("low"), (acc["sum"] + _cover(acc, x, lasts)).alias("sum"))
+
+        def _cover(acc: Column, x: Column, lasts: Column) -> Column:
+            first = F.array_min(lasts)  # a cover ends here if its first word moved on
+            return F.when((first["at"] >= 0) & (first["at"] > acc["low"]), F.lit(0.1) / (F.lit(1) + x["at"] - first["at"] - (acc["n"] - first["n"]))).otherwise(F.lit(0.0))
+
+        start = F.struct(F.lit(0).alias("n"), last.alias("last"), F.lit(-1).alias("low"), F.lit(0.0).alias("sum"))
+        found = having.select(key, F.aggregate(places, start, step)["sum"].alias("_sum"))
+    return found.select(key, (F.col("_sum") / (F.lit(1.0) + F.col("_sum"))).alias("score")).orderBy(F.desc("score"), key).limit(k)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -139,8 +200,9 @@ def bag_search(df: DataFrame, query: str, key: str = "doc_id", text: str = "text
         F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("square")),
         lambda acc, x: F.struct(x.alias("last"), F.when(x == acc["last"], acc["run"] + 1).otherwise(F.lit(0).cast("long")).alias("run"), (acc["square"] + F.when(x == acc["last"], 2 * acc["run"] + 3).otherwise(F.lit(1).cast("long"))).alias("square")),
     )
-    hits = F.filter("bag", lambda b: b.isin(*asked))
-    rows = df.select(key, bag_buckets(F.col(text), dim).alias("bag")).withColumn("hits", hits).filter(F.size("hits") > 0)
+    # The bag stands in an array of one: a filter on its hits does not work it out a second time.
+    both = F.transform(F.array(bag_buckets(F.col(text), dim)), lambda bag: F.struct(bag.alias("bag"), F.filter(bag, lambda b: b.isin(*asked)).alias("hits")))
+    rows = df.select(key, F.inline(F.filter(both, lambda x: F.size(x["hits"]) > 0)))
     dot = F.aggregate("hits", F.lit(0), lambda acc, x: acc + F.coalesce(F.element_at(F.create_map(*(F.lit(v) for p in asked.items() for v in p)), x), F.lit(0)))
     length = math.sqrt(sum(n * n for n in asked.values()))
     return rows.select(key, (dot / F.sqrt(sums["square"]) / F.lit(length)).alias("score")).orderBy(F.desc("score"), key).limit(k)

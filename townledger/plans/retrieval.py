@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from townledger.functions import stems as P
 from townledger.functions import text as T
 from townledger.operators import search as S
 from townledger.plans.tables import table
 
 QUESTION = "the thread of reation and hely ndster"
+STEMMED = "how the erating of onherly things and ndster"
+NEAR = "what erators did by thonly thtioning"
 _STOP = "(" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + ")"
 _TOK = f"list_filter(regexp_extract_all(lower({{0}}), '[a-z0-9]+'), lambda t: length(t) >= 2 AND t NOT IN {_STOP})"
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
@@ -30,6 +33,14 @@ def keyword_search_many(spark, d):
     return S.keyword_search_many(table(spark, d, "documents"), q, k=5)
 
 
+def keyword_search_stems(spark, d):
+    return S.stem_search(table(spark, d, "documents"), STEMMED, k=50).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def keyword_search_near(spark, d):
+    return S.stem_search(table(spark, d, "documents"), NEAR, k=50, near=True).select("doc_id", F.round("score", 6).alias("score"))
+
+
 def vector_topk(spark, d):
     e = table(spark, d, "embeddings")
     q = e.filter("vec_id = 0").select(F.lit(0).alias("query_id"), "embedding")
@@ -107,10 +118,54 @@ _BAG = f"SELECT doc_id, dot / norm / (SELECT sqrt(sum(q * q)) FROM ({_ASKED})) A
 _COS = f"({_DOT.format('e.embedding', 'q.embedding')}) / (sqrt({_DOT.format('e.embedding', 'e.embedding')}) * sqrt({_DOT.format('q.embedding', 'q.embedding')}))"
 _NEAR = f"SELECT q.vec_id AS query_id, e.vec_id, q.label AS ql, e.label, {_COS} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q"
 
-QUERIES = {f.__name__: f for f in (tokenize, keyword_search, keyword_search_many, vector_topk, vector_topk_many, rrf_fusion, rerank_overlap, dedup_best_per_group, span_budget, hashed_bow, ann_recall, hybrid_search, bag_search, optional_filters, text_search)}
+def _sql_stems(words: str) -> str:
+    """CTEs that end in stemmed(word, stem): the suffix rules once more, in SQL, for the words of a query."""
+    longest = lambda suffixes: "|".join(sorted(suffixes, key=lambda x: (-len(x), x)))
+    quoted = lambda values: ", ".join(f"'{v}'" for v in values)
+    less = lambda n: f"left(w, (length(w) - {n})::BIGINT)"
+    swapped = lambda rules: "CASE m " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in rules.items()) + " END"
+    keep = "word, stop, r1, r2"
+    step = lambda name, before, suffixes: f"{name} AS (SELECT {keep}, w, regexp_extract(w, '({longest(suffixes)})$', 1) AS m FROM {before})"
+    into = lambda name, before, rules, region, extra: f"{name} AS (SELECT {keep}, CASE WHEN NOT stop AND m != '' AND length(w) - length(m) >= {region} AND {extra} THEN {less('length(m)')} || {swapped(rules)} ELSE w END AS w FROM {before})"
+    irregular = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in P.IRREGULAR.items())
+    return f"""w0 AS (SELECT DISTINCT word FROM ({words})),
+        w1 AS (SELECT word, length(word) < 3 OR word IN ({quoted([*P.IRREGULAR, *P.KEPT])}) AS stop, CASE word {irregular} ELSE regexp_replace(regexp_replace(word, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') END AS w FROM w0),
+        w2 AS (SELECT *, coalesce(nullif(length(regexp_extract(w, '^(?:{P.BEGINNINGS})|{P.REGION}')), 0), length(w)) AS r1 FROM w1),
+        w3 AS (SELECT *, coalesce(nullif(length(regexp_extract(substr(w, r1 + 1), '{P.REGION}')), 0) + r1, length(w)) AS r2 FROM w2),
+        {step('a1', 'w3', ('sses', 'ied', 'ies', 'us', 'ss', 's'))},
+        a2 AS (SELECT {keep}, CASE WHEN stop THEN w WHEN m = 'sses' OR m IN ('ied', 'ies') AND length(w) > 4 THEN {less(2)} WHEN m IN ('ied', 'ies') OR m = 's' AND regexp_matches(w, '[aeiouy].+s$') THEN {less(1)} ELSE w END AS w FROM a1),
+        a3 AS (SELECT word, stop OR w IN ({quoted(P.KEPT_WITHOUT_S)}) AS stop, r1, r2, w FROM a2),
+        {step('b1', 'a3', ('eed', 'eedly', 'ed', 'edly', 'ing', 'ingly'))},
+        b2 AS (SELECT *, {less('length(m)')} AS b FROM b1),
+        b3 AS (SELECT {keep}, CASE WHEN stop OR m = '' THEN w WHEN m IN ('eed', 'eedly') THEN CASE WHEN length(b) >= r1 THEN b || 'ee' ELSE w END WHEN NOT regexp_matches(b, '[aeiouy]') THEN w
+            WHEN regexp_matches(b, '(at|bl|iz)$') THEN b || 'e' WHEN regexp_matches(b, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(b, length(b) - 1) WHEN r1 >= length(b) AND regexp_matches(b, '{P.SHORT}') THEN b || 'e' ELSE b END AS w FROM b2),
+        c1 AS (SELECT {keep}, CASE WHEN NOT stop AND regexp_matches(w, '^.+[^aeiouy][yY]$') THEN {less(1)} || 'i' ELSE w END AS w FROM b3),
+        {step('d1', 'c1', P.STEP_2)}, {into('d2', 'd1', P.STEP_2, 'r1', "(m != 'ogi' OR w LIKE '%logi') AND (m != 'li' OR regexp_matches(w, '[cdeghkmnrt]li$'))")},
+        {step('e1', 'd2', P.STEP_3)}, {into('e2', 'e1', P.STEP_3, 'r1', "(m != 'ative' OR length(w) - 5 >= r2)")},
+        {step('f1', 'e2', P.STEP_4)}, {into('f2', 'f1', dict.fromkeys(P.STEP_4, ''), 'r2', "(m != 'ion' OR regexp_matches(w, '[st]ion$'))")},
+        stemmed AS (SELECT word, lower(CASE WHEN NOT stop AND (length(w) - 1 >= r2 AND regexp_matches(w, '(e|ll)$') OR length(w) - 1 >= r1 AND w LIKE '%e' AND NOT regexp_matches({less(1)}, '{P.SHORT}')) THEN {less(1)} ELSE w END) AS stem FROM f2)"""
+
+
+def _sql_places(query: str) -> str:
+    """CTEs that end in places(doc_id, pos, term): where each stem of a query stands in each document."""
+    return f"""every AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents)),
+        terms AS (SELECT unnest({T.search_terms(query)}) AS word), {_sql_stems('SELECT word FROM every UNION SELECT word FROM terms')},
+        asked AS (SELECT DISTINCT stem FROM terms JOIN stemmed USING (word)),
+        places AS (SELECT doc_id, pos, stem AS term FROM every JOIN stemmed USING (word) JOIN asked USING (stem) WHERE length(word) >= 2 AND word NOT IN {_STOP})"""
+
+
+QUERIES = {f.__name__: f for f in (tokenize, keyword_search, keyword_search_stems, keyword_search_near, keyword_search_many, vector_topk, vector_topk_many, rrf_fusion, rerank_overlap, dedup_best_per_group, span_budget, hashed_bow, ann_recall, hybrid_search, bag_search, optional_filters, text_search)}
 ORACLES = {
     "tokenize": f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY term",
     "keyword_search": f"SELECT doc_id, round(score, 6) AS score FROM ({_KW})",
+    "keyword_search_stems": f"""WITH {_sql_places(STEMMED)}
+        SELECT doc_id, round(s / (1 + s), 6) AS score FROM (SELECT doc_id, 0.1::DOUBLE * count(*) AS s FROM places GROUP BY doc_id) ORDER BY s DESC, doc_id LIMIT 50""",
+    # A cover ends at a place where the earliest of the terms' last places has moved on.
+    "keyword_search_near": f"""WITH {_sql_places(NEAR)},
+        l AS (SELECT p.doc_id, p.pos, a.stem, max(CASE WHEN p.term = a.stem THEN p.pos END) OVER (PARTITION BY p.doc_id, a.stem ORDER BY p.pos) AS last, row_number() OVER (PARTITION BY p.doc_id, a.stem ORDER BY p.pos) AS n FROM places p, asked a),
+        m AS (SELECT doc_id, pos, n, CASE WHEN count(last) = count(*) THEN min(last) END AS low FROM l GROUP BY ALL),
+        c AS (SELECT m.doc_id, m.pos - m.low - (m.n - f.n) AS noise FROM (SELECT *, lag(low) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM m) m JOIN (SELECT DISTINCT doc_id, pos, n FROM m) f ON f.doc_id = m.doc_id AND f.pos = m.low WHERE m.before IS NULL OR m.low > m.before)
+        SELECT doc_id, round(s / (1 + s), 6) AS score FROM (SELECT doc_id, sum(0.1::DOUBLE / (1 + noise)) AS s FROM c GROUP BY doc_id) ORDER BY s DESC, doc_id LIMIT 50""",
     "keyword_search_many": f"""WITH q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK.format('text')}) AS term FROM benchmark),
         p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY ALL),
         h AS (SELECT query_id, doc_id, sum(tf)::BIGINT AS hits FROM q JOIN p USING (term) GROUP BY ALL)
