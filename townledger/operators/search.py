@@ -12,10 +12,7 @@ from pyspark.sql import functions as F
 
 from townledger.functions import text as T
 from townledger.functions.stems import IRREGULAR, SUFFIXES, stems
-
-#: Queries in one broadcast at most; more are searched in blocks of that size.
-MAX_QUERIES = 10_000
-
+from townledger.operators.vectors import exact_search
 
 def where_all(df: DataFrame, *conditions: Column | None) -> DataFrame:
     """The rows that meet every condition given; None sets no condition, so the filter below a scan holds only what applies."""
@@ -125,25 +122,8 @@ def vector_search(df: DataFrame, query: Sequence[float], key: str = "vec_id", ve
 
 
 def vector_search_many(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", k: int = 10, within: tuple[str, str] | None = None) -> DataFrame:
-    """(query_key, key, score, rank): exact nearest vectors of a stated set of queries, which is broadcast in hashed blocks of about MAX_QUERIES.
-
-    within: a column of df and one of queries; only rows whose values are equal are ranked for a query.
-    Each task keeps the k best of its own rows for each query before the shuffle.
-    """
-    of_query = [within[1]] if within else []
-    asked = queries.select(query_key, F.col(vector).alias("_q"), *(F.col(c).alias("_within") for c in of_query))
-    blocks = -(-asked.count() // MAX_QUERIES)
-    norm = F.sqrt(dot(F.col(vector), F.col(vector))) * F.sqrt(dot(F.col("_q"), F.col("_q")))
-    score = F.when(norm == 0, F.lit(float("-inf"))).otherwise(dot(F.col(vector), F.col("_q")) / norm).alias("score")
-    best = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    found = None
-    for i in range(max(1, blocks)):
-        block = F.broadcast(asked if blocks <= 1 else asked.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == i))
-        rows = df.filter(F.col(vector).isNotNull())
-        scored = (rows.join(block, F.col(within[0]) == F.col("_within")) if within else rows.join(block)).select(query_key, key, score)
-        top = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        found = top if found is None else found.unionByName(top)
-    return found
+    """(query_key, key, score, rank): exact nearest vectors of a stated set of queries; see vectors.exact_search."""
+    return exact_search(df, queries, key, vector, query_key, k, within)
 
 
 def fuse(lists: Sequence[DataFrame], key: str, k: int = 60) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from townledger.functions import stems as P
 from townledger.functions import text as T
 from townledger.operators import search as S
+from townledger.operators import vectors as V
 from townledger.plans.tables import table
 
 QUESTION = "the thread of reation and hely ndster"
@@ -80,13 +81,20 @@ def hashed_bow(spark, d):
     return S.hashed_bag(table(spark, d, "documents"), "doc_id", "text").groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
 
-def ann_recall(spark, d):
+def label_recall(spark, d):
     """Recall at 10 of a search by the label's vectors alone against the exact one."""
     e = table(spark, d, "embeddings")
     q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("ql"))
     exact = S.vector_search_many(e, q, k=10).select("query_id", "vec_id")
-    near = S.vector_search_many(e.select("vec_id", "embedding", "label"), q, k=10, within=("label", "ql")).select("query_id", "vec_id")
-    return exact.join(near.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.round(F.count("hit") / 10, 4).alias("recall"))
+    near = S.vector_search_many(e.select("vec_id", "embedding", "label"), q, k=10, within=("label", "ql"))
+    return V.recall(near, exact).select("query_id", F.round("recall", 4).alias("recall"))
+
+
+def ann_recall(spark, d):
+    """Recall at 10 of the inverted file against the exact search, for every query."""
+    e = table(spark, d, "embeddings")
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return V.recall(V.indexed_search(e, q), S.vector_search_many(e, q, k=10)).select("query_id", F.round("recall", 4).alias("recall"))
 
 
 def hybrid_search(spark, d):
@@ -154,7 +162,7 @@ def _sql_places(query: str) -> str:
         places AS (SELECT doc_id, pos, stem AS term FROM every JOIN stemmed USING (word) JOIN asked USING (stem) WHERE length(word) >= 2 AND word NOT IN {_STOP})"""
 
 
-QUERIES = {f.__name__: f for f in (tokenize, keyword_search, keyword_search_stems, keyword_search_near, keyword_search_many, vector_topk, vector_topk_many, rrf_fusion, rerank_overlap, dedup_best_per_group, span_budget, hashed_bow, ann_recall, hybrid_search, bag_search, optional_filters, text_search)}
+QUERIES = {f.__name__: f for f in (tokenize, keyword_search, keyword_search_stems, keyword_search_near, keyword_search_many, vector_topk, vector_topk_many, rrf_fusion, rerank_overlap, dedup_best_per_group, span_budget, hashed_bow, label_recall, ann_recall, hybrid_search, bag_search, optional_filters, text_search)}
 ORACLES = {
     "tokenize": f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY term",
     "keyword_search": f"SELECT doc_id, round(score, 6) AS score FROM ({_KW})",
@@ -179,7 +187,7 @@ ORACLES = {
         SELECT doc_id, grp, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, doc_id) AS n FROM s) WHERE n = 1 OR grp IS NULL""",
     "span_budget": "SELECT source, doc_id, used FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS used FROM documents) WHERE used <= 9000",
     "hashed_bow": f"SELECT bucket, sum(n)::BIGINT AS n, count(*) AS docs FROM ({_BAGS}) GROUP BY bucket",
-    "ann_recall": f"""WITH s AS ({_NEAR}), x AS (SELECT query_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10),
+    "label_recall": f"""WITH s AS ({_NEAR}), x AS (SELECT query_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10),
         a AS (SELECT query_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s WHERE label = ql) WHERE r <= 10)
         SELECT x.query_id, round(count(a.vec_id) / 10.0::DOUBLE, 4) AS recall FROM x LEFT JOIN a ON x.query_id = a.query_id AND x.vec_id = a.vec_id GROUP BY x.query_id""",
     "bag_search": f"SELECT doc_id, round(score, 6) AS score FROM ({_BAG})",
