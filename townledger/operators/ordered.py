@@ -45,16 +45,11 @@ def _equal(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> Column:
     return same
 
 
-def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], sums: Mapping[str, Column]) -> DataFrame:
-    """df with, for each name of sums, the sum of its column over the row and all before it in its group.
-
-    A first pass deals the rows by range of (group, order) into parts and adds up each group's part; what came before a
-    part's first group is a row a part at most, which is broadcast; inside its part a group is summed by a window.
-    order must tell the rows of a group apart, or equal ones are numbered in any order. Nulls are a group of their
-    own, null values add nothing (a sum without any value is null), and an empty table stays empty.
-    """
+def sums_of_parts(dealt: DataFrame, group: Sequence[str], order: Sequence[Column | str], sums: Mapping[str, Column]) -> DataFrame:
+    """dealt, a table with parts, and for each name of sums the running sum of its column."""
     own = {f"_scan_{i}": (n, c) for i, (n, c) in enumerate(sums.items())}
-    dealt = parts(df.select("*", *(c.alias(k) for k, (_, c) in own.items())), group, order)
+    columns = dealt.columns
+    dealt = dealt.select("*", *(c.alias(k) for k, (_, c) in own.items()))
     totals = dealt.groupBy(*group, PART).agg(*(F.sum(k).alias(k) for k in own))
     before = Window.partitionBy(*group).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     started = totals.select(*group, PART, F.count(F.lit(1)).over(before).alias("_scan_earlier"), *(F.sum(k).over(before).alias(f"{k}_before") for k in own))
@@ -63,7 +58,30 @@ def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[Column | s
     summed = dealt.select("*", *(F.sum(k).over(inside).alias(f"{k}_here") for k in own))
     joined = summed.join(F.broadcast(carried), _equal(summed, carried, group), "left")
     total = lambda k: F.when(F.col(f"{k}_here").isNull(), F.col(f"{k}_before")).otherwise(F.col(f"{k}_here") + F.coalesce(F.col(f"{k}_before"), F.lit(0)))
-    return joined.select(*(summed[c] for c in df.columns), *(total(k).alias(n) for k, (n, _) in own.items()))
+    return joined.select(*(summed[c] for c in columns), *(total(k).alias(n) for k, (n, _) in own.items()))
+
+
+def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], sums: Mapping[str, Column]) -> DataFrame:
+    """df with, for each name of sums, the sum of its column over the row and all before it in its group.
+
+    A first pass deals the rows by range of (group, order) into parts and adds up each group's part; what came before a
+    part's first group is a row a part at most, which is broadcast; inside its part a group is summed by a window.
+    order must tell the rows of a group apart, or equal ones are numbered in any order. Nulls are a group of their
+    own, null values add nothing (a sum without any value is null), and an empty table stays empty.
+    """
+    return sums_of_parts(parts(df, group, order), group, order, sums).drop(PART)
+
+
+def previous_in_parts(dealt: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """dealt, a table with parts by ascending columns, and name: value in the row before it in its group, across parts too; null in a group's first row."""
+    columns = dealt.columns
+    ends = dealt.groupBy(*group, PART).agg(F.max(F.struct(*order, F.col(value).alias("_scan_last"))).alias("_scan_end"))
+    before = Window.partitionBy(*group).orderBy(PART)
+    carried = ends.select(*group, PART, F.lag("_scan_end").over(before)["_scan_last"].alias("_scan_value"), F.row_number().over(before).alias("_scan_n")).filter("_scan_n > 1").drop("_scan_n")
+    inside = Window.partitionBy(PART, *group).orderBy(*order)
+    here = dealt.select("*", F.lag(value).over(inside).alias("_scan_lag"), F.row_number().over(inside).alias("_scan_nth"))
+    joined = here.join(F.broadcast(carried), _equal(here, carried, group), "left")  # a row a part at most
+    return joined.select(*(here[c] for c in columns), F.when(F.col("_scan_nth") == 1, F.col("_scan_value")).otherwise(F.col("_scan_lag")).alias(name))
 
 
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from townledger.functions import text as T
 from townledger.functions.stems import IRREGULAR, SUFFIXES, stems
+from townledger.operators.ordered import running_sums
 from townledger.operators.vectors import exact_search
 
 def where_all(df: DataFrame, *conditions: Column | None) -> DataFrame:
@@ -154,8 +155,7 @@ def best_per_group(hits: DataFrame, group: str, *order: Column | str) -> DataFra
 
 def within_budget(spans: DataFrame, group: str, size: Column, budget: int, *order: Column | str) -> DataFrame:
     """The first spans of each group while their sizes add up to at most the budget. Sizes aren't negative, so the rest is a suffix."""
-    run = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return spans.withColumn("used", F.sum(size).over(run)).filter(F.col("used") <= budget)
+    return running_sums(spans, [group], order, {"used": size}).filter(F.col("used") <= budget)
 
 
 def bag_buckets(text: Column, dim: int) -> Column:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from townledger.operators import ordered
+
 WINDOW, STEP, BATCH_CHARS, TITLE_CHARS = 1200, 1000, 24_000, 300
 
 
@@ -129,37 +131,63 @@ def caption_segments(cues: DataFrame, key: str, order: str, start: str, end: str
     return cues.select(key, order, start, end, text).groupBy(key).applyInPandas(per_document, f"{key} {kind}, segment int, start_ms long, end_ms long, text string, speaker string")
 
 
+def _chains(n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sizes in order: sums before each item (and of all), and for a batch that begins at each item, how many batches follow to the end, itself included, and what the last one holds."""
+    sums = np.concatenate([[0], np.cumsum(n)])
+    after = np.maximum(np.searchsorted(sums, sums[:-1] + most, "right") - 1, np.arange(1, len(n) + 1))
+    count, fill = np.ones(len(n) + 1, np.int64), np.zeros(len(n) + 1, np.int64)
+    for i in range(len(n) - 1, -1, -1):
+        j = after[i]
+        count[i], fill[i] = (1, sums[-1] - sums[i]) if j >= len(n) else (count[j] + 1, fill[j])
+    return sums, count, fill
+
+
 def greedy_batches(items: DataFrame, group: str, order: str, size: Column, most: int = BATCH_CHARS) -> DataFrame:
     """(group, order, batch): from 1 in each group; a batch closes before an item that would take it over most characters.
 
-    Where a batch begins depends on all before it, so a group's items pass through one task, as a sorted stream of numbers
-    of which only the open batch is in memory; the rows themselves do not move.
+    Where a batch begins depends on all before it, but only through how full the open batch is. So each sorted part tells, for
+    every item at which its first new batch may begin, how many batches follow and how full the last one is; a group's parts
+    (not its items) are chained, and then each part numbers its own items. Larger items count as most.
     """
     kinds = {c: items.schema[c].dataType.simpleString() for c in (group, order)}
-    rows = items.select(group, order, F.least(size, F.lit(most)).cast("long").alias("_n")).repartition(group).sortWithinPartitions(group, order)
-
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, used, batch = object(), 0, 0
-        for pdf in batches:
-            out = []
-            for g, n in zip(pdf[group].where(pdf[group].notna(), None), pdf["_n"]):
-                if g != now:
-                    now, used, batch = g, n, 1
-                elif used + n > most:
-                    used, batch = n, batch + 1
-                else:
-                    used += n
-                out.append(batch)
-            yield pdf[[group, order]].assign(batch=out)
+    dealt = ordered.parts(items.select(group, order, F.least(size, F.lit(most)).cast("long").alias("_n")), [group], [order])
+
+    def told(pdf: pd.DataFrame) -> pd.DataFrame:
+        sums, count, fill = _chains(pdf.sort_values(order)["_n"].to_numpy(), most)
+        k = np.searchsorted(sums, most, "right")
+        return pd.DataFrame({group: pdf[group].iloc[:1].to_numpy(), ordered.PART: [pdf[ordered.PART].iloc[0]], "sums": [sums[:k]], "count": [count[:k]], "fill": [fill[:k]], "items": [len(pdf)], "total": [sums[-1]]})
+
+    def chained(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, used, batch = [], most + 1, 0  # before the first part: no batch is open
+        for r in pdf.sort_values(ordered.PART).itertuples(index=False):
+            out.append((used, batch))
+            i = int(np.searchsorted(r.sums, most - used, "right")) - 1 if used <= most else 0
+            if used <= most and i >= r.items:
+                used += r.total
+            else:
+                used, batch = int(r.fill[i]), batch + int(r.count[i])
+        return pd.DataFrame({group: pdf.sort_values(ordered.PART)[group].to_numpy(), ordered.PART: np.sort(pdf[ordered.PART].to_numpy()), "_used": [u for u, _ in out], "_batch": [b for _, b in out]})
+
+    def numbered(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        used, batch, out = int(pdf["_used"].iloc[0]), int(pdf["_batch"].iloc[0]), []
+        for n in pdf["_n"].tolist():
+            used, batch = (n, batch + 1) if used + n > most else (used + n, batch)
+            out.append(batch)
+        return pdf[[group, order]].assign(batch=out)
 
-    return rows.mapInPandas(per_batch, f"{group} {kinds[group]}, {order} {kinds[order]}, batch int")
+    parts = dealt.groupBy(group, ordered.PART).applyInPandas(told, f"{group} {kinds[group]}, {ordered.PART} int, sums array<long>, count array<long>, fill array<long>, items long, total long")
+    carried = parts.groupBy(group).applyInPandas(chained, f"{group} {kinds[group]}, {ordered.PART} int, _used long, _batch long")
+    same = dealt[group].eqNullSafe(carried[group]) & (dealt[ordered.PART] == carried[ordered.PART])
+    opened = dealt.join(carried, same).select(dealt["*"], "_used", "_batch")
+    return opened.groupBy(group, ordered.PART).applyInPandas(numbered, f"{group} {kinds[group]}, {order} {kinds[order]}, batch int")
 
 
 def gap_sessions(df: DataFrame, key: str, at: Column, order: str, gap: float) -> DataFrame:
     """df with session: from 1 for each key, a new one after a gap of more than gap seconds."""
-    w = Window.partitionBy(key).orderBy("_at", order)
-    marked = df.withColumn("_at", at).withColumn("_new", (F.col("_at") - F.lag("_at").over(w) > gap).cast("int"))
-    return marked.withColumn("session", 1 + F.sum(F.coalesce("_new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_at", "_new")
+    dealt = ordered.previous_in_parts(ordered.parts(df.withColumn("_at", at), [key], ["_at", order]), [key], ["_at", order], "_at", "_last")
+    new = F.coalesce((F.col("_at") - F.col("_last") > gap).cast("long"), F.lit(0))
+    return ordered.sums_of_parts(dealt, [key], ["_at", order], {"session": new}).withColumn("session", F.col("session") + 1).drop("_at", "_last", ordered.PART)
 
 
 def item_ends(items: DataFrame, units: DataFrame, doc: str = "document_id") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from townledger.operators.ordered import numbered
 from townledger.operators.search import where_all
 from townledger.plans.tables import table
 
@@ -74,8 +75,8 @@ def count_over_all(spark, d):
 
 
 def sequential_label_ids(spark, d):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, d, "documents").select("doc_id", F.concat_ws("-", "source", F.lpad(F.row_number().over(w).cast("string"), 4, "0")).alias("label_id"))
+    docs = numbered(table(spark, d, "documents").select("source", "doc_id"), ["source"], ["doc_id"], "n")
+    return docs.select("doc_id", F.concat_ws("-", "source", F.lpad(F.col("n").cast("string"), F.greatest(F.length(F.col("n").cast("string")), F.lit(4)), "0")).alias("label_id"))
 
 
 def next_boundary(spark, d):
@@ -116,7 +117,7 @@ ORACLES = {
     "group_summary": "SELECT n_name, coalesce(string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment), '') AS segments, min(c_acctbal) AS lo, max(c_acctbal) AS hi, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY n_name",
     "content_dedup": "SELECT doc_id, min(doc_id) OVER w AS first_id, count(*) OVER w AS copies, CASE WHEN doc_id = min(doc_id) OVER w THEN 'downloaded' ELSE 'duplicate' END AS status FROM documents WINDOW w AS (PARTITION BY lang, sha256(text))",
     "count_over_all": "SELECT doc_id, n_chars, count(*) OVER () AS total FROM documents WHERE n_chars > 2000 ORDER BY doc_id LIMIT 20",
-    "sequential_label_ids": "SELECT doc_id, source || '-' || lpad((row_number() OVER (PARTITION BY source ORDER BY doc_id))::VARCHAR, greatest(4, 4), '0') AS label_id FROM documents",
+    "sequential_label_ids": "SELECT doc_id, source || '-' || lpad(n, greatest(4, length(n))::INT, '0') AS label_id FROM (SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::VARCHAR AS n FROM documents)",
     "next_boundary": "WITH c AS (SELECT conv_id, turn, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM conversations) SELECT conv_id, turn, start, coalesce(lead(start) OVER (PARTITION BY conv_id ORDER BY turn), start + n)::BIGINT AS \"end\" FROM c",
     "union_distinct": "SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT doc_id FROM documents WHERE n_chars > 9000 UNION SELECT doc_id FROM documents WHERE lang = 'es'",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",

@@ -5,10 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from townledger.operators.ordered import running_sums
+
 # The states of a job, and those that end it.
 STATES = ("queued", "running", "done", "failed", "dead")
 
@@ -33,8 +35,7 @@ def latest(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def budget_cutoff(calls: DataFrame, group: str, order: str, cost: str, limit: float) -> DataFrame:
     """calls with allowed: whether what was spent before and the call's own cost stay within the limit."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return calls.withColumn("allowed", F.sum(cost).over(w) <= limit)
+    return running_sums(calls, [group], [order], {"_spent": F.col(cost)}).withColumn("allowed", F.col("_spent") <= limit).drop("_spent")
 
 
 def tumbling(events: DataFrame, at: str, width: str, *keys: str, watermark: str | None = None) -> DataFrame:
