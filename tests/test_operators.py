@@ -184,12 +184,34 @@ def test_jobs(spark, tmp_path):
     queue = spark.createDataFrame([("s", 1, "done"), ("s", 2, "running")], "stage string, doc int, status string")
     new = spark.createDataFrame([("s", 1), ("s", 1), ("s", 2), ("s", 3)], "stage string, doc int")
     assert sorted(r["doc"] for r in jobs.enqueue(new, queue, ["stage", "doc"]).collect()) == [1, 3]
-    events = [(1, "claim", 1), (1, "complete", 2), (2, "claim", 1), (2, "fail", 2), (3, "complete", 1)]
-    spark.createDataFrame(events, "job_id long, event string, at long").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("job_id long, event string, at long").parquet(str(tmp_path / "in"))
-    q = jobs.job_states(stream).writeStream.outputMode("update").format("memory").queryName("job_states").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {r["job_id"]: (r["status"], r["attempts"]) for r in spark.table("job_states").collect()} == {1: ("done", 1), 2: ("queued", 1), 3: ("queued", 0)}
+
+
+def test_job_states_as_a_stream(spark, tmp_path):
+    """Claims, ends, retries, a wait after a failure, a late claim, and a stale run put back by its timer."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    begin = dt.datetime(2024, 5, 1, 12)
+    first = [(1, "claim", 0), (1, "complete", 5), (2, "claim", 0), (2, "fail", 9), (2, "claim", 10), (3, "complete", 1), (4, "claim", 3), (5, "claim", 1), (5, "release", 2), (6, "claim", 0), (6, "fail_for_good", 1)]
+    first += [(7, e, 10_000 * i + k) for i in range(5) for k, e in enumerate(("claim", "fail"))]
+    late = [(2, "claim", 39_600), (5, "claim", 400), (8, "claim", 40_100), (7, "retry", 41_000)]  # of two late claims, that of 2 is within the allowed time
+    last = [(9, "claim", 90_000)]
+    for n, rows in enumerate((first, late, last)):
+        spark.createDataFrame([(j, e, begin + dt.timedelta(seconds=s)) for j, e, s in rows], "job_id long, event string, at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("job_id long, event string, at timestamp").parquet(str(tmp_path / "in"))
+        q = jobs.job_states(stream).writeStream.outputMode("update").foreachBatch(lambda df, i, n=n: df.write.mode("append").parquet(str(tmp_path / f"out{n}"))).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+    got = [sorted({(r["job_id"], r["status"], r["attempts"]) for r in spark.read.schema("job_id long, status string, attempts int").parquet(str(tmp_path / f"out{n}")).collect()}) for n in range(3)]
+    assert [x for x in got[0] if x[0] != 4] == [(1, "done", 1), (2, "queued", 1), (3, "queued", 0), (5, "queued", 0), (6, "failed", 1), (7, "dead", 5)]
+    assert (4, "running", 1) in got[0] and (4, "queued", 1) in got[0] + got[1]  # put back by its timer once time has passed
+    assert (2, "running", 2) in got[1] and (7, "queued", 0) in got[1] and (8, "running", 1) in got[1]
+    assert not any(x[0] == 5 for x in got[1])
+    assert (9, "running", 1) in got[2] and (8, "queued", 1) in got[2]
+
+
+def test_job_events_in_order():
+    assert jobs.after(("queued", 1, 5000), "claim", 4000) == ("queued", 1, 5000)  # not before its wait is over
+    assert jobs.after(("running", 1, 0), "complete", 900_000) == ("queued", 1, 900_000)  # too late: it has gone stale
+    assert jobs.after(("running", 1, 0), "claim", 900_001) == ("running", 2, 900_001)
+    assert jobs.after(("done", 1, 0), "retry", 1) == ("done", 1, 0)
 
 
 def test_vector_search_in_blocks_and_within_a_label(spark, monkeypatch):

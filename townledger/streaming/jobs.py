@@ -7,12 +7,15 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from townledger.operators.ordered import running_sums
 
-# The states of a job, and those that end it.
+# The states of a job, after how long without an end it is run anew, and how often it is tried.
 STATES = ("queued", "running", "done", "failed", "dead")
+STALE_MS, MOST_ATTEMPTS = 900_000, 5
+
+Job = tuple[str, int, int]
 
 
 def pending(work: DataFrame, done: DataFrame, keys: list[str], digest: str = "digest") -> DataFrame:
@@ -49,24 +52,76 @@ def sessions(events: DataFrame, at: str, gap: str, key: str, watermark: str | No
     return e.groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def job_states(events: DataFrame, stale: str = "900000") -> DataFrame:
-    """A stream of (job_id, status, attempts) from one of (job_id, event, at): the state of each job after its events of a batch.
+class JobState(StatefulProcessor):
+    """The life of one job: what it is now is kept as state, and a claim sets a timer that puts a stale job back.
 
-    claim runs a queued job, complete ends it, fail puts it back, dead after five attempts. State is two numbers a job.
+    State: status, attempts, and from when on it may run or since when it has run, in milliseconds.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, attempts = state.get if state.exists else ("queued", 0)
-        for _, row in pd.concat(list(batches)).sort_values(["at", "event"]).iterrows():
-            if status in ("done", "dead"):
-                break
-            if row["event"] == "claim" and status == "queued":
-                status, attempts = "running", attempts + 1
-            elif row["event"] == "complete" and status == "running":
-                status = "done"
-            elif row["event"] == "fail" and status == "running":
-                status = "dead" if attempts >= 5 else "queued"
-        state.update((status, attempts))
-        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [attempts]})
-
-    return events.groupBy("job_id").applyInPandasWithState(step, "job_id long, status string, attempts int", "status string, attempts int", "update", GroupStateTimeout.NoTimeout)
+    def __init__(self, stale_ms: int, most: int) -> None:
+        self.stale_ms, self.most = stale_ms, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("job", "status string, attempts int, since long")
+
+    def _put(self, job: Job) -> None:
+        self.state.update(job)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if job[0] == "running":
+            self.handle.registerTimer(job[2] + self.stale_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        job: Job = self.state.get() if self.state.exists() else ("queued", 0, -(1 << 62))
+        events = pd.concat(list(rows), ignore_index=True)
+        events = events.assign(ms=events["at"].astype("datetime64[ms]").astype("int64")).sort_values(["ms", "event"])
+        for event, ms in zip(events["event"].tolist(), events["ms"].tolist(), strict=True):
+            job = after(job, event, ms, self.most, self.stale_ms)
+        self._put(job)
+        yield pd.DataFrame({"job_id": [key[0]], "status": [job[0]], "attempts": [job[1]]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        status, attempts, since = self.state.get()
+        if status == "running" and since + self.stale_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self._put(("queued", attempts, since + self.stale_ms))
+            yield pd.DataFrame({"job_id": [key[0]], "status": ["queued"], "attempts": [attempts]})
+
+    def close(self) -> None:
+        pass
+
+
+def after(job: Job, event: str, ms: int, most: int = MOST_ATTEMPTS, stale_ms: int = STALE_MS) -> Job:
+    """A job after an event at ms; an event that its state does not allow changes nothing.
+
+    claim runs a queued job that may run by then, complete and fail_for_good end a running one, fail puts it back to wait (dead
+    after the last attempt), release gives its attempt back, retry starts a dead one anew. A job that has run for stale_ms is
+    queued again before the event counts.
+    """
+    status, attempts, since = job
+    if status == "running" and ms >= since + stale_ms:
+        status, since = "queued", since + stale_ms
+    if event == "claim" and status == "queued" and since <= ms:
+        return "running", attempts + 1, ms
+    if event == "retry" and status == "dead":
+        return "queued", 0, ms
+    if status == "running":
+        if event == "complete":
+            return "done", attempts, ms
+        if event == "fail_for_good":
+            return "failed", attempts, ms
+        if event == "fail":
+            return ("dead", attempts, ms) if attempts >= most else ("queued", attempts, ms + 1000 * min(600, 5 * 2 ** (attempts - 1)))
+        if event == "release":
+            return "queued", attempts - 1, ms
+    return status, attempts, since
+
+
+def job_states(events: DataFrame, stale: int = STALE_MS, most: int = MOST_ATTEMPTS, late: str = "10 minutes") -> DataFrame:
+    """A stream of (job_id, status, attempts) from one of (job_id, event, at): the state of each job after a batch with events of it, or after its timer.
+
+    Events may come late by the time given; what a job's own events say of stale runs does not wait for the timer. State is three
+    values and at most one timer a job, in a RocksDB state store, which the session must name as its provider.
+    """
+    seen = events.withWatermark("at", late)
+    return seen.groupBy("job_id").transformWithStateInPandas(JobState(stale, most), "job_id long, status string, attempts int", "update", "EventTime")
