@@ -177,3 +177,29 @@ def test_media_copies(spark):
     assert got[900]["class_id"] == got[901]["class_id"] == 900 and got[903]["n_exact"] == 2
     assert media.find_copies(spark, images.limit(0)).count() == 0
     assert got[7]["class_id"] != got[9]["class_id"] or not F
+
+
+def enlarged(image, by):
+    """A picture by bilinear sampling; by < 1 shrinks it."""
+    h, w = image.shape
+    ys, xs = (np.arange(int(h * by)) + 0.5) / by - 0.5, (np.arange(int(w * by)) + 0.5) / by - 0.5
+    y, x = np.clip(ys.astype(int), 0, h - 2), np.clip(xs.astype(int), 0, w - 2)
+    fy, fx = np.clip(ys - y, 0, 1)[:, None], np.clip(xs - x, 0, 1)[None]
+    a = image.astype(float)
+    return np.rint((a[np.ix_(y, x)] * (1 - fx) + a[np.ix_(y, x + 1)] * fx) * (1 - fy) + (a[np.ix_(y + 1, x)] * (1 - fx) + a[np.ix_(y + 1, x + 1)] * fx) * fy).astype(np.uint8)
+
+
+def test_crops_turns_and_sizes_of_images(spark):
+    """Copies of pictures of 128 pixels: turned, cropped to half of each side, and from half to twice their size; every one finds its own original and no other."""
+    r = np.random.default_rng(4)
+    kinds = {"turned": np.rot90, "half": lambda a: a[(y := int(r.integers(0, 64))) : y + 64, (x := int(r.integers(0, 64))) : x + 64], "0.5": lambda a: enlarged(a, 0.5), "0.8": lambda a: enlarged(a, 0.8), "1.5": lambda a: enlarged(a, 1.5), "2": lambda a: enlarged(a, 2.0), "light": lambda a: media.edited(a, 7)}
+    rows, of = [], {}
+    for i in range(6):
+        image = media.picture(b"big%d" % i, 128)
+        for j, f in enumerate([lambda a: a, *kinds.values()]):
+            rows.append((100 * i + j, bytearray(media.encode(np.ascontiguousarray(f(image))))))
+            of[100 * i + j] = 100 * i
+    got = {r["image_id"]: r["class_id"] for r in media.find_copies(spark, spark.createDataFrame(rows, "image_id long, image binary").repartition(4)).collect()}
+    for j, kind in enumerate(kinds, 1):
+        assert np.mean([got[100 * i + j] == 100 * i for i in range(6)]) >= 0.9, kind
+    assert all(c in (i, of[i]) for i, c in got.items())  # no link to another picture
