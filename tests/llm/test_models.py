@@ -41,6 +41,42 @@ def test_language_counts_equal_a_loop():
     assert n == want
 
 
+def test_language_scores_equal_a_loop(spark, odd):
+    """Posteriors from dictionaries, for few and for many languages, in one block and in several."""
+    s = langid.Settings(buckets=1 << 10, block=7)
+    r = random.Random(2)
+    rows = [(i, "".join(r.choice("abcdé ") for _ in range(r.randint(1, 40))), f"l{r.randint(0, 24):02d}") for i in range(400)] + [(900, None, "l03"), (901, "9 9", "l04"), (902, "ab", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+
+    def grams(text):
+        data = (text or "").encode()
+        points, at, letters = langid._chars(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        return ([int(b) for bucket, ok in langid._grams(points, at, s.buckets) for b in bucket[ok]] if data else []), bool(data and letters[0])
+
+    seen, docs = {}, {}
+    for _, t, x in rows:
+        if x:
+            docs[x] = docs.get(x, 0) + 1
+            for b in grams(t)[0]:
+                seen.setdefault(x, {})[b] = seen.setdefault(x, {}).get(b, 0) + 1
+    names = sorted(docs)
+    want = {}
+    for i, t, _ in rows:
+        g, letters = grams(t)
+        z = {}
+        for x in names:
+            own = seen.get(x, {})
+            size = np.log(sum(own.values()) + s.alpha * s.buckets)
+            z[x] = np.log(docs[x] / sum(docs.values())) + sum(np.log(own.get(b, 0) + s.alpha) - size for b in g) * min(1, s.evidence / max(1, len(g)))
+        top = max(z, key=z.get)
+        want[i] = (top, 1 / sum(np.exp(v - z[top]) for v in z.values())) if letters else ("und", 0.0)
+    for settings in (s, langid.Settings(buckets=1 << 10)):
+        got = langid.predict(df, langid.fit(spark, df, settings=settings), settings=settings, without=("text",)).collect()
+        assert len(got) == len(rows)
+        for x in got:
+            assert x["lang_pred"] == want[x["doc_id"]][0] and abs(x["score"] - want[x["doc_id"]][1]) < 1e-4
+
+
 def toxic_corpus(seed=0, n=400):
     r = random.Random(seed)
     plain = ["".join(r.choice(["ba", "do", "ki", "lu", "me", "no"]) for _ in range(r.randint(1, 4))) for _ in range(600)]
@@ -196,3 +232,10 @@ def test_content_of_held_out_layouts():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_every_query_is_named_for_its_operator(name):
     assert re.match(r"op([1-9]|10)_\w+$", name)
+
+
+def test_a_quote_in_a_tag_is_no_string(spark):
+    pages = ["<html><body><article><h1>Title</h1><p don't>first part of it, which is long enough to be a text.</p><p>second part of it, and this too is a text.</p></article></body></html>", "<article><p title='a > b' data-x=\"c > d\">Whole text here, with a comma and an end.</p><p it's=y\">More text there, with a comma too.</p></article>"]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark, spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")).collect()}
+    assert got[0].split("\n")[-2:] == ["first part of it, which is long enough to be a text.", "second part of it, and this too is a text."]
+    assert got[1] == "Whole text here, with a comma and an end.\nMore text there, with a comma too."

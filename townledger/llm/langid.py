@@ -8,10 +8,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townledger.llm.common import crc_of_id, small_batches, text_chunks
+from townledger.llm.common import crc_of_id, shared_dir, small_batches, stored, text_chunks
 
 U32 = np.uint32
 #: Bytes of text scored at once.
@@ -20,10 +21,10 @@ CHUNK = 1 << 18
 
 @dataclass(frozen=True)
 class Settings:
-    """buckets: a power of two. The model has buckets x languages numbers, with at most max_languages."""
+    """buckets: a power of two. The model has buckets x languages numbers, in blocks of so many languages, one pass over the texts each."""
 
     buckets: int = 1 << 16
-    max_languages: int = 256
+    block: int = 256
     alpha: float = 0.5
     #: n-grams that count as independent evidence: longer texts have their mean log-likelihood times this.
     evidence: float = 64.0
@@ -98,72 +99,98 @@ def counts(labelled: DataFrame, text: str, lang: str, s: Settings) -> DataFrame:
     return part.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(spark: SparkSession, labelled: DataFrame, text: str = "text", lang: str = "lang", settings: Settings = Settings()) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, log priors, log P(bucket | language) by bucket) of all labelled rows with a non-null lang.
+@dataclass(frozen=True)
+class Model:
+    """names, their log priors, and log P(bucket | language) as broadcast matrices of s.block languages each."""
+
+    names: list[str]
+    prior: np.ndarray
+    blocks: list[Broadcast]
+
+
+def fit(spark: SparkSession, labelled: DataFrame, text: str = "text", lang: str = "lang", settings: Settings = Settings()) -> Model:
+    """The model of all labelled rows with a non-null lang. Texts without letters teach nothing but their prior.
 
-    Only the model comes to the driver: max_languages x buckets numbers at most. Texts without letters teach nothing but their prior.
+    The driver holds the names and one block's matrix at a time, whatever the number of languages.
     """
     small_batches(spark)
-    labelled = labelled.filter(F.col(lang).isNotNull())
-    most = settings.max_languages
-    names = sorted(r[0] for r in labelled.select(lang).distinct().limit(most + 1).collect())
-    if len(names) > most:
-        raise ValueError(f"over {most} languages")
-    cols = counts(labelled, text, lang, settings).toArrow()
-    full, prior = np.zeros((settings.buckets, len(names))), np.zeros(len(names))
-    code = {x: i for i, x in enumerate(names)}
-    column = np.array([code[x] for x in cols["lang"].to_pylist()], np.int64)
-    bucket, n = cols["bucket"].to_numpy(), cols["n"].to_numpy()
-    np.add.at(full, (bucket[bucket >= 0], column[bucket >= 0]), n[bucket >= 0])
-    prior[column[bucket < 0]] = n[bucket < 0]
-    logp = np.log(full + settings.alpha) - np.log(full.sum(0) + settings.alpha * settings.buckets)
-    return names, np.log(prior / prior.sum()) if names else prior, logp.astype(np.float32)
-
-
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text", settings: Settings = Settings(), without: tuple[str, ...] = ()) -> DataFrame:
+    table = stored(counts(labelled.filter(F.col(lang).isNotNull()), text, lang, settings), f"{shared_dir(spark)}/counts")
+    docs = table.filter("bucket < 0").orderBy("lang").toArrow()
+    names, prior = docs["lang"].to_pylist(), docs["n"].to_numpy().astype(float)
+    blocks = []
+    for at in range(0, len(names), settings.block):
+        own = names[at : at + settings.block]
+        cols = table.filter((F.col("bucket") >= 0) & F.col("lang").between(own[0], own[-1])).toArrow()
+        full = np.zeros((settings.buckets, len(own)))
+        code = {x: i for i, x in enumerate(own)}
+        np.add.at(full, (cols["bucket"].to_numpy(), np.array([code[x] for x in cols["lang"].to_pylist()], np.int64)), cols["n"].to_numpy())
+        logp = np.log(full + settings.alpha) - np.log(full.sum(0) + settings.alpha * settings.buckets)
+        blocks.append(spark.sparkContext.broadcast(logp.astype(np.float32)))
+    return Model(names, np.log(prior / prior.sum()) if names else prior, blocks)
+
+
+def evidence(data: np.ndarray, offs: np.ndarray, prior: np.ndarray, logp: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Tempered log-posteriors but for their sum, and letters, of the texts of a chunk: prior + mean log-likelihood times the n-grams that count."""
+    points, at, letters = _chars(data, offs)
+    total, n = np.zeros((len(offs) - 1, len(prior))), np.zeros(len(offs) - 1)
+    some = np.flatnonzero(np.diff(at))
+    for bucket, ok in _grams(points, at, s.buckets):
+        if not len(bucket):
+            continue
+        run = np.concatenate([[0], np.cumsum(ok)])
+        starts = run[np.minimum(at[:-1], len(bucket))]
+        ends = run[np.minimum(at[1:], len(bucket))]
+        here = some[ends[some] > starts[some]]
+        if len(here):
+            total[here] += np.add.reduceat(logp[bucket[ok]], starts[here], axis=0, dtype=np.float64)
+            n[here] += (ends - starts)[here]
+    return prior + total * np.minimum(1.0, s.evidence / np.maximum(n, 1))[:, None], letters
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text", settings: Settings = Settings(), without: tuple[str, ...] = ()) -> DataFrame:
     """docs, but for the columns without, and lang_pred string, score double: the likeliest language and its tempered posterior.
 
-    A null text or one without a letter is `und` with score 0, and so is every text if nothing was learned.
-    Columns named lang_pred or score are replaced.
+    A null text or one without a letter is `und` with score 0, and so is every text if nothing was learned. Of equal
+    languages the first by name is taken. Columns named lang_pred or score are replaced. More than settings.block languages
+    take a pass for each block, which carries the best so far and the log of the sum over all.
     """
-    names, prior, logp = model
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast((names, prior, logp))
-    returned = [f for f in docs.select(*keep).schema.fields if f.name not in without]
-    back = [keep.index(f.name) for f in returned]
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in returned), "lang_pred string", "score double"])
-
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, prior, logp = sent.value
-        for batch in batches:
-            rows = batch.num_rows
-            best, score = np.full(rows, -1), np.zeros(rows)
-            for lo, hi, data, offs in text_chunks(batch, text, CHUNK):
-                if not len(data) or not names:
-                    continue
-                points, at, letters = _chars(data, offs)
-                total, n = np.zeros((hi - lo, len(names))), np.zeros(hi - lo)
-                some = np.flatnonzero(np.diff(at))
-                for bucket, ok in _grams(points, at, settings.buckets):
-                    if not len(bucket):
+    rows = docs.select(*keep)
+    carried = ["_best", "_z", "_sum"]
+    if set(carried) & set(keep):
+        raise ValueError("docs has a column named _best, _z or _sum")
+    passes = max(1, len(model.blocks))
+    for i in range(passes):
+        last, first = i == passes - 1, i == 0
+        returned = [f for f in docs.select(*keep).schema.fields if not (last and f.name in without)]
+        out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in returned), "_best string, _z double, _sum double"])
+        sent = model.blocks[i] if model.blocks else None
+        at = i * settings.block
+        names, prior = model.names[at : at + settings.block], model.prior[at : at + settings.block]
+
+        def per_batch(batches: Iterator[pa.RecordBatch], sent=sent, names=names, prior=prior, first=first, returned=tuple(f.name for f in returned)) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = batch.num_rows
+                if first:
+                    best, z, total = np.full(n, "und", object), np.full(n, -np.inf), np.full(n, -np.inf)
+                else:
+                    best, z, total = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).copy() for c in ("_best", "_z", "_sum"))
+                for lo, hi, data, offs in text_chunks(batch, text, CHUNK):
+                    if not len(data) or sent is None:
                         continue
-                    run = np.concatenate([[0], np.cumsum(ok)])
-                    starts = run[np.minimum(at[:-1], len(bucket))]
-                    ends = run[np.minimum(at[1:], len(bucket))]
-                    here = some[ends[some] > starts[some]]
-                    if len(here):
-                        total[here] += np.add.reduceat(logp[bucket[ok]], starts[here], axis=0, dtype=np.float64)
-                        n[here] += (ends - starts)[here]
-                z = prior + total * np.minimum(1.0, settings.evidence / np.maximum(n, 1))[:, None]
-                z = np.exp(z - z.max(1, keepdims=True))
-                z /= z.sum(1, keepdims=True)
-                pick = np.where(letters > 0, z.argmax(1), -1)
-                best[lo:hi], score[lo:hi] = pick, np.where(letters > 0, z.max(1), 0.0)
-            pred = pa.array([names[i] if i >= 0 else "und" for i in best], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in back), pred, pa.array(score)], names=[*(batch.schema.names[i] for i in back), "lang_pred", "score"])
-
-    return docs.select(*keep).mapInArrow(per_batch, out)
+                    own, letters = evidence(data, offs, prior, sent.value, settings)
+                    top = own.max(1)
+                    better = (letters > 0) & (top > z[lo:hi])
+                    best[lo:hi] = np.where(better, np.array(names, object)[own.argmax(1)], best[lo:hi])
+                    z[lo:hi] = np.where(better, top, z[lo:hi])
+                    total[lo:hi] = np.logaddexp(total[lo:hi], top + np.log(np.exp(own - top[:, None]).sum(1)))
+                back = [batch.schema.get_field_index(c) for c in returned]
+                yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in back), pa.array(best, pa.string()), pa.array(z), pa.array(total)], names=[*returned, "_best", "_z", "_sum"])
+
+        rows = rows.mapInArrow(per_batch, out)
+    score = F.when(F.col("_best") == "und", F.lit(0.0)).otherwise(F.exp(F.col("_z") - F.col("_sum")))
+    return rows.select(*(f"`{f.name}`" for f in returned), F.col("_best").alias("lang_pred"), score.alias("score"))
 
 
 def identify(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), without: tuple[str, ...] = ()) -> DataFrame:
