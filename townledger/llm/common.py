@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,9 @@ CHUNK_BYTES = 1 << 20
 #: Bytes and rows of an Arrow batch that Spark sends to Python, about; a longer text is a batch of its own.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 4000
 
+#: Memory of a worker from which on it gives back what it has freed.
+HELD_BYTES = 200 << 20
+
 U64 = np.uint64
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=U64)
 
@@ -45,6 +51,21 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task that gives the memory it has freed back to the system when it ends: a worker lives on for tasks of other kinds."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        with contextlib.suppress(OSError, AttributeError, ValueError):  # only where the system tells sizes and its C library can
+            with open("/proc/self/statm") as f:
+                held = int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+            if held > HELD_BYTES:
+                pa.default_memory_pool().release_unused()
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write df as Parquet in a shared folder and read it again: lineage ends there."""
     df.write.mode("overwrite").parquet(path)

@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townledger.llm.common import ALNUM, U64, closed, opened, small_batches, text_chunks, words
+from townledger.llm.common import ALNUM, U64, closed, opened, small_batches, text_chunks, tidy, words
 
 #: Text of one suffix array; a longer document has one of its own.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Benchmark text that is broadcast at once; a larger benchmark is searched in blocks of this size, one after the other.
 BLOCK_BYTES = 4 << 20
 
@@ -212,7 +212,7 @@ def _search_block(docs: DataFrame, sent, text: str, without: tuple[str, ...] = (
             match = pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int32()), ("item_word", pa.int32()), ("n_words", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*own, pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string())), pa.array(matches, match)], names=[*names, "n_words", "_spans", "_items", "_matches"])
 
-    return docs.mapInArrow(per_task, ", ".join([*kinds, "n_words long", f"_spans {SPAN}", "_items array<string>", f"_matches {MATCH}"]))
+    return docs.mapInArrow(tidy(per_task), ", ".join([*kinds, "n_words long", f"_spans {SPAN}", "_items array<string>", f"_matches {MATCH}"]))
 
 
 def find_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", without: tuple[str, ...] = ()) -> DataFrame:

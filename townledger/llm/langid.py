@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townledger.llm.common import crc_of_id, shared_dir, small_batches, stored, text_chunks
+from townledger.llm.common import crc_of_id, shared_dir, small_batches, stored, text_chunks, tidy
 
 U32 = np.uint32
 #: Bytes of text scored at once.
@@ -95,7 +95,7 @@ def counts(labelled: DataFrame, text: str, lang: str, s: Settings) -> DataFrame:
             some = np.flatnonzero(t)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([x] * (len(some) + 1), pa.string()), "bucket": pa.array(np.append(some, -1).astype(np.int32)), "n": pa.array(np.append(t[some], docs[x]))})
 
-    part = labelled.select(text, lang).mapInArrow(per_task, "lang string, bucket int, n long")
+    part = labelled.select(text, lang).mapInArrow(tidy(per_task), "lang string, bucket int, n long")
     return part.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -188,7 +188,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", settings: Setting
                 back = [batch.schema.get_field_index(c) for c in returned]
                 yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in back), pa.array(best, pa.string()), pa.array(z), pa.array(total)], names=[*returned, "_best", "_z", "_sum"])
 
-        rows = rows.mapInArrow(per_batch, out)
+        rows = rows.mapInArrow(tidy(per_batch), out)
     score = F.when(F.col("_best") == "und", F.lit(0.0)).otherwise(F.exp(F.col("_z") - F.col("_sum")))
     return rows.select(*(f"`{f.name}`" for f in returned), F.col("_best").alias("lang_pred"), score.alias("score"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townledger.llm.common import SPACED, U64, mix, shared_dir, small_batches, stored, text_chunks, words
+from townledger.llm.common import SPACED, U64, mix, shared_dir, small_batches, stored, text_chunks, tidy, words
 from townledger.llm.components import components, merged
 
 _MULT = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -126,7 +126,7 @@ def _describe(docs: DataFrame, s: Settings) -> DataFrame:
         if tops:
             yield _count_rows(tops)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(per_task, "doc_id long, cls long, n long, range int, wide boolean, blob binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(per_task), "doc_id long, cls long, n long, range int, wide boolean, blob binary")
 
 
 def _filter_bits(low: np.ndarray) -> Iterator[np.ndarray]:
@@ -183,7 +183,7 @@ def _frequencies(blobs: DataFrame) -> DataFrame:
             yield done(now, *counted(parts, counts))
 
     dealt = blobs.select("range", "wide", "blob").repartition(tasks, "range").sortWithinPartitions("range")
-    return dealt.mapInArrow(per_task, "top long, n long, range int, bits binary, total long, squares double")
+    return dealt.mapInArrow(tidy(per_task), "top long, n long, range int, bits binary, total long, squares double")
 
 
 @dataclass(frozen=True)
@@ -287,7 +287,7 @@ def _postings(docs: DataFrame, order, boundary: int, s: Settings) -> DataFrame:
                 if key:
                     yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(key).view(np.int64)), "cls": pa.array(np.concatenate(cls)), "n": pa.array(np.concatenate(n)), "at": pa.array(np.concatenate(place).astype(np.int32))})
 
-    return docs.select("text").mapInArrow(per_task, "key long, cls long, n int, at int")
+    return docs.select("text").mapInArrow(tidy(per_task), "key long, cls long, n int, at int")
 
 
 def _sets(docs: DataFrame, s: Settings) -> DataFrame:
@@ -297,7 +297,7 @@ def _sets(docs: DataFrame, s: Settings) -> DataFrame:
                 sets = shingle_sets(data, offs, s.words)
                 yield pa.RecordBatch.from_pydict({"cls": pa.array([class_key(a) for a in sets], pa.int64()), "body": pa.array([a.astype("<u8", copy=False).tobytes() for a in sets], pa.binary())})
 
-    return docs.select("text").mapInArrow(per_task, "cls long, body binary")
+    return docs.select("text").mapInArrow(tidy(per_task), "cls long, body binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, first_ids: DataFrame, s: Settings, folder: str) -> DataFrame:
@@ -336,7 +336,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, first_ids: DataFrame, s: Settin
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "linked": pa.array(linked, pa.bool_())})
 
     rows = sets.join(known(parts), "cls").repartition(tasks, "a", "part").sortWithinPartitions("a", "part", "role").select("a", "role", "cls", "body")
-    return stored(rows.mapInArrow(per_task, "a long, b long, linked boolean").distinct(), f"{folder}/verified")
+    return stored(rows.mapInArrow(tidy(per_task), "a long, b long, linked boolean").distinct(), f"{folder}/verified")
 
 
 def _id():

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from townledger.llm.common import shared_dir, small_batches, stored
+from townledger.llm.common import shared_dir, small_batches, stored, tidy
 from townledger.llm.tokenfiles import encoded
 from townledger.llm.tokens import default_path
 
@@ -245,7 +245,7 @@ def pack(
                     [batch.column(0).slice(lo, hi - lo), pa.array([part] * (hi - lo), pa.int32()), pa.array(names[lo:hi], pa.string()), pa.array(before), pa.array(n), pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(raw)])], names=["k", "part", "source", "before", "n", "ids"]
                 )
 
-    tokens = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), name.alias("q")).mapInArrow(encode_part, f"k {kind}, part int, source string, before long, n long, ids binary")
+    tokens = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), name.alias("q")).mapInArrow(tidy(encode_part), f"k {kind}, part int, source string, before long, n long, ids binary")
     tokens = stored(tokens, f"{folder}/tokens")
 
     part_totals = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
@@ -316,5 +316,5 @@ def pack(
     placed = tokens.join(F.broadcast(bases) if small else bases, ["source", "part"]).select(
         "k", F.when(F.col("g").isNull(), F.col("source")).otherwise(F.lit(REST)).alias("queue"), (F.col("base") + F.col("before")).alias("a"), "ids", "g", "below", "count"
     )
-    pieces = placed.mapInArrow(cut, f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string" + ", ids array<int>" * with_ids)
+    pieces = placed.mapInArrow(tidy(cut), f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string" + ", ids array<int>" * with_ids)
     return pieces.withColumnRenamed("k", key)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townledger.llm.common import crc_of_id, small_batches, text_chunks
+from townledger.llm.common import crc_of_id, small_batches, text_chunks, tidy
 
 U32 = np.uint32
 #: Bytes of text scored at once.
@@ -130,7 +130,7 @@ def _bags(rows: DataFrame, s: Settings, text: str, label: str) -> DataFrame:
                 docs = [names[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
                 yield pa.RecordBatch.from_pydict({"label": pa.array(labels[lo:hi], pa.int32()), "words": pa.array(docs, pa.list_(pa.string()))})
 
-    return rows.select(F.col(label).cast("int").alias(label), text).mapInArrow(per_task, "label int, words array<string>")
+    return rows.select(F.col(label).cast("int").alias(label), text).mapInArrow(tidy(per_task), "label int, words array<string>")
 
 
 def train(labels: np.ndarray, docs: pa.ListArray, s: Settings) -> np.ndarray:
@@ -248,7 +248,7 @@ def predict(docs: DataFrame, model: np.ndarray, settings: Settings = Settings(),
             score = 1 / (1 + np.exp(-np.clip(best + bias, -40, 40)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in back), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*(batch.schema.names[i] for i in back), "score", "predicted"])
 
-    return docs.select(*keep).mapInArrow(per_batch, ", ".join([*kinds, "score double", "predicted int"]))
+    return docs.select(*keep).mapInArrow(tidy(per_batch), ", ".join([*kinds, "score double", "predicted int"]))
 
 
 def held_out(key: str = "doc_id"):
