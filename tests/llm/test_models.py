@@ -231,7 +231,7 @@ def test_content_of_held_out_layouts():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_every_query_is_named_for_its_operator(name):
-    assert re.match(r"op([1-9]|10)_\w+$", name)
+    assert re.match(r"op([1-9]|1[0-3])_\w+$", name)
 
 
 def test_a_quote_in_a_tag_is_no_string(spark):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from townledger.llm.common import shared_dir, small_batches, stored, tidy
 from townledger.llm.tokenfiles import encoded
-from townledger.llm.tokens import default_path
+from townledger.llm.tokens import default_path, encoder
 
 #: Sources that weights name or with at least one in so many bytes have a queue of their own; the others are dealt into one.
 MAX_QUEUES = 256
@@ -244,6 +244,7 @@ def pack(
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array([part] * (hi - lo), pa.int32()), pa.array(names[lo:hi], pa.string()), pa.array(before), pa.array(n), pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(raw)])], names=["k", "part", "source", "before", "n", "ids"]
                 )
+        encoder(path).forget()
 
     tokens = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), name.alias("q")).mapInArrow(tidy(encode_part), f"k {kind}, part int, source string, before long, n long, ids binary")
     tokens = stored(tokens, f"{folder}/tokens")

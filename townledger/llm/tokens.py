@@ -72,9 +72,10 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         # Texts are cut only where the file is a plain byte-level BPE: no normalizer, no prefix space.
         self._apart = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Give up the kept pieces; a task does so at its end, since what runs next in its worker may not need them."""
         self._known: dict[int, int] = {}
         self._long: dict[bytes, int] = {}
         self._n = 0
@@ -114,7 +115,7 @@ class Encoder:
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
         if self._n > PIECES:
-            self._forget()
+            self.forget()
         start, size, plain = _pieces(data, offs)
         number = self._numbers(data, start, size, plain)
         count = self._at[number + 1] - self._at[number]
