@@ -51,17 +51,22 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system, where it can, if the process holds much."""
+    with contextlib.suppress(OSError, AttributeError, ValueError):  # only where the system tells sizes and its C library can
+        with open("/proc/self/statm") as f:
+            held = int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+        if held > HELD_BYTES:
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task that gives the memory it has freed back to the system when it ends: a worker lives on for tasks of other kinds."""
+    """A task that gives freed memory back when it ends: a worker lives on for tasks of other kinds."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from task(batches)
-        with contextlib.suppress(OSError, AttributeError, ValueError):  # only where the system tells sizes and its C library can
-            with open("/proc/self/statm") as f:
-                held = int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
-            if held > HELD_BYTES:
-                pa.default_memory_pool().release_unused()
-                ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return whole
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townledger.llm.common import crc_of_id, small_batches, text_chunks, tidy
+from townledger.llm.common import crc_of_id, give_back, small_batches, text_chunks, tidy
 
 U32 = np.uint32
 #: Bytes of text scored at once.
@@ -267,7 +267,9 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, settings: Set
     twice = 2 * settings.max_rows  # some may be too long, or have no text
     ids = own.filter("toxic = 1").orderBy("_h").limit(twice).union(own.filter("toxic = 0").orderBy("_h").limit(twice)).select("doc_id", "toxic")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    return fit(rows, settings)
+    model = fit(rows, settings)
+    give_back()
+    return model
 
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), without: tuple[str, ...] = ()) -> DataFrame:
