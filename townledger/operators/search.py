@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from townledger.functions import text as T
 from townledger.functions.stems import IRREGULAR, SUFFIXES, stems
 from townledger.operators.ordered import running_sums
-from townledger.operators.vectors import exact_search
+from townledger.operators.vectors import MAX_QUERIES, exact_search
 
 def where_all(df: DataFrame, *conditions: Column | None) -> DataFrame:
     """The rows that meet every condition given; None sets no condition, so the filter below a scan holds only what applies."""
@@ -23,11 +23,6 @@ def where_all(df: DataFrame, *conditions: Column | None) -> DataFrame:
     return df
 
 
-def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf): one row for each distinct search term of a passage."""
-    return df.select(key, F.explode(T.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def keyword_search(df: DataFrame, query: str, key: str = "doc_id", text: str = "text", k: int = 50) -> DataFrame:
     """(key, score): passages with any term of the query by 0.1 * hits / (1 + 0.1 * hits), best first, least key on ties.
 
@@ -42,10 +37,13 @@ def keyword_search(df: DataFrame, query: str, key: str = "doc_id", text: str = "
 
 
 def keyword_search_many(df: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query: str = "query", k: int = 10) -> DataFrame:
-    """(query_key, key, hits, rank) of the k best passages for each query, by an equi-join of terms."""
+    """(query_key, key, hits, rank) of the k best passages for each query, by an equi-join of terms. Only asked terms are counted and shuffled."""
     asked = queries.select(query_key, F.explode(F.array_distinct(T.tokens(F.col(query)))).alias("term"))
     small = queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES
-    found = postings(df, key, text).join(F.broadcast(asked) if small else asked, "term").groupBy(query_key, key).agg(F.sum("tf").alias("hits"))
+    sent = F.broadcast if small else lambda x: x
+    terms = df.select(key, F.explode(T.tokens(F.col(text))).alias("term")).join(sent(asked.select("term").distinct()), "term", "left_semi")
+    counted = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = counted.join(sent(asked), "term").groupBy(query_key, key).agg(F.sum("tf").alias("hits"))
     best = Window.partitionBy(query_key).orderBy(F.desc("hits"), key)
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
