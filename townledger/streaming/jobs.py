@@ -117,7 +117,7 @@ def after(job: Job, event: str, ms: int, most: int = MOST_ATTEMPTS, stale_ms: in
     return status, attempts, since
 
 
-def job_states(events: DataFrame, stale: int = STALE_MS, most: int = MOST_ATTEMPTS, late: str = "10 minutes") -> DataFrame:
+def job_states(events: DataFrame, stale: int = STALE_MS, most: int = MOST_ATTEMPTS, late: str = "600 seconds") -> DataFrame:
     """A stream of (job_id, status, attempts) from one of (job_id, event, at): the state of each job after a batch with events of it, or after its timer.
 
     Events may come late by the time given; what a job's own events say of stale runs does not wait for the timer. State is three
