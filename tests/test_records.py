@@ -29,13 +29,6 @@ def test_places_of_a_literal(spark):
         records.find_all(df, "k", "t", "")
 
 
-def test_documents_are_replaced(spark, tmp_path):
-    path = str(tmp_path / "units")
-    records.replace_documents(spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "document_id string, unit int"), path)
-    records.replace_documents(spark.createDataFrame([("a", 9)], "document_id string, unit int"), path)
-    assert sorted((r["document_id"], r["unit"]) for r in spark.read.parquet(path).collect()) == [("a", 9), ("b", 1)]
-
-
 def test_labels_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(2, "b", None), (1, "a", 5)], "id int, kind string, n int")
     for compression in ("none", "gzip"):

@@ -17,6 +17,8 @@ STOPWORDS = (
 )
 # What is stripped from both ends of a token before it is judged.
 TOKEN_EDGES = ".,;:!?()[]\"'$%-–/|*"
+#: One character of white space, in a pattern with (?U): all of Unicode and the four separators of ASCII.
+SPACE = r"[\s\x1c-\x1f]"
 # A number as answers and sources are compared by; an amount of dollars with its scale.
 NUMBER = r"\$?\d[\d,]*(?:\.\d+)?%?"
 AMOUNT = r"\$\s?(\d[\d,]*(?:\.\d+)?)\s*(million|billion|thousand|bn|[kKmMbB])?\b"
@@ -26,7 +28,7 @@ MULTI_STEP = r"(?i)\b(compare|comparison|since|between|trend|over time|how many
 
 def squeeze(c: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(c, rf"(?U){SPACE}+", " "))
 
 
 def nfc(c: Column) -> Column:

@@ -90,11 +90,6 @@ def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
 
 
-def replace_documents(df: DataFrame, path: str, key: str = "document_id") -> None:
-    """Write df into the Parquet folder path, a partition for each document, in place of what it held of these documents."""
-    df.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
-
-
 def below_minimum(df: DataFrame, by: str, **least: int) -> DataFrame:
     """(by, measure, n, least) of groups whose sums (or, for "rows", counts) are under what is asked for."""
     sums = [(F.count(F.lit(1)) if c == "rows" else F.sum(c)).alias(c) for c in least]
