@@ -9,6 +9,7 @@ from townledger.operators import facts, matching, rules
 from townledger.operators import structure as X
 from townledger.plans.structural import ORACLES as STRUCTURE
 from townledger.plans.tables import sql, table
+from townledger.sources import feed
 
 # Order lines as gold cases of three kinds in two units of an order.
 _CASES = """
@@ -77,12 +78,37 @@ def linked_spans(spark, d):
     return out.select("query_id", "hit", "position", "chunk_id", F.col("size").cast("long").alias("size"))
 
 
-QUERIES = {f.__name__: f for f in (extraction_accuracy, reject_rate, rule_facts, linked_spans)}
+# Orders as events of a feed, some seen again on a later page, and customers as pages of recordings.
+_EVENTS = """
+SELECT o_orderkey AS id, 'Board ' || o_custkey % 7 AS body, CASE WHEN o_custkey % 4 IN (1, 3) THEN 'http://v/' || o_custkey WHEN o_custkey % 4 = 2 THEN 'rtsp://v' END AS media,
+  CASE WHEN o_orderkey % 3 > 0 THEN 'a' || o_orderkey || '-' || again || '.pdf' END AS agenda, CASE WHEN o_orderkey % 5 > 2 THEN 'm' || o_orderkey || '.pdf' END AS minutes, again, o_orderdate AS day
+FROM {orders} CROSS JOIN (SELECT 0 AS again UNION ALL SELECT 1 AS again) WHERE again = 0 OR o_orderkey % 10 = 0"""
+_TRACKS = """
+SELECT 'http://v/' || c_custkey AS url, '<script>tracks: [{{ file: "documents/seattlechannel/closedcaption/' || CASE WHEN c_custkey % 5 = 0 THEN 'old' ELSE '2024' END || '/c' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN '.SRT' ELSE '.vtt' END || '"}}]' AS html
+FROM {customer} WHERE c_custkey % 11 > 0"""
+
+
+def _feed(spark, d):
+    e = sql(spark, d, _EVENTS, "orders")
+    event = F.to_json(F.struct(F.col("id").alias("EventId"), F.col("body").alias("EventBodyName"), F.date_format("day", "yyyy-MM-dd'T'HH:mm:ss").alias("EventDate"), F.col("media").alias("EventMedia"), F.col("agenda").alias("EventAgendaFile"), F.col("minutes").alias("EventMinutesFile")))
+    return feed.meetings(e.select(F.concat(F.lit("p"), F.col("again").cast("string")).alias("page"), F.lit(0).alias("position"), event.alias("event")), "c1")
+
+
+def feed_meetings(spark, d):
+    return _feed(spark, d).select("id", "title", "recording_url", F.col("meeting_date").cast("string").alias("meeting_date"))
+
+
+def feed_documents(spark, d):
+    return feed.documents(_feed(spark, d), sql(spark, d, _TRACKS, "customer"))
+
+
+QUERIES = {f.__name__: f for f in (extraction_accuracy, reject_rate, rule_facts, linked_spans, feed_meetings, feed_documents)}
 
 _C = _CASES.format(lineitem="lineitem")
 _F = f"""SELECT s, document_id, kind, unit, city, "start" + (l_partkey * 7 + s * 11) % 40 - 20 AS a, 'A. S' || l_suppkey || CASE WHEN (l_partkey + s) % 6 = 0 THEN 'x' ELSE '' END AS mover,
   l_quantity::INT + ((l_partkey + s) % 5 = 0)::INT AS ayes, l_extendedprice + CASE WHEN (l_partkey + s) % 4 = 0 THEN 0.01::DOUBLE ELSE 0.004::DOUBLE END AS amount, (l_suppkey + s) % 9 = 0 AS bad FROM ({_C}), range(5) r(s)"""
 _T = _ITEMS.format(orders="orders", money="format('{:,.2f}', o_totalprice)", rows=f"SELECT l_orderkey, string_agg({_ROW}, chr(10) ORDER BY l_linenumber, {_ROW}) AS v FROM lineitem GROUP BY l_orderkey")
+_M = f"SELECT *, CASE WHEN media LIKE 'http%' THEN media END AS url FROM ({_EVENTS.format(orders='orders')}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY again DESC) = 1"
 _NONE = "NULL::VARCHAR"
 ORACLES = {
     "extraction_accuracy": f"""
@@ -112,4 +138,9 @@ WITH w AS (SELECT doc_id, doc_id * 1000000 + "window" AS chunk_id, "window" AS o
 b AS (SELECT coalesce(source, '') AS query_id, w.*, CASE WHEN doc_id % 2 = 0 THEN doc_id + 1 WHEN doc_id % 3 = 0 THEN doc_id - 1 END AS linked FROM w JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY (ordinal * 7 + doc_id) % 5, chunk_id) = 1),
 s AS (SELECT query_id, b.chunk_id AS hit, CASE WHEN w.chunk_id = b.chunk_id THEN 0 WHEN w.doc_id = b.doc_id THEN 1 ELSE 2 END AS place, w.ordinal, w.chunk_id, w.size FROM b JOIN w ON w.doc_id = b.doc_id OR w.doc_id = b.linked)
 SELECT query_id, hit, row_number() OVER o AS position, chunk_id, size FROM s WINDOW o AS (PARTITION BY query_id, hit ORDER BY place, ordinal, chunk_id) QUALIFY place = 0 OR sum(size) OVER o <= 9000""",
+    "feed_meetings": f"SELECT 'c1-' || id AS id, body || ' ' || strftime(day, '%Y-%m-%d') AS title, url AS recording_url, strftime(day, '%Y-%m-%d') AS meeting_date FROM ({_M})",
+    "feed_documents": rf"""
+WITH m AS ({_M}), t AS (SELECT url, regexp_extract(html, 'file: "(documents/seattlechannel/closedcaption/\d{{4}}/\w+\.(srt|vtt))"', 1, 'i') AS track FROM ({_TRACKS.format(customer='customer')})),
+x AS (SELECT id, 'agenda' AS kind, agenda AS source_url FROM m UNION ALL SELECT id, 'minutes', minutes FROM m UNION ALL SELECT id, 'transcript', 'https://www.seattlechannel.org/' || track FROM m JOIN t USING (url) WHERE track != '')
+SELECT 'c1-' || kind || '-' || id AS id, 'c1-' || id AS meeting_id, 'c1' AS city_id, kind, source_url, CASE WHEN kind != 'transcript' THEN 'application/pdf' WHEN lower(source_url) LIKE '%.srt' THEN 'application/x-subrip' ELSE 'text/vtt' END AS media_type FROM x WHERE source_url IS NOT NULL""",
 }
