@@ -39,8 +39,9 @@ def numeric_tokens(spark, d):
 
 def numeric_subset(spark, d):
     docs = _docs(spark, d)
-    claim = F.concat(F.lit("There were 7 of $12,"), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"), F.lit(" and 30.0% with "), F.col("doc_id").cast("string"))
-    source = F.concat(F.lit("12,"), F.lpad((F.col("doc_id") % 500).cast("string"), 3, "0"), F.lit(" 30 "), F.col("doc_id").cast("string"))
+    own = F.concat(F.col("doc_id").cast("string"), F.lit(".5"))  # with a fraction no id, as 12600, bears out the amount 12,600
+    claim = F.concat(F.lit("There were 7 of $12,"), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"), F.lit(" and 30.0% with "), own)
+    source = F.concat(F.lit("12,"), F.lpad((F.col("doc_id") % 500).cast("string"), 3, "0"), F.lit(" 30 "), own)
     return docs.select("doc_id", T.numbers_supported(claim, source).alias("supported"))
 
 
