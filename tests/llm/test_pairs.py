@@ -203,3 +203,16 @@ def test_crops_turns_and_sizes_of_images(spark):
     for j, kind in enumerate(kinds, 1):
         assert np.mean([got[100 * i + j] == 100 * i for i in range(6)]) >= 0.9, kind
     assert all(c in (i, of[i]) for i, c in got.items())  # no link to another picture
+
+
+def test_media_link_under_keys_of_two_and_of_many(spark, monkeypatch):
+    """Two images with three corners of their own and two that many images have: no one sort of key holds the five that a link needs."""
+    r = np.random.default_rng(3)
+    code = lambda: tuple(int(v) for v in r.integers(-(2**62), 2**62, 2))
+    corner = lambda c, i: (*c, 40.0 * i, 40.0, 1.0, 0.0)
+    many, own = [code() for _ in range(2)], [code() for _ in range(3)]
+    rows = [(i, 1000 + i, [corner(c, j) for j, c in enumerate(many + (own if i in (7, 23) else [code() for _ in range(3)]))]) for i in range(60)]
+    described = spark.createDataFrame(rows, "image_id long, cls long, corners array<struct<c0:long,c1:long,x:float,y:float,s:float,a:float>>")
+    monkeypatch.setattr(media, "_described", lambda images, s: described)
+    got = {x["image_id"]: (x["class_id"], x["n_links"]) for x in media.find_copies(spark, spark.createDataFrame([], "image_id long, image binary")).collect()}
+    assert got == {i: (7, 1) if i in (7, 23) else (i, 0) for i in range(60)}
