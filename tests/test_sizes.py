@@ -19,3 +19,13 @@ def check(spark, folder, name, **tables):
 def test_numbers_of_ids_that_look_like_the_amount(spark, tmp_path):
     ids = [0, 7, 20, 30, 500, 999, 12499, 12500, 12600, 12999, 112600, 1012600]
     check(spark, tmp_path, "numeric_subset", documents=([(i,) for i in ids], "doc_id long"))
+
+
+def test_page_layout_sorts_no_words_by_shuffle(spark):
+    plan = registry.QUERIES["page_layout"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning(page" not in plan
+
+
+def test_documents_of_no_and_many_words(spark, tmp_path):
+    texts = [None, "", "--", "a", " ".join(f"w{i}" for i in range(240)), " ".join(f"w{i}" for i in range(2000)), "Ünï café x" * 50]
+    check(spark, tmp_path, "page_layout", documents=([(i, texts[i % 7]) for i in range(42)], "doc_id long, text string"))
