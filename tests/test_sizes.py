@@ -2,6 +2,7 @@
 
 import duckdb
 
+from townledger.operators import rules
 from townledger.plans import registry
 
 from test_queries import rows
@@ -29,3 +30,10 @@ def test_page_layout_sorts_no_words_by_shuffle(spark):
 def test_documents_of_no_and_many_words(spark, tmp_path):
     texts = [None, "", "--", "a", " ".join(f"w{i}" for i in range(240)), " ".join(f"w{i}" for i in range(2000)), "Ünï café x" * 50]
     check(spark, tmp_path, "page_layout", documents=([(i, texts[i % 7]) for i in range(42)], "doc_id long, text string"))
+
+
+def test_a_text_is_split_and_squeezed_once(spark):
+    """What the rules use several times is worked out once for an item, not once for each use."""
+    df = spark.createDataFrame([(1, "i", "t", "In Favor: A\nB | Aye")], "id int, identifier string, title string, text string")
+    plan = rules.rule_facts(df, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(coalesce(text") <= 1

@@ -36,10 +36,7 @@ def _strip(c: Column) -> Column:
 
 def _row_vote(line: Column) -> Column:
     """The value of a member's vote in a table row, null on other lines."""
-    out = F.lit(None).cast("string")
-    for vote, words in facts.SPOKEN.items():
-        out = F.when(line.rlike(rf"(?i)\|\s*(?:{words})\s*$"), facts.MEMBER[vote]).otherwise(out)
-    return out
+    return F.element_at(F.create_map(*(F.lit(x) for p in facts.MEMBER.items() for x in p)), facts.spoken(line))
 
 
 def members(lines: Column) -> Column:
@@ -49,13 +46,13 @@ def members(lines: Column) -> Column:
     value = lambda part: F.coalesce(*(F.when(part.rlike(rf"(?i)^(?:{words}):"), facts.MEMBER[vote]) for vote, words in facts.LABELS.items()))
 
     def of_lists(line: Column) -> Column:
-        parts = F.regexp_extract_all(line, F.lit(rf"(?is)\b((?:{label}):.*?)(?=\b(?:{label}):|$)"), F.lit(1))
+        parts = F.when(F.contains(line, F.lit(":")), F.regexp_extract_all(line, F.lit(rf"(?is)\b((?:{label}):.*?)(?=\b(?:{label}):|$)"), F.lit(1))).otherwise(F.array().cast("array<string>"))
         named = lambda p: F.transform(listed(F.regexp_replace(F.regexp_replace(p, r"^[^:]*:", ""), r"^\s*\d{1,2}\s*[-–]", "")), lambda n: F.struct(n.alias("name"), value(p).alias("value")))
         return F.flatten(F.transform(parts, named))
 
     def of_row(line: Column) -> Column:
         row = F.struct(_strip(F.regexp_extract(line, r"(?s)^(.*)\|", 1)).alias("name"), _row_vote(line).alias("value"))
-        return F.filter(F.array(row), lambda m: m["value"].isNotNull())
+        return F.when(F.contains(line, F.lit("|")), F.filter(F.array(row), lambda m: m["value"].isNotNull())).otherwise(F.array().cast("array<struct<name:string,value:string>>"))
 
     return F.flatten(F.transform(lines, lambda x: F.concat(of_lists(x), of_row(x))))
 
@@ -63,8 +60,12 @@ def members(lines: Column) -> Column:
 def extracted(identifier: Column, title: Column, text: Column) -> Column:
     """The facts of an item: its vote (the lines from the first to the last one with a mark or a table row's vote), an
     amount for each place of one, motions, and each piece of legislation once, where it is first named."""
-    lines = F.split(text, "\n")
-    marked = lambda x: F.exists(F.array(*map(F.lit, MARKS)), lambda m: F.contains(x, m)) | _row_vote(x).isNotNull()
+    return facts.held(F.split(text, "\n"), lambda lines: _extracted(identifier, title, text, lines))
+
+
+def _extracted(identifier: Column, title: Column, text: Column, lines: Column) -> Column:
+    """What each pattern must hold is looked for first, so that most lines meet no pattern."""
+    marked = lambda x: (F.contains(x, F.lit(":")) & F.exists(F.array(*map(F.lit, MARKS)), lambda m: F.contains(x, m))) | (F.contains(x, F.lit("|")) & _row_vote(x).isNotNull())
     numbers = F.filter(F.transform(lines, lambda x, i: F.when(marked(x), i)), lambda i: i.isNotNull())
     # Each array of one holds what is used several times, so that it is worked out once.
     spans = F.filter(F.transform(F.array(numbers), lambda n: F.when(F.size(n) > 0, F.slice(lines, F.element_at(n, 1) + 1, F.element_at(n, -1) - F.element_at(n, 1) + 1))), lambda x: x.isNotNull())
@@ -72,9 +73,10 @@ def extracted(identifier: Column, title: Column, text: Column) -> Column:
     subject = F.regexp_extract(text, SUBJECT, 0)
     vote = lambda v: _fact("vote", quote=v["quote"], identifier=F.when(subject != "", subject).otherwise(identifier), outcome=F.when(v["n"]["ayes"] > v["n"]["noes"], "passed").otherwise("failed"), **{k: v["n"][k] for k in facts.VOTES}, members=members(v["own"]))
     value = lambda a: F.regexp_replace(a, r"[$,]", "").try_cast("double")
-    amounts = F.flatten(F.transform(lines, lambda x: F.transform(F.regexp_extract_all(x, F.lit(AMOUNT), F.lit(0)), lambda a: _fact("amount", quote=x, title=title, amount_usd=value(a)))))
+    amounts = F.flatten(F.transform(F.filter(lines, lambda x: F.contains(x, F.lit("$"))), lambda x: F.transform(F.regexp_extract_all(x, F.lit(AMOUNT), F.lit(0)), lambda a: _fact("amount", quote=x, title=title, amount_usd=value(a)))))
     who = lambda q, i: F.regexp_extract(q, MOTION, i)
-    motions = F.transform(F.regexp_extract_all(text, F.lit(MOTION), F.lit(0)), lambda q: _fact("motion", quote=q, mover=who(q, 1), seconder=who(q, 3), outcome=F.when(F.contains(text, F.lit(PASSED)), "passed").otherwise("unknown")))
+    moved = F.when(F.contains(text, F.lit(" motioned to ")), F.regexp_extract_all(text, F.lit(MOTION), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    motions = F.transform(moved, lambda q: _fact("motion", quote=q, mover=who(q, 1), seconder=who(q, 3), outcome=F.when(F.contains(text, F.lit(PASSED)), "passed").otherwise("unknown")))
     kind = lambda n: F.element_at(F.create_map(*(F.lit(x) for p in TYPES.items() for x in p)), F.substring_index(n, " ", 1))
     first = lambda n: F.element_at(F.filter(lines, lambda x: F.contains(x, n)), 1)
     laws = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(LEGISLATION), F.lit(0))), lambda n: _fact("ordinance", quote=first(n), identifier=n, legislation_type=kind(n), title=title, outcome=F.lit("unknown")))
