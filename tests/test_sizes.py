@@ -37,3 +37,10 @@ def test_a_text_is_split_and_squeezed_once(spark):
     df = spark.createDataFrame([(1, "i", "t", "In Favor: A\nB | Aye")], "id int, identifier string, title string, text string")
     plan = rules.rule_facts(df, "id")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(coalesce(text") <= 1
+
+
+def test_lines_come_from_arrow_columns(spark, tmp_path):
+    texts = [None, "", "\n", "a\n\nbé\n", "\r\nx", "no end"]
+    check(spark, tmp_path, "line_offsets", documents=([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    plan = registry.QUERIES["line_offsets"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan

@@ -7,7 +7,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Words that search tokens leave out.
@@ -26,6 +26,11 @@ AMOUNT = r"\$\s?(\d[\d,]*(?:\.\d+)?)\s*(million|billion|thousand|bn|[kKmMbB])?\b
 MULTI_STEP = r"(?i)\b(compare|comparison|since|between|trend|over time|how many times|how often|each|every|all|total|list)\b"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on in this session, an Arrow batch for Python ends at 4 MB, so that long texts do not add up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(c, rf"(?U){SPACE}+", " "))

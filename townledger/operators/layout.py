@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from townledger.functions.text import small_batches
+
 # Words whose tops are this near share a line; a page has so many bins across; what a gutter needs.
 LINE, BINS = 3, 200
 BODY = (0.08, 0.92)
@@ -212,7 +214,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
 
 
 def _sent(pages: DataFrame) -> DataFrame:
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    small_batches(pages.sparkSession)
     arrays = (F.coalesce(n, F.array()).cast(kind).alias(n) for n, kind in zip(("words", "cells"), _ARRAYS))
     return pages.select("page", *arrays, *(F.col(n).cast("double").alias(n) for n in ("width", "height")))
 

@@ -10,9 +10,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from townledger.functions.text import small_batches
 from townledger.operators import ordered
 
 WINDOW, STEP, BATCH_CHARS, TITLE_CHARS = 1200, 1000, 24_000, 300
@@ -21,17 +24,21 @@ WINDOW, STEP, BATCH_CHARS, TITLE_CHARS = 1200, 1000, 24_000, 300
 def line_offsets(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line, start, end, line_text): lines from 0, with their places in the text."""
     kind = df.schema[key].dataType.simpleString()
-
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k, t in zip(pdf[key], pdf[text]):
-                if t is not None:
-                    lines = t.split("\n")
-                    size = np.array([len(x) for x in lines])
-                    end = np.cumsum(size + 1) - 1
-                    yield pd.DataFrame({key: [k] * len(lines), "line": np.arange(len(lines), dtype=np.int32), "start": (end - size).astype(np.int32), "end": end.astype(np.int32), "line_text": lines})
-
-    return df.select(key, text).mapInPandas(per_batch, f"{key} {kind}, line int, start int, end int, line_text string")
+    small_batches(df.sparkSession)
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = pc.split_pattern(batch.column(1), "\n")
+            n = pc.fill_null(pc.list_value_length(lines), 0).to_numpy(False)
+            texts = lines.flatten()
+            size = pc.utf8_length(texts).to_numpy(False).astype(np.int64)
+            row, first = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n) - n, n)
+            ends = np.cumsum(size + 1)
+            end = ends - np.append(0, ends)[first] - 1
+            columns = [batch.column(0).take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (np.arange(len(row)) - first, end - size, end)), texts]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "line", "start", "end", "line_text"])
+
+    return df.select(key, text).mapInArrow(per_task, f"{key} {kind}, line int, start int, end int, line_text string")
 
 
 def fixed_windows(df: DataFrame, key: str, text: str, size: int = WINDOW, step: int = STEP, keep: Sequence[str] = ()) -> DataFrame:
