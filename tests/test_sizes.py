@@ -1,6 +1,7 @@
 """Queries on rows that the small test tables do not have."""
 
 import duckdb
+import pytest
 
 from townledger.operators import rules
 from townledger.plans import registry
@@ -44,3 +45,10 @@ def test_lines_come_from_arrow_columns(spark, tmp_path):
     check(spark, tmp_path, "line_offsets", documents=([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
     plan = registry.QUERIES["line_offsets"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
+@pytest.mark.parametrize("name", ["line_packing", "normalize_text"])
+def test_batches_for_python_end_by_bytes(spark, name):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20

@@ -74,11 +74,13 @@ def pack_lines(text: str, size: int = WINDOW) -> list[tuple[int, int]]:
 def line_chunks(df: DataFrame, key: str, text: str, size: int = WINDOW) -> DataFrame:
     """(key, ordinal, start, end): the packed lines of each text."""
     kind = df.schema[key].dataType.simpleString()
+    small_batches(df.sparkSession)
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(k, i, a, b) for k, t in zip(pdf[key], pdf[text]) for i, (a, b) in enumerate(pack_lines(t or "", size), 1)]
             yield pd.DataFrame(rows, columns=[key, "ordinal", "start", "end"])
+            del pdf, rows  # before the next batch is read
 
     return df.select(key, text).mapInPandas(per_batch, f"{key} {kind}, ordinal int, start int, end int")
 
