@@ -37,13 +37,15 @@ def squeeze(c: Column) -> Column:
 
 
 def nfc(c: Column) -> Column:
-    """Composed characters (NFC), which Spark has no function for."""
+    """Composed characters (NFC), which Spark has no function for. Texts of characters below U+0300 are composed, so Python is sent the others only."""
+    if session := SparkSession.getActiveSession():
+        small_batches(session)
 
     @F.pandas_udf("string")
     def composed(v: pd.Series) -> pd.Series:
         return v.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
-    return composed(c)
+    return F.coalesce(composed(F.when(c.rlike(r"[^\x00-\x{2FF}]"), c)), c)
 
 
 def unescape(c: Column) -> Column:
