@@ -52,3 +52,11 @@ def test_batches_for_python_end_by_bytes(spark, name):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     registry.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+def test_tokens_of_ids_that_stand_twice_or_nowhere(spark, tmp_path):
+    texts = ["aa bb aa", "bb the cc bb", None, "", "aa"]
+    check(spark, tmp_path, "tokenize", documents=([(i, t) for i, t in zip([1, 1, 2, 3, None], texts)], "doc_id long, text string"))
+    check(spark, tmp_path / "own", "tokenize", documents=([(i, t) for i, t in zip([1, 4, 2, 3, None], texts)], "doc_id long, text string"))
+    plan = registry.QUERIES["tokenize"](spark, str(tmp_path / "own"))._jdf.queryExecution().executedPlan().toString()
+    assert "distinct" not in plan and plan.count("HashAggregate") == 2

@@ -22,7 +22,13 @@ _Q = f"(SELECT {_TERMS} AS terms)"
 
 
 def tokenize(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    """Sorted tokens show which one is the first of its kind in a row, so one aggregate by term counts both, where no id stands twice."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        return docs.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    first = lambda w: F.transform(w, lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get(w, i - 1) != t)).alias("first")))
+    terms = docs.select("doc_id", F.inline(F.flatten(F.transform(F.array(F.sort_array(T.tokens(F.col("text")))), first))))
+    return terms.groupBy("term").agg(F.count("*").alias("n"), F.count_if(F.col("first") & F.col("doc_id").isNotNull()).alias("docs"))
 
 
 def keyword_search(spark, d):
