@@ -60,3 +60,9 @@ def test_tokens_of_ids_that_stand_twice_or_nowhere(spark, tmp_path):
     check(spark, tmp_path / "own", "tokenize", documents=([(i, t) for i, t in zip([1, 4, 2, 3, None], texts)], "doc_id long, text string"))
     plan = registry.QUERIES["tokenize"](spark, str(tmp_path / "own"))._jdf.queryExecution().executedPlan().toString()
     assert "distinct" not in plan and plan.count("HashAggregate") == 2
+
+
+def test_cases_move_before_they_are_repeated_for_samples(spark):
+    plan = registry.QUERIES["extraction_accuracy"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joined = [x for x in plan.split("\n") if "hashpartitioning(document_id" in x]
+    assert joined and not any("sample" in x for x in joined)

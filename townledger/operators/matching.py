@@ -11,6 +11,8 @@ from townledger.operators.metrics import run_summary
 from townledger.operators.records import same_record
 
 SAMPLES = 5
+#: What a case and a prediction have in common.
+KEYS = ("document_id", "kind", "unit")
 
 
 def right_cases(cases: DataFrame, found: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -21,10 +23,12 @@ def right_cases(cases: DataFrame, found: DataFrame, samples: int = SAMPLES) -> D
     unit, overlaps its passage, and its record is the gold one (see same_record). A semi-join ends at the first such
     prediction, so a unit with many of them makes no pairs. Null keys or places match nothing; equal cases each count.
     """
-    asked = cases.withColumn("sample", F.explode(F.array(*map(F.lit, range(samples))))).alias("c")
+    # Both sides move by these keys, cases before they are repeated for each sample; a join may use such partitions for more keys.
+    cases.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    asked = cases.repartition(*KEYS).withColumn("sample", F.explode(F.array(*map(F.lit, range(samples))))).alias("c")
     given = found.filter(F.col("error").isNull()).alias("f")
     on = F.lit(True)
-    for key in ("document_id", "kind", "unit", "sample"):
+    for key in (*KEYS, "sample"):
         on = on & (F.col(f"c.{key}") == F.col(f"f.{key}"))
     overlap = (F.col("f.start") < F.col("c.end")) & (F.col("f.end") > F.col("c.start"))
     return asked.join(given, on & overlap & same_record(F.col("c.kind"), F.col("c.gold"), F.col("f.record")), "left_semi")

@@ -18,9 +18,10 @@ SELECT l_orderkey AS document_id, l_linenumber % 2 AS unit, l_suppkey % 60 + 20
 FROM {lineitem}"""
 
 
-def _found(spark, d):
-    """What five samples predict of each order line: moved, changed and partly rejected."""
-    c = sql(spark, d, _CASES.replace('"', "`"), "lineitem").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(4))))
+def _found(spark, d, *keys):
+    """What five samples predict of each order line: moved, changed and partly rejected. Lines move by keys, if any, before the samples are made."""
+    lines = sql(spark, d, _CASES.replace('"', "`"), "lineitem")
+    c = (lines.repartition(*keys) if keys else lines).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(4))))
     n, start = F.col("l_partkey") + F.col("sample"), F.col("start") + (F.col("l_partkey") * 7 + F.col("sample") * 11) % 40 - 20
     name = F.concat(F.lit("A. S"), F.col("l_suppkey").cast("string"), F.when(n % 6 == 0, "x").otherwise(""))
     record = _record(name, F.col("l_quantity").cast("int") + (n % 5 == 0).cast("int"), F.col("l_extendedprice") + F.when(n % 4 == 0, 0.01).otherwise(0.004))
@@ -37,7 +38,7 @@ def _record(mover, ayes, amount):
 def extraction_accuracy(spark, d):
     gold = _record(F.concat(F.lit("Ann  s"), F.col("l_suppkey").cast("string")), F.col("l_quantity").cast("int"), F.col("l_extendedprice"))
     cases = sql(spark, d, _CASES.replace('"', "`"), "lineitem").withColumn("gold", gold)
-    out = matching.extraction_accuracy(cases, _found(spark, d))
+    out = matching.extraction_accuracy(cases, _found(spark, d, *matching.KEYS))
     return out.select("level", "name", "cases", "runs", *(F.round(c, 6).alias(c) for c in ("least", "median", "most")))
 
 
