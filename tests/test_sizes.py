@@ -1,9 +1,12 @@
 """Queries on rows that the small test tables do not have."""
 
+import re
+
 import duckdb
 import pytest
 
-from townledger.operators import rules
+from townledger.functions import text as T
+from townledger.operators import rules, search
 from townledger.plans import registry
 
 from test_queries import rows
@@ -66,3 +69,25 @@ def test_cases_move_before_they_are_repeated_for_samples(spark):
     plan = registry.QUERIES["extraction_accuracy"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     joined = [x for x in plan.split("\n") if "hashpartitioning(document_id" in x]
     assert joined and not any("sample" in x for x in joined)
+
+
+@pytest.mark.parametrize("ids", [[1, 2, 3, 4, 5, 6, 7, 8], [1, 1, 2, 3, 3, 3, 4, None], ["b", "a", None, "d", "c", "f", "e", "g"]])
+def test_best_passages_of_many_queries_are_kept_inside_tasks(spark, ids):
+    texts = ["aa bb aa", "bb cc, the AA", None, "", "aa aa\ncc cc", "dd", "bb-aa", "cc aa"]
+    df = spark.createDataFrame(list(zip(ids, texts)), f"doc_id {'string' if isinstance(ids[1], str) else 'long'}, text string").repartition(3)
+    asked = spark.createDataFrame([(7, "aa AA bb"), (8, "cc the"), (8, "cc"), (9, "zz"), (None, "dd cc")], "query_id long, query string")
+    found = search.keyword_search_many(df, asked, k=2)
+    want = {}
+    for q, terms in {7: "aa bb", 8: "cc", 9: "zz", None: "dd cc"}.items():
+        hits = {i: sum(w in terms.split() for j, t in zip(ids, texts) if i == j for w in re.findall("[a-z0-9]+", (t or "").lower())) for i in set(ids)}
+        order = sorted((-n, i is not None, i or type(ids[0])(), i) for i, n in hits.items() if n)[:2]
+        want |= {(q, x[3]): (-x[0], rank) for rank, x in enumerate(order, 1)}
+    assert {(r["query_id"], r["doc_id"]): (r["hits"], r["rank"]) for r in found.collect()} == want
+    if len(set(ids)) == len(ids):
+        assert "explode" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_a_text_are_cut_between_words():
+    low = "ab cd, 12ef ggg  h"
+    for size in range(1, 20):
+        assert sum(T.word_runs(low, size), []) == ["ab", "cd", "12ef", "ggg", "h"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -70,6 +71,20 @@ def tokens(c: Column) -> Column:
     return F.filter(found, lambda t: (F.length(t) >= 2) & ~t.isin(*STOPWORDS))
 
 
+_WORD = re.compile("[a-z0-9]+")
+
+
+def word_runs(low: str, size: int = 1 << 20) -> Iterator[list[str]]:
+    """All runs of a-z and digits of a text in lower case, in order, a list for about size characters of it: for use inside tasks."""
+    at = 0
+    while at < len(low):
+        end = min(at + size, len(low))
+        if cut := _WORD.match(low, end):
+            end = cut.end()
+        yield _WORD.findall(low, at, end)
+        at = end
+
+
 def search_terms(query: str) -> list[str]:
     """The search tokens of a query, worked out on the driver."""
     return [t for t in re.findall("[a-z0-9]+", query.lower()) if len(t) >= 2 and t not in STOPWORDS]

@@ -5,8 +5,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,17 +40,72 @@ def keyword_search(df: DataFrame, query: str, key: str = "doc_id", text: str = "
 
 
 def keyword_search_many(df: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query: str = "query", k: int = 10) -> DataFrame:
-    """(query_key, key, hits, rank) of the k best passages for each query, by an equi-join of terms. Only asked terms are counted and shuffled."""
-    asked = queries.select(query_key, F.explode(F.array_distinct(T.tokens(F.col(query)))).alias("term"))
-    small = queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES
-    sent = F.broadcast if small else lambda x: x
-    terms = df.select(key, F.explode(T.tokens(F.col(text))).alias("term")).join(sent(asked.select("term").distinct()), "term", "left_semi")
-    counted = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    found = counted.join(sent(asked), "term").groupBy(query_key, key).agg(F.sum("tf").alias("hits"))
+    """(query_key, key, hits, rank) of the k best passages for each query: how often a passage has the query's distinct terms.
+
+    Up to MAX_QUERIES queries are broadcast as lists of their terms, hits are added up inside each row, and a task keeps the k best of
+    each query only; where an id stands twice, its rows' hits move instead. More queries meet the passages by an equi-join of terms.
+    """
+    asked = queries.select(query_key, F.explode(T.tokens(F.col(query))).alias("term")).distinct()
     best = Window.partitionBy(query_key).orderBy(F.desc("hits"), key)
+    if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES:
+        lists = asked.groupBy(query_key).agg(F.collect_list("term").alias("terms")).toArrow()
+        again = bool(df.groupBy(key).count().filter("count > 1").limit(1).count())
+        numbers = df.sparkSession.createDataFrame(lists.select([query_key]).append_column("_q", pa.array(range(len(lists)), pa.int32())), queries.select(query_key, F.lit(0).alias("_q")).schema)
+        found = _hits_of_queries(df, key, text, lists["terms"].to_pylist(), None if again else k)
+        found = (found.groupBy("_q", key).agg(F.sum("hits").alias("hits")) if again else found).join(F.broadcast(numbers), "_q").select(query_key, key, "hits")
+    else:
+        terms = df.select(key, F.explode(T.tokens(F.col(text))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+        counted = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+        found = counted.join(asked, "term").groupBy(query_key, key).agg(F.sum("tf").alias("hits"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def _hits_of_queries(df: DataFrame, key: str, text: str, queries: list[list[str]], k: int | None) -> DataFrame:
+    """(key, _q, hits) of each row and query number with hits; with k only the rows that are among the k best of their task."""
+    T.small_batches(df.sparkSession)
+    given = df.filter(F.col(text).isNotNull()).select(key, F.lower(text).alias("_low"))
+    sent = df.sparkSession.sparkContext.broadcast(queries)
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, postings = {}, []
+        for q, words in enumerate(sent.value):
+            for w in words:
+                if number.setdefault(w, len(postings)) == len(postings):
+                    postings.append([])
+                postings[number[w]].append(q)
+        postings, n = [np.array(x) for x in postings], len(sent.value)
+        rows, best = max(1, (1 << 20) // max(1, n)), None
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
+                hits = np.zeros((part.num_rows, n), np.int64)
+                for i, low in enumerate(part.column(1)):
+                    for words in T.word_runs(low.as_py()):
+                        terms, counts = np.unique([number[w] for w in words if w in number], return_counts=True)
+                        if len(terms):
+                            of = [postings[t] for t in terms.astype(int)]
+                            hits[i] += np.bincount(np.concatenate(of), np.repeat(counts, [len(x) for x in of]), n).astype(np.int64)
+                i, q = np.nonzero(hits if k is None else hits * (hits >= np.partition(hits, -min(k, len(hits)), 0)[-min(k, len(hits))]))
+                now = pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(q.astype(np.int32)), pa.array(hits[i, q])], names=[key, "_q", "hits"])
+                if k is None:
+                    yield now
+                else:
+                    best = _first(now if best is None else pa.concat_batches([best, now]), key, k)
+        if best is not None:
+            yield best
+
+    kind = given.schema[key].dataType.simpleString()
+    return given.mapInArrow(per_task, f"`{key}` {kind}, _q int, hits long")
+
+
+def _first(found: pa.RecordBatch, key: str, k: int) -> pa.RecordBatch:
+    """The k rows of each query with most hits, least key on ties, a null one first as in Spark."""
+    found = found.take(pc.sort_indices(found, [("_q", "ascending"), ("hits", "descending"), (key, "ascending")], null_placement="at_start"))
+    q = found.column(1).to_numpy()
+    return found.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k))
+
+
 def word_forms(df: DataFrame, query: str, text: str = "text") -> dict[str, list[str]]:
     """stem -> the words of df's texts that share it, for each stem of a query's terms, in order of the terms.
 
