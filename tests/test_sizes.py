@@ -88,6 +88,15 @@ def test_best_passages_of_many_queries_are_kept_inside_tasks(spark, ids):
 
 
 def test_words_of_a_text_are_cut_between_words():
-    low = "ab cd, 12ef ggg  h"
+    low = "ab cd, é12ef\0ggg  h".encode()
     for size in range(1, 20):
-        assert sum(T.word_runs(low, size), []) == ["ab", "cd", "12ef", "ggg", "h"]
+        assert sum(T.word_runs(low, size), []) == [b"ab", b"cd", b"12ef", b"ggg", b"h"]
+
+
+@pytest.mark.parametrize("name", ["bag_search", "hashed_bow", "hybrid_search"])
+def test_words_of_bags_are_hashed_once_in_a_task(spark, tmp_path, name):
+    texts = [None, "", "the of", "Thread THREAD hely é", "reation, ndster" + " x" * 9, "x\0thread a b", "Ünï THE hely ndster thread", "zz yy xx", "thread"]
+    docs = [(i, t, f"s{i % 4}") for i, t in enumerate(texts)]
+    check(spark, tmp_path, name, documents=(docs, "doc_id long, text string, source string"))
+    plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "sha2" not in plan

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,33 @@ def where_all(df: DataFrame, *conditions: Column | None) -> DataFrame:
     return df
 
 
+def _of_texts(df: DataFrame, key: str, text: str, work: Callable[[], Callable[[bytes], list[tuple]]], columns: str) -> DataFrame:
+    """Rows (key, *columns): what the function that work makes in each task finds in each text in lower case, in one pass over its words."""
+    T.small_batches(df.sparkSession)
+    given = df.filter(F.col(text).isNotNull()).select(key, F.lower(text).cast("binary").alias("_low"))
+    names = [c.split()[0] for c in columns.split(", ")]
+    kinds = [pa.float64() if c.endswith(" double") else pa.string() if c.endswith(" string") else pa.int64() for c in columns.split(", ")]
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = work()
+        for batch in batches:
+            rows, found = [], []
+            for i, low in enumerate(batch.column(1)):
+                now = of(low.as_py())
+                found += now
+                rows += [i] * len(now)
+                if len(found) > 20_000:
+                    yield _batch(batch, rows, found)
+                    rows, found = [], []
+            if found:
+                yield _batch(batch, rows, found)
+
+    def _batch(batch: pa.RecordBatch, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, k) for x, k in zip(zip(*found), kinds))], names=[key, *names])
+
+    return given.mapInArrow(per_task, f"`{key}` {given.schema[key].dataType.simpleString()}, {columns}")
+
+
 def keyword_search(df: DataFrame, query: str, key: str = "doc_id", text: str = "text", k: int = 50) -> DataFrame:
     """(key, score): passages with any term of the query by 0.1 * hits / (1 + 0.1 * hits), best first, least key on ties.
 
@@ -63,16 +89,16 @@ def keyword_search_many(df: DataFrame, queries: DataFrame, key: str = "doc_id",
 def _hits_of_queries(df: DataFrame, key: str, text: str, queries: list[list[str]], k: int | None) -> DataFrame:
     """(key, _q, hits) of each row and query number with hits; with k only the rows that are among the k best of their task."""
     T.small_batches(df.sparkSession)
-    given = df.filter(F.col(text).isNotNull()).select(key, F.lower(text).alias("_low"))
+    given = df.filter(F.col(text).isNotNull()).select(key, F.lower(text).cast("binary").alias("_low"))
     sent = df.sparkSession.sparkContext.broadcast(queries)
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, postings = {}, []
         for q, words in enumerate(sent.value):
             for w in words:
-                if number.setdefault(w, len(postings)) == len(postings):
+                if number.setdefault(w.encode(), len(postings)) == len(postings):
                     postings.append([])
-                postings[number[w]].append(q)
+                postings[number[w.encode()]].append(q)
         postings, n = [np.array(x) for x in postings], len(sent.value)
         rows, best = max(1, (1 << 20) // max(1, n)), None
 
@@ -214,34 +240,50 @@ def within_budget(spans: DataFrame, group: str, size: Column, budget: int, *orde
     return running_sums(spans, [group], order, {"used": size}).filter(F.col("used") <= budget)
 
 
-def bag_buckets(text: Column, dim: int) -> Column:
-    """The bucket of each term of a text: the first 32 bits of its SHA-256, modulo dim."""
-    return F.transform(T.tokens(text), lambda t: (F.conv(F.substring(F.sha2(t, 256), 1, 8), 16, 10).cast("long") % dim).cast("int"))
+def _bags(dim: int) -> Callable[[bytes], np.ndarray]:
+    """For use in a task: how many search tokens of a text in lower case are in each bucket. A word is hashed once, up to 300,000 of them kept."""
+
+    class Buckets(dict):
+        def __missing__(self, word: bytes) -> int:
+            at = self[word] = dim if len(word) < 2 or word in stop else int.from_bytes(hashlib.sha256(word).digest()[:4], "big") % dim
+            return at
+
+    buckets, stop = Buckets(), {w.encode() for w in T.STOPWORDS}
+
+    def bag(low: bytes) -> np.ndarray:
+        n = np.zeros(dim + 1, np.int64)
+        for words in T.word_runs(low):
+            n += np.bincount(np.fromiter(map(buckets.__getitem__, words), np.int64, len(words)), minlength=dim + 1)
+            if len(buckets) > 300_000:
+                buckets.clear()
+        return n[:dim]
+
+    return bag
 
 
 def hashed_bag(df: DataFrame, key: str, text: str, dim: int = 768) -> DataFrame:
-    """(key, bucket, n): a passage's terms in dim buckets."""
-    terms = df.select(key, F.explode(bag_buckets(F.col(text), dim)).alias("bucket"))
-    return terms.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    """(key, bucket, n): a passage's terms in dim buckets: the first 32 bits of a term's SHA-256, modulo dim."""
+
+    def work() -> Callable[[bytes], list[tuple]]:
+        bag = _bags(dim)
+        return lambda low: [(b, n[b]) for n in (bag(low),) for b in np.flatnonzero(n)]
+
+    return _of_texts(df, key, text, work, "bucket long, n long").groupBy(key, F.col("bucket").cast("int").alias("bucket")).agg(F.sum("n").alias("n"))
 
 
 def bag_search(df: DataFrame, query: str, key: str = "doc_id", text: str = "text", dim: int = 768, k: int = 50) -> DataFrame:
     """(key, score): cosine similarity of hashed bags of words, worked out inside each row, so only the k best of each task move."""
-    asked = Counter(int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) % dim for t in T.search_terms(query))
-    if not asked:
+    if not T.search_terms(query):
         return df.limit(0).select(key, F.lit(0.0).alias("score"))
-    # Equal buckets stand together once sorted: the squared length adds 2 r + 1 for the one after r equal ones.
-    sums = F.aggregate(
-        F.array_sort("bag"),
-        F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("square")),
-        lambda acc, x: F.struct(x.alias("last"), F.when(x == acc["last"], acc["run"] + 1).otherwise(F.lit(0).cast("long")).alias("run"), (acc["square"] + F.when(x == acc["last"], 2 * acc["run"] + 3).otherwise(F.lit(1).cast("long"))).alias("square")),
-    )
-    # The bag stands in an array of one: a filter on its hits does not work it out a second time.
-    both = F.transform(F.array(bag_buckets(F.col(text), dim)), lambda bag: F.struct(bag.alias("bag"), F.filter(bag, lambda b: b.isin(*asked)).alias("hits")))
-    rows = df.select(key, F.inline(F.filter(both, lambda x: F.size(x["hits"]) > 0)))
-    dot = F.aggregate("hits", F.lit(0), lambda acc, x: acc + F.coalesce(F.element_at(F.create_map(*(F.lit(v) for p in asked.items() for v in p)), x), F.lit(0)))
-    length = math.sqrt(sum(n * n for n in asked.values()))
-    return rows.select(key, (dot / F.sqrt(sums["square"]) / F.lit(length)).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    asked = _bags(dim)(" ".join(T.search_terms(query)).encode())
+
+    def work() -> Callable[[bytes], list[tuple]]:
+        bag = _bags(dim)
+        return lambda low: [(dot, int(n @ n)) for n in (bag(low),) for dot in (int(asked @ n),) if dot]
+
+    length = math.sqrt(int(asked @ asked))
+    rows = _of_texts(df, key, text, work, "dot long, square long")
+    return rows.select(key, (F.col("dot") / F.sqrt("square") / F.lit(length)).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
 def hybrid_search(df: DataFrame, query: str, key: str = "doc_id", text: str = "text", group: str | None = None, candidates: int = 50, k: int = 10, rerank: bool = True) -> DataFrame:
