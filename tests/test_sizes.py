@@ -100,3 +100,12 @@ def test_words_of_bags_are_hashed_once_in_a_task(spark, tmp_path, name):
     check(spark, tmp_path, name, documents=(docs, "doc_id long, text string, source string"))
     plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "sha2" not in plan
+
+
+@pytest.mark.parametrize("name", ["keyword_search_near", "keyword_search_stems"])
+def test_words_of_stems_are_found_in_one_pass(spark, tmp_path, name):
+    near = "erators thonly Thtioning, did erator é thonly x y thtionings THONLY erator"
+    texts = [None, "", "the of", near, near.upper(), "eratings of things", "era" + "s" * 60 + "q ndster " + near, "ndsters\0erate onherly thing " + near * 3, "x " * 50 + near]
+    check(spark, tmp_path, name, documents=(list(enumerate(texts)), "doc_id long, text string"))
+    plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "regexp" not in plan

@@ -135,8 +135,8 @@ def _first(found: pa.RecordBatch, key: str, k: int) -> pa.RecordBatch:
 def word_forms(df: DataFrame, query: str, text: str = "text") -> dict[str, list[str]]:
     """stem -> the words of df's texts that share it, for each stem of a query's terms, in order of the terms.
 
-    A rule changes no more than the last two letters of what it leaves, so only distinct words that begin like an asked stem
-    without these, and end in suffixes, are stemmed. Only the forms of the asked stems come to the driver: a stem has no more forms than the
+    A rule changes no more than the last two letters of what it leaves, so only words that begin like an asked stem
+    without these, and end in suffixes, leave their task, each about once, and are stemmed. Only the forms of the asked stems come to the driver: a stem has no more forms than the
     rules have suffixes to take off.
     """
     terms = list(dict.fromkeys(T.search_terms(query)))
@@ -144,19 +144,32 @@ def word_forms(df: DataFrame, query: str, text: str = "text") -> dict[str, list[
         return {}
     asked = stems(df.sparkSession.createDataFrame(list(enumerate(terms)), "at int, word string")).collect()
     forms: dict[str, list[str]] = {r["stem"]: [] for r in sorted(asked, key=lambda r: r["at"])}
-    heads = "|".join(sorted({s[: max(1, len(s) - 2)] for s in forms}))
-    near = rf"(?<![a-z0-9])(?:(?:{heads})[a-z0-9]{{0,4}}(?:{'|'.join(SUFFIXES)})*|{'|'.join(IRREGULAR)})(?![a-z0-9])"
-    words = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(near), F.lit(0)))).alias("word")).distinct()
+    heads = sorted({s[: max(1, len(s) - 2)] for s in forms})
+    near = rf"^(?:(?:{'|'.join(heads)})[a-z0-9]{{0,4}}(?:{'|'.join(SUFFIXES)})*|{'|'.join(IRREGULAR)})$"  # for Arrow, whose patterns take linear time
+    begun = tuple(w.encode() for w in (*heads, *IRREGULAR))
+
+    def work() -> Callable[[bytes], list[tuple]]:
+        seen: set[bytes] = set()
+
+        def of(low: bytes) -> list[tuple]:
+            new = {w for words in T.word_runs(low) for w in words if w.startswith(begun)} - seen
+            if not new:
+                return []
+            if len(seen) > 300_000:
+                seen.clear()
+            seen.update(new)
+            words = pa.array([w.decode() for w in new])
+            return [(w,) for w in words.filter(pc.match_substring_regex(words, near)).to_pylist()]
+
+        return of
+
+    words = _of_texts(df.select(F.lit(0).alias("_key"), F.col(text).alias("_text")), "_key", "_text", work, "word string").select("word").distinct()
     words = words.filter((F.length("word") >= 2) & ~F.col("word").isin(*T.STOPWORDS))
-    for r in stems(words).filter(F.col("stem").isin(*forms)).orderBy("word").collect():
+    for r in sorted(stems(words).filter(F.col("stem").isin(*forms)).collect(), key=lambda r: r["word"]):
         forms[r["stem"]].append(r["word"])
     return forms
 
 
-def _any_of(words: Sequence[str]) -> str:
-    return rf"(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])"
-
-
 def stem_search(df: DataFrame, query: str, key: str = "doc_id", text: str = "text", k: int = 50, near: bool = False) -> DataFrame:
     """(key, score): passages ranked by cover density of the query's stems, best first, least key on ties.
 
@@ -168,27 +181,27 @@ def stem_search(df: DataFrame, query: str, key: str = "doc_id", text: str = "tex
     forms = word_forms(df, query, text)
     if not any(forms.values()) or near and not all(forms.values()):
         return df.limit(0).select(key, F.lit(0.0).alias("score"))
-    low = F.lower(F.col(text))
-    if not near:
-        places = F.regexp_count(low, F.lit(_any_of([w for words in forms.values() for w in words]))).cast("double")
-        found = df.select(key, (F.lit(0.1) * places).alias("_sum")).filter("_sum > 0")
-    else:
-        number = F.create_map(*(F.lit(x) for i, words in enumerate(forms.values()) for w in words for x in (w, i)))
-        having = where_all(df, *(low.rlike(_any_of(words)) for words in forms.values()))
-        every = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
-        places = F.filter(F.transform(every, lambda w, at: F.struct(at.alias("at"), F.element_at(number, w).alias("term"))), lambda x: x["term"].isNotNull())
-        last = F.array(*[F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n"))] * len(forms))
-
-        def step(acc: Column, x: Column) -> Column:
-            lasts = F.transform(acc["last"], lambda v, i: F.when(i == x["term"], F.struct(x["at"].alias("at"), acc["n"].alias("n"))).otherwise(v))
-            return F.struct((acc["n"] + 1).alias("n"), lasts.alias("last"), F.array_min(lasts)["at"].alias("low"), (acc["sum"] + _cover(acc, x, lasts)).alias("sum"))
-
-        def _cover(acc: Column, x: Column, lasts: Column) -> Column:
-            first = F.array_min(lasts)  # a cover ends here if its first word moved on
-            return F.when((first["at"] >= 0) & (first["at"] > acc["low"]), F.lit(0.1) / (F.lit(1) + x["at"] - first["at"] - (acc["n"] - first["n"]))).otherwise(F.lit(0.0))
-
-        start = F.struct(F.lit(0).alias("n"), last.alias("last"), F.lit(-1).alias("low"), F.lit(0.0).alias("sum"))
-        found = having.select(key, F.aggregate(places, start, step)["sum"].alias("_sum"))
+    number = {w.encode(): i for i, words in enumerate(forms.values()) for w in words}
+
+    def places(low: bytes) -> list[tuple]:
+        n = sum(sum(map(number.__contains__, words)) for words in T.word_runs(low))
+        return [(0.1 * n,)] if n else []
+
+    def covers(low: bytes) -> list[tuple]:
+        last, first, total = [(-1, 0)] * len(forms), -1, 0.0  # where each term stood last, and how many places came before
+        begin = n = 0
+        for words in T.word_runs(low):
+            for at, term in enumerate(map(number.get, words), begin):
+                if term is not None:
+                    last[term] = (at, n)
+                    start, before = min(last)
+                    if start > first:  # a cover ends here, as its first word moved on
+                        total += 0.1 / (1 + at - start - (n - before))
+                    first, n = start, n + 1
+            begin += len(words)
+        return [(total,)] if total else []
+
+    found = _of_texts(df, key, text, lambda: covers if near else places, "_sum double")
     return found.select(key, (F.col("_sum") / (F.lit(1.0) + F.col("_sum"))).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
