@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from townledger.functions import text as T
-from townledger.operators import rules, search
+from townledger.operators import facts, rules, search
 from townledger.plans import registry
 
 from test_queries import rows
@@ -109,3 +109,11 @@ def test_words_of_stems_are_found_in_one_pass(spark, tmp_path, name):
     check(spark, tmp_path, name, documents=(list(enumerate(texts)), "doc_id long, text string"))
     plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "regexp" not in plan
+
+
+def test_quotes_of_a_text_are_placed_with_one_pass_over_its_white_space(spark, tmp_path):
+    texts = [None, "", " \n\t ", "a\tb \n c" * 400, "ab  cd " * 700 + "é\n", "x" * 1200, "y" * 1201, "\\Qa.b*\\E  [c] " * 200]
+    check(spark, tmp_path, "quote_locate", documents=(list(enumerate(texts)), "doc_id long, text string"))
+    plan = registry.QUERIES["quote_locate"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "regexp_extract" not in plan
+    assert facts.spans(" aa b\x1cc aa b", ["aa  b", "a\nb\tc", "b c", " ", None, "a", "zz", "c aa"]) == [(1, 5), (2, 7), (4, 7), None, None, (1, 2), None, (6, 10)]

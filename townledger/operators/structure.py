@@ -41,12 +41,18 @@ def line_offsets(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(per_task, f"{key} {kind}, line int, start int, end int, line_text string")
 
 
+def window_spans(text: Column, size: int = WINDOW, step: int = STEP) -> Column:
+    """An array of (window, start, end): windows of size characters every step, the last ending with the text; a blank text has none."""
+    blank = F.length(F.trim(F.regexp_replace(text, r"\s", " "))) == 0
+    last = lambda n: F.ceil(F.greatest(F.lit(0), n - size) / step).cast("int")
+    span = lambda i, n: F.struct(i.alias("window"), (i * step).cast("int").alias("start"), F.least(i * step + size, n).cast("int").alias("end"))
+    spans = lambda n: F.transform(F.sequence(F.lit(0), last(n)), lambda i: span(i, n))
+    return F.when(~blank, F.flatten(F.transform(F.array(F.length(text)), spans)))  # the length stands in an array of one, so that it is worked out once
+
+
 def fixed_windows(df: DataFrame, key: str, text: str, size: int = WINDOW, step: int = STEP, keep: Sequence[str] = ()) -> DataFrame:
-    """(key, window, start, end) and the columns keep: windows of size characters every step, the last ending with the text; a blank text has none."""
-    n = F.length(text)
-    last = F.ceil(F.greatest(F.lit(0), n - size) / step).cast("int")
-    rows = df.filter(F.length(F.trim(F.regexp_replace(F.col(text), r"\s", " "))) > 0).select(key, *keep, n.alias("_n"), F.explode(F.sequence(F.lit(0), last)).alias("window"))
-    return rows.select(key, *keep, "window", (F.col("window") * step).cast("int").alias("start"), F.least(F.col("window") * step + size, F.col("_n")).cast("int").alias("end"))
+    """(key, *keep, window, start, end): the windows of each text, see window_spans."""
+    return df.select(key, *keep, F.inline(window_spans(F.col(text), size, step)))
 
 
 def pack_lines(text: str, size: int = WINDOW) -> list[tuple[int, int]]:

@@ -85,9 +85,10 @@ def item_text(spark, d):
 
 def quote_locate(spark, d):
     """Where each window of 1,200 characters of a document, its white space changed, first stands in it."""
-    w = X.fixed_windows(_docs(spark, d), "doc_id", "text", keep=["text"])
-    quote = F.trim(F.regexp_replace(F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")), r"\s+", "  "))
-    return w.withColumn("at", facts.place(F.col("text"), quote)).select("doc_id", "window", F.col("at.start").alias("first"), F.col("at.end").alias("last"))
+    w = _docs(spark, d).select("doc_id", "text", X.window_spans(F.col("text")).alias("spans"))
+    quote = lambda x: F.trim(F.regexp_replace(F.substr("text", x["start"] + 1, x["end"] - x["start"]), r"\s+", "  "))
+    at = w.select("doc_id", "spans", facts.places(F.col("text"), F.transform("spans", quote)).alias("at"))
+    return at.select("doc_id", F.inline(F.arrays_zip("spans", "at"))).select("doc_id", "spans.window", F.col("at.start").alias("first"), F.col("at.end").alias("last"))
 
 
 def greedy_batches(spark, d):
