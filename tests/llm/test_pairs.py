@@ -216,3 +216,18 @@ def test_media_link_under_keys_of_two_and_of_many(spark, monkeypatch):
     monkeypatch.setattr(media, "_described", lambda images, s: described)
     got = {x["image_id"]: (x["class_id"], x["n_links"]) for x in media.find_copies(spark, spark.createDataFrame([], "image_id long, image binary")).collect()}
     assert got == {i: (7, 1) if i in (7, 23) else (i, 0) for i in range(60)}
+
+
+def test_components_end_when_all_links_are_stars(spark, monkeypatch):
+    """A round that finds stars is the last one: what is written is read as it is, not by another round."""
+    from townledger.llm import components as C
+
+    rounds = []
+    monkeypatch.setattr(C, "stored", lambda df, path, write=C.stored: rounds.append(path) or write(df, path))
+    links = lambda pairs: spark.createDataFrame(pairs, "u long, v long")
+    got = {r["node"]: r["root"] for r in C.components(links([(1, i) for i in range(2, 9)] + [(20, 21)])).collect()}
+    assert got == {**{i: 1 for i in range(1, 9)}, 20: 20, 21: 20} and len(rounds) == 2
+    chain = [(i, i + 1) for i in range(40)] + [(90, 80), (80, 85), (90, 90)]
+    got = {r["node"]: r["root"] for r in C.components(links(chain)).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 80: 80, 85: 80, 90: 80}
+    assert C.components(links([])).count() == 0
