@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -104,6 +105,27 @@ def test_toxicity_of_unseen_spellings(spark):
     assert np.mean([r["predicted"] == y[i] for i, r in held.items()]) > 0.97 and all(zlib.crc32(str(i).encode()) % 5 == 0 for i in held)
 
 
+def test_toxicity_training_holds_few_arrays(spark, monkeypatch):
+    """Training holds two numbers for each subword of a distinct word and little more, and its sums are those of bincount."""
+    r = random.Random(5)
+    parts = ["".join(r.choice("abdeiklmnorstuz") for _ in range(3)) for _ in range(60)]
+    rows = [(i, " ".join("".join(r.choices(parts, k=5)) for _ in range(300)), i % 2) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    toxicity.fit(docs)
+    tracemalloc.start()
+    try:
+        toxicity.fit(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    words = {w for _, text, _ in rows for w in text.split()}
+    subwords = sum(3 * len(w) - 2 for w in words)
+    assert len(words) > 50_000 and peak < 30 * subwords
+    at, values = np.array([r.randrange(50) for _ in range(1000)], np.int32), np.array([r.gauss(0, 1) for _ in range(1000)])
+    monkeypatch.setattr(toxicity, "SUMMED", 7)
+    assert (toxicity._sums(at, lambda a: values[a], 60) == np.bincount(at, values, 60)).all()
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     lab = spark.createDataFrame([(i, i % 2) for i in range(6, 16)] + [(None, 1), (3, None), (9999, 1), (6, 0)], "doc_id long, toxic int")
     got = toxicity.score(spark, odd, lab).collect()

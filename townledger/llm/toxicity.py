@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -16,6 +16,8 @@ from townledger.llm.common import crc_of_id, give_back, small_batches, text_chun
 U32 = np.uint32
 #: Bytes of text scored at once.
 CHUNK = 1 << 18
+#: Words of a vocabulary that are spelled at once, and numbers that training adds up at once.
+NAMES, SUMMED = 1 << 14, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -101,16 +103,12 @@ class Words:
             total += run[b] - run[a]
         return total / self.count
 
-    def flat(self) -> tuple[np.ndarray, np.ndarray]:
-        """All buckets of all words, and the word of each."""
-        own = np.arange(len(self.start), dtype=np.int32)
-        buckets, words = [self.whole().astype(np.int32)], [own]
+    def kinds(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each kind of subword, the word itself and then its 3-, 4- and 5-grams: (buckets in the order of words, how many each word has)."""
+        yield self.whole().astype(np.int32), np.ones(len(self.start), np.int64)
         for bucket, a, b in self.grams():
             n = b - a
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-            buckets.append(bucket[place].astype(np.int32))
-            words.append(np.repeat(own, n))
-        return np.concatenate(buckets), np.concatenate(words)
+            yield bucket[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - a, n)].astype(np.int32), n
 
 
 def sample(labelled: DataFrame, s: Settings, text: str, label: str, order) -> DataFrame:
@@ -133,36 +131,70 @@ def _bags(rows: DataFrame, s: Settings, text: str, label: str) -> DataFrame:
     return rows.select(F.col(label).cast("int").alias(label), text).mapInArrow(tidy(per_task), "label int, words array<string>")
 
 
-def train(labels: np.ndarray, docs: pa.ListArray, s: Settings) -> np.ndarray:
+def _spelled(names: list[str], s: Settings) -> Iterator[tuple[int, Words]]:
+    """The words of a vocabulary, some at a time: (number of the first, words)."""
+    for lo in range(0, len(names), NAMES):
+        raw = np.frombuffer(" ".join(names[lo : lo + NAMES]).encode(), np.uint8)
+        yield lo, Words(raw, np.array([0, len(raw)]), s.buckets)
+
+
+def _subwords(names: list[str], spread: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets that enough documents have, for each of their subwords which of them it is, and its word, by kind and then by word, subwords of each word in all).
+
+    Words are spelled twice, so that the subwords of rare buckets are never held.
+    """
+    total, seen, lens = np.zeros(s.buckets), np.zeros(s.buckets, bool), np.zeros(len(names), np.int64)
+    for lo, w in _spelled(names, s):
+        lens[lo : lo + len(w.count)] = w.count
+        for bucket, n in w.kinds():
+            total += np.bincount(bucket, np.repeat(spread[lo : lo + len(n)], n), s.buckets)
+            seen[bucket] = True
+    used = np.flatnonzero(seen & (total >= s.min_docs))
+    place = np.full(s.buckets, -1, np.int32)
+    place[used] = np.arange(len(used))
+    flat, of_word = [[] for _ in range(4)], [[] for _ in range(4)]
+    for lo, w in _spelled(names, s):
+        for k, (bucket, n) in enumerate(w.kinds()):
+            at = place[bucket]
+            flat[k].append(at[at >= 0])
+            of_word[k].append(np.repeat(np.arange(lo, lo + len(n), dtype=np.int32), n)[at >= 0])
+    return used, np.concatenate(sum(flat, [])), np.concatenate(sum(of_word, [])), lens
+
+
+def _sums(at: np.ndarray, values: Callable[[slice], np.ndarray], size: int) -> np.ndarray:
+    """What bincount gives for at and values, with values made some at a time."""
+    out = np.zeros(size)
+    for lo in range(0, len(at), SUMMED):
+        some = slice(lo, lo + SUMMED)
+        np.add.at(out, at[some].astype(np.intp), values(some))
+    return out
+
+
+def train(labels: np.ndarray, n: np.ndarray, names: list[str], ids: np.ndarray, s: Settings) -> np.ndarray:
     """The logit that each bucket adds, with the bias last: embeddings and the softmax's weights learned together.
 
-    Windows' probabilities combine to that of a document as noisy-or, so a label of a long document
-    is put down to its telling windows. Both labels weigh the same.
+    Documents of n words each stand one after the other in ids, numbers of names. Windows' probabilities combine
+    to that of a document as noisy-or, so a label of a long document is put down to its telling windows. Both labels
+    weigh the same. Beside the subwords and their words no array is as long as they are.
     """
-    words = docs.flatten().dictionary_encode()
-    names, ids = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
-    n = np.diff(docs.offsets.to_numpy())
-    windows = np.maximum(1, -(-n // s.window)) if s.window else np.ones(len(n), np.int64)
-    owner = np.repeat(np.arange(len(n)), windows)
-    turn = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    sizes = np.clip(n[owner] - s.window * turn, 0, s.window) if s.window else n
     if not names or len(set(labels.tolist())) < 2:
         out = np.zeros(s.buckets + 1, np.float32)
         share = (labels.mean() if len(labels) else 0.0) * 0.98 + 0.01
         out[-1] = np.log(share / (1 - share))
         return out
-    spelled = " ".join(names)
-    raw = np.frombuffer(spelled.encode(), np.uint8)
-    w = Words(raw, np.array([0, len(raw)]), s.buckets)
-    flat, of_word = w.flat()
-    lens, vocabulary = w.count, len(names)
-    spread = np.bincount(np.unique(np.repeat(owner, sizes) * np.int64(vocabulary) + ids) % vocabulary, minlength=vocabulary)
-    common = np.bincount(flat, spread[of_word], s.buckets)[flat] >= s.min_docs
-    used, flat = np.unique(flat[common], return_inverse=True)
-    flat, of_word = flat.astype(np.int32), of_word[common]
+    vocabulary, spread, lo = len(names), np.zeros(len(names), np.int64), 0
+    for k in n.tolist():
+        spread[np.unique(ids[lo : lo + k])] += 1
+        lo += k
+    used, flat, of_word, lens = _subwords(names, spread, s)
+    names.clear()
+    windows = np.maximum(1, -(-n // s.window)) if s.window else np.ones(len(n), np.int64)
+    owner = np.repeat(np.arange(len(n), dtype=np.int32), windows)
+    sizes = np.clip(n[owner] - s.window * (np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)), 0, s.window).astype(np.int32) if s.window else n
     some = sizes > 0
-    of_window = np.repeat(np.arange(len(sizes)), sizes)
-    share_w, share_g = 1.0 / (np.full(len(sizes), s.window) if s.window else np.maximum(sizes, 1)), 1.0 / lens
+    of_window = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    share_w, share_g = 1.0 / s.window if s.window else 1.0 / np.maximum(sizes, 1), 1.0 / lens
+    give_back()
     y = labels.astype(float)
     weight = np.where(y > 0, s.lift, 1.0) / len(y)
 
@@ -170,20 +202,22 @@ def train(labels: np.ndarray, docs: pa.ListArray, s: Settings) -> np.ndarray:
     E, W = rng.normal(0, 0.05, (len(used), s.dim)), rng.normal(0, 0.5, s.dim)
     b = -4.0
     state = [np.zeros_like(E), np.zeros_like(E), np.zeros_like(W), np.zeros_like(W), 0.0, 0.0]
-    # One dimension at a time, so that no array has more than one number for each subword of a word.
-    each = lambda f: np.stack([f(k) for k in range(s.dim)], 1)
+    V, X = np.empty((vocabulary, s.dim)), np.empty((len(sizes), s.dim))
     for step in range(1, s.steps + 1):
-        V = each(lambda k: np.bincount(of_word, E[flat, k], vocabulary)) * share_g[:, None]
-        X = each(lambda k: np.bincount(of_window, V[ids, k], len(sizes))) * share_w[:, None]
+        for k in range(s.dim):
+            V[:, k] = _sums(of_word, lambda a: E[flat[a], k], vocabulary) * share_g
+        for k in range(s.dim):
+            X[:, k] = _sums(of_window, lambda a: V[ids[a], k], len(sizes)) * share_w
         z = X @ W + b
         p = 1 / (1 + np.exp(-z))
-        total = np.bincount(owner, np.logaddexp(0, z), len(docs))
+        total = np.bincount(owner, np.logaddexp(0, z), len(n))
         positive = np.exp(-total) / np.maximum(1 - np.exp(-total), 1e-9)
         slope = np.where(y > 0, -positive, 1.0) * weight
         g = slope[owner] * p * some
         gW = X.T @ g
-        of_v = np.bincount(ids, (g * share_w)[of_window], vocabulary) * share_g
-        gE = np.bincount(flat, of_v[of_word], len(used))[:, None] * W
+        each = g * share_w
+        of_v = _sums(ids, lambda a: each[of_window[a]], vocabulary) * share_g
+        gE = _sums(flat, lambda a: of_v[of_word[a]], len(used))[:, None] * W
         gb = g.sum()
         rate = s.rate * (1 - step / (s.steps + 1))
         for i, (param, grad) in enumerate(((E, gE), (W, gW))):
@@ -200,6 +234,13 @@ def train(labels: np.ndarray, docs: pa.ListArray, s: Settings) -> np.ndarray:
     return out
 
 
+def _numbered(bags: pa.Table) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """(labels, words of each document, the distinct words, the number among them of each word of all documents); the words' text itself is let go."""
+    n = bags["words"].combine_chunks() if bags.num_rows else pa.array([], pa.list_(pa.string()))
+    words = n.flatten().dictionary_encode()
+    return bags["label"].to_numpy().astype(np.int64), np.diff(n.offsets.to_numpy()), words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+
+
 def fit(labelled: DataFrame, settings: Settings = Settings(), text: str = "text", label: str = "toxic", key: str = "doc_id") -> np.ndarray:
     """The model of labelled documents (key, text, label 0 or 1): buckets + 1 numbers. A row without a label teaches nothing.
 
@@ -207,9 +248,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), text: str = "text"
     """
     small_batches(labelled.sparkSession)
     rows = sample(labelled, settings, text, label, F.xxhash64(F.lit(settings.seed), key))
-    bags = _bags(rows, settings, text, label).toArrow().combine_chunks()
-    words = bags["words"].combine_chunks() if bags.num_rows else pa.array([], pa.list_(pa.string()))
-    return train(bags["label"].to_numpy().astype(np.int64), words, settings)
+    return train(*_numbered(_bags(rows, settings, text, label).toArrow()), settings)
 
 
 def predict(docs: DataFrame, model: np.ndarray, settings: Settings = Settings(), text: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
