@@ -181,3 +181,24 @@ def test_phases_serve_all():
                     assert at == n
                 assert sum(map(len, placed.values())) == p.total()
             assert got == totals
+
+
+def test_kept_pieces_take_little_memory():
+    """A worker keeps a piece in arrays, at under 100 bytes, and finds it again."""
+    import tracemalloc
+
+    e = tokens.Encoder(tokens.default_path())
+    r = np.random.default_rng(1)
+    text = " ".join("".join(map(chr, w)) for w in r.integers(97, 123, (60_000, 6)))
+    e.ids("one two")
+    tracemalloc.start()
+    try:
+        first = e.ids(text)
+        del text
+        kept = tracemalloc.get_traced_memory()[0] - first.nbytes
+    finally:
+        tracemalloc.stop()
+    n = e._n
+    assert n > 50_000 and kept < 100 * n
+    again = " ".join("".join(map(chr, w)) for w in np.random.default_rng(1).integers(97, 123, (60_000, 6)))
+    assert (e.ids(again) == first).all() and e._n == n

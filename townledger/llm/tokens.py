@@ -19,6 +19,8 @@ from townledger.llm.common import U64, mix
 
 #: Pieces that a worker keeps; beyond, it begins anew.
 PIECES = 400_000
+#: New pieces that are encoded before their ids go from lists to an array.
+ENCODED = 1 << 13
 #: Bytes of a piece that numpy compares (in words of 8); a longer piece is looked up by itself.
 WIDE = 32
 
@@ -76,7 +78,8 @@ class Encoder:
 
     def forget(self) -> None:
         """Give up the kept pieces; a task does so at its end, since what runs next in its worker may not need them."""
-        self._known: dict[int, int] = {}
+        # Hashes of the kept pieces in order, and each one's number: in arrays, which take a tenth of a dict's memory.
+        self._known, self._number = np.zeros(0, U64), np.zeros(0, np.int32)
         self._long: dict[bytes, int] = {}
         self._n = 0
         self._size = np.zeros(1 << 16, np.int64)
@@ -86,12 +89,16 @@ class Encoder:
     def _encode(self, pieces: list[bytes], plain: list[bool]) -> int:
         """Keep the ids of new pieces, of which plain ones are one part of a text by the pattern; the number of the first."""
         model, tok = self._tok.model.tokenize, self._tok.encode
-        shown = b"\n".join(pieces[i] for i, p in enumerate(plain) if p).decode("latin-1").translate(_CHARS).split(_CHARS[10])
-        parts = iter(shown)
-        found = [[t.id for t in model(next(parts))] if one else tok(p.decode(), add_special_tokens=False).ids for p, one in zip(pieces, plain)]
-        first, ids = self._n, np.fromiter(chain.from_iterable(found), np.uint32)
-        self._n += len(found)
-        at = self._at[first] + np.cumsum([len(x) for x in found], dtype=np.int64)
+        flat, sizes = [], []
+        for lo in range(0, len(pieces), ENCODED):
+            some, ones = pieces[lo : lo + ENCODED], plain[lo : lo + ENCODED]
+            parts = iter(b"\n".join(p for p, one in zip(some, ones) if one).decode("latin-1").translate(_CHARS).split(_CHARS[10]))
+            found = [[t.id for t in model(next(parts))] if one else tok(p.decode(), add_special_tokens=False).ids for p, one in zip(some, ones)]
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32))
+            sizes.append(np.array([len(x) for x in found], np.int64))
+        first, ids = self._n, np.concatenate(flat)
+        self._n += len(pieces)
+        at = self._at[first] + np.cumsum(np.concatenate(sizes))
         for name, n in (("_size", self._n), ("_words", self._n), ("_at", self._n + 1), ("_ids", int(at[-1]))):
             old = getattr(self, name)
             if old.shape[-1] < n:
@@ -130,8 +137,11 @@ class Encoder:
         code, hashes = pd.factorize(h)
         first = np.empty(len(hashes), np.int64)
         first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-        get = self._known.get
-        number = np.array([get(x, -1) for x in hashes.tolist()], np.int64)
+        number = np.full(len(hashes), -1, np.int64)
+        if len(self._known):
+            by = np.argsort(hashes)
+            i = np.minimum(np.searchsorted(self._known, hashes[by]), len(self._known) - 1)
+            number[by] = np.where(self._known[i] == hashes[by], self._number[i], -1)
         new = np.flatnonzero((number < 0) & (size[first] <= WIDE))
         if len(new):
             at = first[new]
@@ -140,7 +150,9 @@ class Encoder:
             for k, (some, w) in enumerate(words):
                 self._words[k, base : self._n] = w[at] if some is None else _placed(some, w, at)
             number[new] = np.arange(base, self._n)
-            self._known.update(zip(hashes[new].tolist(), range(base, self._n)))
+            by = np.argsort(hashes[new])
+            i = np.searchsorted(self._known, hashes[new][by])
+            self._known, self._number = np.insert(self._known, i, hashes[new][by]), np.insert(self._number, i, number[new][by])
         out = number[code]
         same = (size <= WIDE) & (self._size[out] == size)
         for k, (some, w) in enumerate(words):
