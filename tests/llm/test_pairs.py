@@ -218,6 +218,28 @@ def test_media_link_under_keys_of_two_and_of_many(spark, monkeypatch):
     assert got == {i: (7, 1) if i in (7, 23) else (i, 0) for i in range(60)}
 
 
+def test_media_keys_that_stand_once_become_no_rows(spark, tmp_path):
+    """The keys that several classes have are those of a loop, and the filter lets hardly any other become a row."""
+    r = np.random.default_rng(8)
+    codes = r.integers(-(2**62), 2**62, (30, 20, 2))
+    codes[5, :4], codes[9, 2], codes[12, 3] = codes[4, :4], codes[4, 2], codes[12, 7]
+    rows = [(i, 500 + i, [(int(a), int(b), 1.0 * j, 2.0, 1.0, 0.0) for j, (a, b) in enumerate(codes[i][: i if i < 2 else 20])]) for i in range(30)]
+    once = spark.createDataFrame(rows, "image_id long, cls long, corners array<struct<c0:long,c1:long,x:float,y:float,s:float,a:float>>").repartition(3)
+    got = media._shared(once, str(tmp_path))
+    owners = {}
+    for _, cls, corners in rows:
+        for a, b, *_ in corners:
+            bands = [x >> n & 0xFFFFFFFF for x in (a, b) for n in (0, 32)]
+            for i in range(4):
+                for j in range(i):
+                    owners.setdefault((i, j, bands[i], bands[j]), []).append(cls)
+    want = [len(x) for x in owners.values() if len(set(x)) > 1]
+    assert got.count() == sum(want) and got.filter("two").count() == sum(n for n in want if n == 2)
+    bits = spark.read.parquet(f"{tmp_path}/counts").filter("range IS NOT NULL").select("bits").collect()
+    passed = sum(bin(int.from_bytes(b["bits"], "big")).count("1") for b in bits)
+    assert 0 < passed <= 2 * sum(len(x) > 1 for x in owners.values()) + 2
+
+
 def test_components_end_when_all_links_are_stars(spark, monkeypatch):
     """A round that finds stars is the last one: what is written is read as it is, not by another round."""
     from townledger.llm import components as C
