@@ -240,6 +240,27 @@ def test_media_keys_that_stand_once_become_no_rows(spark, tmp_path):
     assert 0 < passed <= 2 * sum(len(x) > 1 for x in owners.values()) + 2
 
 
+def of_corners(spark, monkeypatch, corners):
+    """{image_id: (class_id, n_links)} of images with these corners (c0, c1, x, y)."""
+    rows = [(i, 1000 + i, [(int(a), int(b), float(x), float(y), 1.0, 0.0) for a, b, x, y in own]) for i, own in enumerate(corners)]
+    described = spark.createDataFrame(rows, "image_id long, cls long, corners array<struct<c0:long,c1:long,x:float,y:float,s:float,a:float>>").repartition(3)
+    monkeypatch.setattr(media, "_described", lambda images, s: described)
+    return {x["image_id"]: (x["class_id"], x["n_links"]) for x in media.find_copies(spark, spark.createDataFrame([], "image_id long, image binary")).collect()}
+
+
+def test_media_meetings_by_chance_become_no_rows(spark, monkeypatch, tmp_path):
+    """Images that meet each other once or twice by chance: no table written has a row a meeting, nor corners a key."""
+    r = np.random.default_rng(6)
+    code = lambda: r.integers(-(2**62), 2**62, 2)
+    common, true = [code() for _ in range(12)], [code() for _ in range(8)]
+    corners = [[(*c, 40.0 * j, 40.0) for j, c in enumerate([common[i % 12], common[(i * 5 + 1) % 12], *(true if i in (3, 31) else [code() for _ in range(8)])])] for i in range(120)]
+    monkeypatch.setattr(media, "shared_dir", lambda spark: str(tmp_path))
+    got = of_corners(spark, monkeypatch, corners)
+    assert got == {i: (3, 1) if i in (3, 31) else (i, 0) for i in range(120)}
+    rows = {d.name: spark.read.parquet(str(d)).count() for d in tmp_path.iterdir() if d.name not in ("counts", "matches")}
+    assert len(rows) > 3 and max(rows.values()) <= 120 + 6, rows  # an image each, or the keys of 12 + 8 corners
+
+
 def test_components_end_when_all_links_are_stars(spark, monkeypatch):
     """A round that finds stars is the last one: what is written is read as it is, not by another round."""
     from townledger.llm import components as C
