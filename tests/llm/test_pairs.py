@@ -261,6 +261,42 @@ def test_media_meetings_by_chance_become_no_rows(spark, monkeypatch, tmp_path):
     assert len(rows) > 3 and max(rows.values()) <= 120 + 6, rows  # an image each, or the keys of 12 + 8 corners
 
 
+def test_media_links_are_all_that_a_loop_over_pairs_finds(spark, monkeypatch):
+    """Groups of near copies, corners that many images have, one that stands often in an image, keys in parts of 4: n_links counts every link, inside a group too."""
+    r = np.random.default_rng(9)
+    code = lambda: [int(v) for v in r.integers(0, 2**63, 2)]
+    common, families, again = [code() for _ in range(5)], [[code() for _ in range(9)] for _ in range(3)], code()
+
+    def near(c, bits):
+        for b in r.integers(0, 127, bits).tolist():
+            c = [c[0] ^ (1 << b if b < 63 else 0), c[1] ^ (1 << b - 64 if b > 63 else 0)]
+        return c
+
+    corners = []
+    for i in range(36):
+        own = [(*near(c, int(r.integers(0, 3))), 40 * (j % 3) + i, 40 * (j // 3) + 2 * i) for j, c in enumerate(families[i % 3]) if r.random() < 0.9] if i < 30 else [(*code(), 40 * j, 0) for j in range(6)]
+        corners.append(own + [(*common[j], *r.integers(0, 300, 2).tolist()) for j in r.integers(0, 5, 2)])
+    corners += [[(*again, 40 * j, 300) for j in range(n)] for n in (8, 8, 1)] + [[]]
+
+    band = lambda c: [x >> n & 0xFFFFFFFF for x in c for n in (0, 32)]
+    alike = lambda a, b: sum(x == y for x, y in zip(band(a), band(b))) >= 2 and sum((x ^ y).bit_count() for x, y in zip(a, b)) <= media.DISTANCE
+    links = []
+    for v, other in enumerate(corners):
+        for u, own in enumerate(corners[:v]):
+            m = np.array([(*a[2:], 1.0, 0.0, *b[2:], 1.0, 0.0) for a in own for b in other if alike(a[:2], b[:2])], float)
+            if len(m) >= 5 and media.consensus(m, media.Settings()) >= 5:
+                links.append((u, v))
+    root = list(range(len(corners)))
+    for _ in root:
+        for u, v in links:
+            root[u] = root[v] = min(root[u], root[v])
+    monkeypatch.setattr(media, "LIST", 4)
+    monkeypatch.setattr(media, "CELL", 50)
+    got = of_corners(spark, monkeypatch, corners)
+    assert got == {i: (root[i], sum(i in p for p in links)) for i in range(len(corners))}
+    assert len(links) > 60 and (36, 37) in links and root[38] == 38
+
+
 def test_components_end_when_all_links_are_stars(spark, monkeypatch):
     """A round that finds stars is the last one: what is written is read as it is, not by another round."""
     from townledger.llm import components as C
